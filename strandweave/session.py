@@ -1,0 +1,39 @@
+"""Session defaults for local runs, and the shared folder for checkpoints."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def local_session(name: str = "strandweave", cores: str = "*", partitions: int = 8) -> SparkSession:
+    """A session for tests and the bench; a cluster brings its own."""
+    return (
+        SparkSession.builder.master(f"local[{cores}]").appName(name)
+        .config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").getOrCreate()
+    )
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only in a local session without it."""
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), f"strandweave-{os.getpid()}")
+    sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """``df`` read back from the shared folder, its lineage cut."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager)
