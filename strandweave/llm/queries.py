@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import syntax, tokenizer
+from . import lookalike, syntax, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,9 +24,17 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_rates(table(spark, d, "source_files"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_pairs(table(spark, d, "nodes"))
+
+
+def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.canonical_labels(table(spark, d, "nodes"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p6_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p5_found, p5_canonical, p6_ids)}
 ORACLES: dict[str, str] = {}
