@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import lookalike, syntax, tokenizer
+from . import lookalike, repetition, syntax, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,5 +36,13 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p5_found, p5_canonical, p6_ids)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetitive_documents(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetition_shares(table(spark, d, "documents")).drop("x")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p5_found, p5_canonical, p6_ids, p8_found, p8_shares)}
 ORACLES: dict[str, str] = {}
