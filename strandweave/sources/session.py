@@ -37,3 +37,27 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` read back from the shared folder, its lineage cut."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's code to the executors' Python workers, once per application.
+
+    The archive is code for the driver's file server to hand out; no data goes through it.
+    """
+    import shutil
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="strandweave-code-")
+    for p in root.rglob("*.py"):
+        to = Path(folder, "src", root.name, p.relative_to(root))
+        to.parent.mkdir(parents=True, exist_ok=True)
+        shutil.copyfile(p, to)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "strandweave"), "zip", os.path.join(folder, "src")))
+    _SHIPPED.add(app)
