@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.session import checkpoint
 from ..sources.tables import table
-from . import lookalike, repetition, syntax, tokenizer
+from . import lookalike, packing, repetition, syntax, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,15 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"))
 
 
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    sizes = checkpoint(tokenizer.token_counts(table(spark, d, "documents")))
+    return packing.pack_documents(sizes, table(spark, d, "context_windows"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_pack(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive_documents(table(spark, d, "documents")).select("doc_id")
 
@@ -44,5 +54,5 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition_shares(table(spark, d, "documents")).drop("x")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p5_found, p5_canonical, p6_ids, p8_found, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p5_found, p5_canonical, p6_ids, p7_pack, p7_fill, p8_found, p8_shares)}
 ORACLES: dict[str, str] = {}
