@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.session import checkpoint
 from ..sources.tables import table
-from . import lookalike, packing, repetition, syntax, tokenizer
+from . import lookalike, packing, provenance, repetition, syntax, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,18 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_rates(table(spark, d, "source_files"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, d, "source_files"), table(spark, d, "upstream_files")).select("file_id")
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.classified_files(table(spark, d, "source_files"), table(spark, d, "upstream_files"))
+
+
+def p3_shared(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.shared_rules(table(spark, d, "source_files"), table(spark, d, "upstream_files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "nodes"))
 
@@ -54,5 +66,5 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition_shares(table(spark, d, "documents")).drop("x")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p5_found, p5_canonical, p6_ids, p7_pack, p7_fill, p8_found, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p3_found, p3_classes, p3_shared, p5_found, p5_canonical, p6_ids, p7_pack, p7_fill, p8_found, p8_shares)}
 ORACLES: dict[str, str] = {}
