@@ -107,14 +107,12 @@ class _Lexicon(dict):
 _LEXICONS: dict[str, _Lexicon] = {}
 
 
-def _read(ext: str, body: str) -> tuple[np.ndarray, ...]:
-    """Kind, size, shape hash and raw hash of a file's lexemes."""
+def _read(ext: str, body: str) -> tuple[np.ndarray, _Lexicon]:
+    """A file's lexemes as rows of its language's lexicon."""
     lang = language(ext) or language("c")
     lex = _LEXICONS.get(lang.name)
     if lex is None:
         lex = _LEXICONS[lang.name] = _Lexicon(lang)
-    if len(lex) > lex.LIMIT:
-        lex.reset()
     found = lang.lexemes(body.replace("\r\n", "\n").replace("\r", "\n"))
     at = np.fromiter(map(lex.__getitem__, found), dtype=np.int64, count=len(found))
     return at, lex
@@ -195,6 +193,9 @@ def content_rules(symbols: np.ndarray, owner: np.ndarray, rounds: int = SHARED_R
 
 def _sequences(exts: list, bodies: list):
     """Arrays over all lexemes of a batch: kind, size, shape, raw hash, file."""
+    for lex in _LEXICONS.values():
+        if len(lex) > lex.LIMIT:  # never within a batch, whose rows point into it
+            lex.reset()
     parts, owners = [], []
     for i, (ext, body) in enumerate(zip(exts, bodies)):
         if body:
@@ -204,7 +205,8 @@ def _sequences(exts: list, bodies: list):
     if not parts:
         z = np.zeros(0, dtype=np.int64)
         return z, z, z, z, z
-    by_lex = {id(lex): tuple(np.array(x, dtype=np.int64) for x in (lex.kinds, lex.sizes, lex.shapes, lex.raws)) for _, lex in parts}
+    lexicons = {id(lex): lex for _, lex in parts}
+    by_lex = {i: tuple(np.array(x, dtype=np.int64) for x in (lex.kinds, lex.sizes, lex.shapes, lex.raws)) for i, lex in lexicons.items()}
     columns = [np.concatenate([by_lex[id(lex)][k][at] for at, lex in parts]) for k in range(4)]
     return (*columns, np.concatenate(owners))
 
