@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import incremental, orphans
+from ..functions import text as T
+from ..functions.fixed import PAPER_SIGNALS, SENSITIVE_SUFFIXES, SKIPPED_DIRS
+from ..operators import analyze, cluster, detect, incremental, ingest, orphans, search, traverse, validate
+from ..operators.graph import Graph, build_graph, merge_repositories, relativized, update_graph, upsert_attributes
 from ..sources.tables import table
+from .graphs import GRAPH_SQL, PLACES_SQL, code_graph, place_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,3 +68,448 @@ from refs r left join alive a on r.ord = a.ord and r.endpoint = a.endpoint left
 """)
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(table(spark, d, "edges"), table(spark, d, "nodes"))
+
+
+# -- building the graph
+
+
+@query(f"with {GRAPH_SQL} select ord, id, x.label as label, x.file_type as file_type, x.source_file as source_file, x.community as community, x.repo as repo from n")
+def build_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return code_graph(spark, d).nodes.select("ord", "id", "label", "file_type", "source_file", "community", "repo")
+
+
+@query(f"with {GRAPH_SQL} select src, tgt, y.ord as ord, y.orig_src as orig_src, y.orig_tgt as orig_tgt, y.relation as relation, y.confidence as confidence, y.context as context from e")
+def build_edges(spark: SparkSession, d: str) -> DataFrame:
+    return code_graph(spark, d).edges.select("src", "tgt", "ord", "orig_src", "orig_tgt", "relation", "confidence", "context")
+
+
+@query("""
+with f as (select 'o_' || o_orderkey id, o_orderkey * 2 ord, 'status' k, o_orderstatus v from orders union all select 'o_' || o_orderkey, o_orderkey * 2, 'priority', o_orderpriority from orders
+    union all select 'o_' || l_orderkey, l_orderkey * 2 + 1, 'status', case when max(l_quantity) > 40 then 'bulk' end from lineitem group by l_orderkey)
+select id, k, min(ord) over (partition by id) ord, v from (select id, k, arg_max(struct_pack(v := v), ord).v v, min(ord) ord from f group by id, k)
+""")
+def build_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' attributes, some of them overwritten by their lines: per-key upsert, exploded for comparison."""
+    o = table(spark, d, "orders").select((F.col("o_orderkey") * 2).alias("ord"), F.concat(F.lit("o_"), F.col("o_orderkey").cast("string")).alias("id"), F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority")).alias("attrs"))
+    big = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("q"))
+    x = big.select((F.col("l_orderkey") * 2 + 1).alias("ord"), F.concat(F.lit("o_"), F.col("l_orderkey").cast("string")).alias("id"), F.create_map(F.lit("status"), F.when(F.col("q") > 40, "bulk")).alias("attrs"))
+    return upsert_attributes(o.unionByName(x)).select("id", "ord", F.explode("attrs").alias("k", "v"))
+
+
+@query(f"with {GRAPH_SQL} select id, degree from deg")
+def degree(spark: SparkSession, d: str) -> DataFrame:
+    return code_graph(spark, d).degrees()
+
+
+@query(f"with {GRAPH_SQL} select (select count(*) from n) n_nodes, (select (2 * count(*) - count(*) filter (where src = tgt)) // 2 from e) n_edges")
+def graph_size(spark: SparkSession, d: str) -> DataFrame:
+    return code_graph(spark, d).size()
+
+
+@query(f"with {GRAPH_SQL}, first as (select least(orig_src, orig_tgt) src, greatest(orig_src, orig_tgt) tgt, arg_min(relation, z.ord) relation, min(z.ord) ord from (select orig_src, orig_tgt, arg_max(struct_pack(relation := coalesce(relation, '')), ord).relation relation, max(ord) ord from r where orig_src is not null and orig_tgt is not null group by 1, 2) z group by 1, 2) select src, tgt, relation, ord from first")
+def to_undirected(spark: SparkSession, d: str) -> DataFrame:
+    return code_graph(spark, d, directed=True).undirected().edges.select("src", "tgt", F.coalesce("relation", F.lit("")).alias("relation"), "ord")
+
+
+@query(f"with {GRAPH_SQL} select src, tgt from e where src in (select id from n where x.file_type = 'code') and tgt in (select id from n where x.file_type = 'code')")
+def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
+    g = code_graph(spark, d)
+    return g.subgraph(g.nodes.where("file_type = 'code'").select("id")).edges.select("src", "tgt")
+
+
+@query(f"with {GRAPH_SQL}, gone as (select id from nodes where deleted_at is not null) select src, tgt from e where src not in (select id from gone) and tgt not in (select id from gone)")
+def remove_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return code_graph(spark, d).without(table(spark, d, "nodes").where("deleted_at is not null").select("id")).edges.select("src", "tgt")
+
+
+@query(f"with {GRAPH_SQL} select repo, count(*) n_nodes from (select id, coalesce(x.repo, 'none') repo from n) group by 1")
+def merge_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """Two halves of the table merged again give the nodes of the whole."""
+    n, e = table(spark, d, "nodes"), table(spark, d, "edges")
+    halves = {}
+    for name, cond in (("left", "ord % 2 = 0"), ("right", "ord % 2 = 1")):
+        halves[name] = build_graph(n.where(cond), e.where(cond))
+    return merge_repositories(halves).nodes.groupBy(F.coalesce("repo", F.lit("none")).alias("repo")).agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+@query(f"""
+with {GRAPH_SQL}, redone as (select distinct source_file from nodes where source_file like '%.py'), fresh as (select id from n where x.source_file like '%.py'),
+kept as (select id from n where x.source_file is null or x.source_file not in (select source_file from redone))
+select id from (select id from kept union select id from fresh)
+""")
+def update_merge(spark: SparkSession, d: str) -> DataFrame:
+    g = code_graph(spark, d)
+    again = g.nodes.where("source_file like '%.py'")
+    none = table(spark, d, "edges").where("ord < 0")
+    return update_graph(g, again, none, again.select("source_file").distinct()).nodes.select("id")
+
+
+_RULES = "union all ".join(
+    f"select 'node' as section, ord as idx, {i} as rule_no, 'node: missing field ''{c}''' as message from nodes where {c} is null " for i, c in enumerate(validate.NODE_FIELDS)
+) + "union all select 'node', ord, 4, 'node: invalid file_type ''' || file_type || '''' from nodes where file_type not in ('code','document','paper','image','rationale','concept') union all " + "union all ".join(
+    f"select 'edge', ord, {i}, 'edge: missing field ''{c}''' from edges where {c} is null " for i, c in enumerate(validate.EDGE_FIELDS)
+) + "union all select 'edge', ord, 5, 'edge: invalid confidence ''' || confidence || '''' from edges where confidence not in ('EXTRACTED','INFERRED','AMBIGUOUS')" + "".join(
+    f" union all select 'edge', ord, {6 + i}, '{c} ''' || {c} || ''' names no node' from edges where {c} is not null and {c} not in (select id from nodes where id is not null)" for i, c in enumerate(("source", "target"))
+)
+
+
+@query(_RULES)
+def validate_fragments(spark: SparkSession, d: str) -> DataFrame:
+    return validate.validate_fragments(table(spark, d, "nodes"), table(spark, d, "edges")).withColumn("rule_no", F.col("rule_no").cast("bigint"))
+
+
+@query("select ord, case when starts_with(source_file, '/srv/ingest/') then substr(source_file, 13) else source_file end source_file from nodes")
+def relativize_paths(spark: SparkSession, d: str) -> DataFrame:
+    return relativized(table(spark, d, "nodes"), "/srv/ingest").select("ord", "source_file")
+
+
+# -- analysis
+
+
+@query(f"with {GRAPH_SQL} select id, coalesce(label, id) as label, degree, ord from d where not is_file and not is_concept order by degree desc, ord limit 10")
+def god_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.god_nodes(code_graph(spark, d))
+
+
+_EXT = "case when contains({0}, '.') then lower(split_part({0}, '.', -1)) else '' end"
+_CATEGORY = "case when {0} in (" + ", ".join(f"'{x}'" for x in analyze.CODE_EXTENSIONS) + ") then 'code' when {0} = 'pdf' then 'paper' when {0} in (" + ", ".join(f"'{x}'" for x in analyze.IMAGE_EXTENSIONS) + ") then 'image' else 'doc' end"
+_FAMILY = "case " + " ".join("when {0} in (" + ", ".join(f"'{x}'" for x in v) + f") then '{k}'" for k, v in analyze.LANGUAGE_FAMILIES.items()) + " end"
+
+
+@query(f"with {GRAPH_SQL}, p as (select *, {_EXT.format('sf')} ext from d) select id, is_file, is_concept, {_CATEGORY.format('ext')} category, {_FAMILY.format('ext')} family, split_part(sf, '/', 1) top_dir from p where sf is not null")
+def node_predicates(spark: SparkSession, d: str) -> DataFrame:
+    n = analyze.described_nodes(code_graph(spark, d)).where("source_file is not null")
+    f = F.col("source_file")
+    return n.select("id", "is_file", "is_concept", analyze.file_category(f).alias("category"), analyze.language_family(f).alias("family"), T.top_level_dir(f).alias("top_dir"))
+
+
+_SURPRISE = f"""
+with {GRAPH_SQL}, j as (select e.src, e.tgt, coalesce(y.confidence, 'EXTRACTED') conf, coalesce(y.relation, '') rel, a.sf fa, b.sf fb, a.com ca, b.com cb, a.degree da, b.degree db, {_EXT.format('a.sf')} xa, {_EXT.format('b.sf')} xb
+    from e join d a on y.orig_src = a.id join d b on y.orig_tgt = b.id where coalesce(y.relation, '') not in ('imports','imports_from','contains','method')
+    and coalesce(a.sf, '') <> '' and coalesce(b.sf, '') <> '' and a.sf <> b.sf and not a.is_file and not b.is_file and not a.is_concept and not b.is_concept),
+k as (select *, {_FAMILY.format('xa')} la, {_FAMILY.format('xb')} lb from j),
+s as (select src, tgt, conf as confidence, rel as relation, case when conf = 'INFERRED' and rel = 'calls' and la <> lb then 0 when conf = 'AMBIGUOUS' then 3 when conf = 'INFERRED' then 2 else 1 end
+    + case when {_CATEGORY.format('xa')} <> {_CATEGORY.format('xb')} then 2 else 0 end + case when split_part(fa, '/', 1) <> split_part(fb, '/', 1) then 2 else 0 end + case when ca <> cb then 1 else 0 end base,
+    case when least(da, db) <= 2 and greatest(da, db) >= 5 then 1 else 0 end hub from k),
+scored as (select src, tgt, confidence, relation, cast(case when relation = 'semantically_similar_to' then floor(base * 1.5) else base end + hub as bigint) score from s)
+"""
+
+
+@query(_SURPRISE + "select * from scored")
+def surprise_scores(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.surprise_scores(code_graph(spark, d)).select("src", "tgt", "confidence", "relation", "score")
+
+
+@query(_SURPRISE + "select src, tgt, confidence, relation, score from scored order by score desc, src, tgt limit 5")
+def surprise_cross_file(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.cross_file_surprises(code_graph(spark, d)).select("src", "tgt", "confidence", "relation", "score")
+
+
+@query(f"""
+with {GRAPH_SQL}, p as (select least(a.com, b.com) low, greatest(a.com, b.com) high, case coalesce(y.confidence, 'EXTRACTED') when 'AMBIGUOUS' then 0 when 'INFERRED' then 1 when 'EXTRACTED' then 2 else 3 end conf_ord, e.src, e.tgt
+    from e join d a on e.src = a.id join d b on e.tgt = b.id where a.com <> b.com and not a.is_file and not b.is_file and coalesce(y.relation, '') not in ('imports','imports_from','contains','method'))
+select low, high, cast(conf_ord as bigint) conf_ord, src, tgt, 'Bridges community ' || low || ' → community ' || high note from p
+qualify row_number() over (partition by low, high order by conf_ord, src, tgt) = 1 order by conf_ord, src, tgt limit 5
+""")
+def surprise_cross_community(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.cross_community_surprises(code_graph(spark, d))
+
+
+@query("with " + PLACES_SQL.format(customers="") + """
+, sizes as (select 's' k, id, up, 1 s from pl where id like 's%' union all select 'n', a.id, a.up, 1 + count(b.id) from pl a left join pl b on b.up = a.id where a.id like 'n%' group by 1, 2, 3),
+tree as (select p.id, p.up, s.s, coalesce(case when p.id like 'n%' then p.up else q.up end, '') root from pl p join sizes s on p.id = s.id left join pl q on p.up = q.id),
+total as (select root, 1 + sum(case when id like 'n%' then s else 0 end) t from tree group by 1)
+select least(id, up) src, greatest(id, up) tgt, cast(s * (t - s) as double) betweenness from tree join total on tree.root = total.root
+""")
+def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    """Of a forest, where an edge that cuts s of t nodes off has s * (t - s)."""
+    return analyze.edge_betweenness(place_graph(spark, d))
+
+
+_DIFF = """
+with o as (select distinct id from nodes where added_at < timestamp '2026-02-01'), w as (select distinct id from nodes where added_at < timestamp '2026-06-01' and (deleted_at is null or deleted_at >= timestamp '2026-06-01')),
+x as (select 'new' as change, id from w where id not in (select id from o) union all select 'removed', id from o where id not in (select id from w))
+"""
+
+
+def _two_states(spark: SparkSession, d: str):
+    n, e = table(spark, d, "nodes").where("id is not null"), table(spark, d, "edges")
+    old = build_graph(n.where("added_at < timestamp '2026-02-01'"), e.where("seen_at < timestamp '2026-02-01'"))
+    new = build_graph(n.where("added_at < timestamp '2026-06-01' and (deleted_at is null or deleted_at >= timestamp '2026-06-01')"), e.where("seen_at < timestamp '2026-06-01'"))
+    return old, new
+
+
+@query(_DIFF + "select * from x")
+def graph_diff_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.graph_diff(*_two_states(spark, d))[0]
+
+
+@query()
+def graph_diff_edges(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.graph_diff(*_two_states(spark, d))[1]
+
+
+@query()
+def graph_diff_summary(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.diff_summary(*analyze.graph_diff(*_two_states(spark, d)))
+
+
+@query(f"""
+with {GRAPH_SQL}, m as (select com cid, id from d where com is not null), s as (select cid, count(*) n from m group by 1),
+i as (select a.cid, count(*) k from e join m a on e.src = a.id join m b on e.tgt = b.id where a.cid = b.cid and e.src <> e.tgt group by 1)
+select s.cid, n, coalesce(k, 0) internal, case when n <= 1 then 1.0 else floor(coalesce(k, 0) / (n * (n - 1) / 2.0) * 100.0 + 0.5) / 100.0 end cohesion from s left join i on s.cid = i.cid
+""")
+def cohesion(spark: SparkSession, d: str) -> DataFrame:
+    g = code_graph(spark, d)
+    return cluster.cohesion(g, cluster.stored_communities(g))
+
+
+@query(f"with {GRAPH_SQL} select least(a.com, b.com) low, greatest(a.com, b.com) high, count(*) n_edges from e join d a on e.src = a.id join d b on e.tgt = b.id where a.com <> b.com group by 1, 2")
+def meta_graph(spark: SparkSession, d: str) -> DataFrame:
+    g = code_graph(spark, d)
+    return cluster.meta_graph(g, cluster.stored_communities(g))
+
+
+@query()
+def louvain_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The forest of places has fewer edges than the exact mode's bound at the test scales."""
+    return cluster.cluster_exact(place_graph(spark, d))
+
+
+@query()
+def louvain_scalable(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.cluster_scalable(code_graph(spark, d))
+
+
+@query(f"with {GRAPH_SQL} select id from n")
+def louvain_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Every node is in one community, whatever the communities are."""
+    return cluster.cluster_scalable(code_graph(spark, d), sweeps=2).select("id")
+
+
+@query(f"""
+with {GRAPH_SQL}, t as (select count(*) n from e) select (select count(*) from n) n_nodes, (select (2 * count(*) - count(*) filter (where src = tgt)) // 2 from e) n_edges, (select count(distinct com) from d) n_communities,
+    100 * count(*) filter (where y.confidence = 'EXTRACTED') // count(*) extracted_pct, 100 * count(*) filter (where y.confidence = 'INFERRED') // count(*) inferred_pct, 100 * count(*) filter (where y.confidence = 'AMBIGUOUS') // count(*) ambiguous_pct from e
+""")
+def graph_stats(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.graph_stats(code_graph(spark, d))
+
+
+@query(f"""
+with {GRAPH_SQL}, c as (select coalesce(y.confidence, 'EXTRACTED') c, y.confidence_score s from e)
+select count(*) filter (where c = 'EXTRACTED') n_extracted, cast(floor(count(*) filter (where c = 'EXTRACTED') * 100.0 / count(*) + 0.5) as bigint) pct_extracted,
+    count(*) filter (where c = 'INFERRED') n_inferred, cast(floor(count(*) filter (where c = 'INFERRED') * 100.0 / count(*) + 0.5) as bigint) pct_inferred,
+    count(*) filter (where c = 'AMBIGUOUS') n_ambiguous, cast(floor(count(*) filter (where c = 'AMBIGUOUS') * 100.0 / count(*) + 0.5) as bigint) pct_ambiguous,
+    floor(avg(case when c = 'INFERRED' then coalesce(s, 0.5) end) * 100 + 0.5) / 100 inferred_mean from c
+""")
+def confidence_mix(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.confidence_mix(code_graph(spark, d))
+
+
+@query(f"with {GRAPH_SQL} select id, coalesce(label, id) as label, degree, ord from d where degree <= 1 and not is_file and not is_concept")
+def knowledge_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.knowledge_gaps(code_graph(spark, d))
+
+
+@query()
+def suggested_questions(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.suggested_questions(code_graph(spark, d))
+
+
+# -- searching
+
+
+_ASKED = (("q1", "where does the catalog load its schema"), ("q2", "main()"), ("q3", "render filter module"))
+_TERMS = [(q, search.query_terms(t)) for q, t in _ASKED]
+_SCORES = rf"""
+with {GRAPH_SQL}, q(q_id, terms) as (values {", ".join(f"('{q}', [{', '.join(repr(w) for w in t)}])" for q, t in _TERMS)}),
+l as (select id, ord, lower(strip_accents(coalesce(x.label, ''))) l, lower(coalesce(x.source_file, '')) f from n where regexp_full_match(coalesce(x.label, ''), '[\x00-\x7F]*')),
+hit as (select q_id, id, ord, list_sum([case when contains(l, t) then 1.0 else 0.0 end + case when contains(f, t) then 0.5 else 0.0 end for t in terms])
+    + case when len([t for t in terms if t = l or t = regexp_replace(l, '(\(\))+$', '')]) > 0 then 100.0 else 0.0 end score from l, q)
+"""
+
+
+def _questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_TERMS, "q_id string, terms array<string>")
+
+
+@query(_SCORES + "select q_id, id, cast(score as double) score, ord from hit where score > 0")
+def score_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes whose labels are ASCII, so that SQL needs no Unicode decomposition."""
+    ascii_only = code_graph(spark, d).nodes.where(F.coalesce(F.col("label"), F.lit("")).rlike(r"^\p{ASCII}*$"))
+    return search.score_nodes(ascii_only, _questions(spark))
+
+
+@query(_SCORES + "select q_id, row_number() over (partition by q_id order by score desc, ord) place, id, cast(score as double) score from hit where score > 0 qualify place <= 3")
+def query_seeds(spark: SparkSession, d: str) -> DataFrame:
+    ascii_only = code_graph(spark, d).nodes.where(F.coalesce(F.col("label"), F.lit("")).rlike(r"^\p{ASCII}*$"))
+    return search.query_seeds(ascii_only, _questions(spark))
+
+
+@query(f"with {GRAPH_SQL} select ord, id, x.label as label from n where contains(lower(x.label), 'catalog') or lower(id) = 'catalog'")
+def find_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return search.find_nodes(code_graph(spark, d).nodes, "Catalog")
+
+
+@query(rf"with {GRAPH_SQL} select id, lower(x.label) norm_label from n where regexp_full_match(x.label, '[\x00-\x7F]*')")
+def norm_labels(spark: SparkSession, d: str) -> DataFrame:
+    n = code_graph(spark, d).nodes.where(F.col("label").rlike(r"^\p{ASCII}*$"))
+    return search.with_norm_label(n).select("id", "norm_label")
+
+
+@query("with recursive " + PLACES_SQL.format(customers=" union all select 'c_' || c_custkey, 'n_' || c_nationkey from customer") + """
+, b as (select 'r_0' id, 0 depth union select padj.tgt, depth + 1 from b join padj on b.id = padj.src where depth < 3)
+select 0 as q_id, id, cast(min(depth) as bigint) depth from b group by id
+""")
+def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
+    start = spark.createDataFrame([(0, "r_0")], "q_id int, id string")
+    return traverse.bfs_levels(place_graph(spark, d, customers=True), start)
+
+
+_REACH = f"""
+with recursive {GRAPH_SQL}, start as (select id from d where not is_file and not is_concept order by degree desc, d.ord limit 1),
+b as (select id, 0 depth from start union select adj.tgt, depth + 1 from b join adj on b.id = adj.src where depth < 2 and adj.y.context = 'call'), lv as (select id, min(depth) depth from b group by id)
+"""
+
+
+def _hub_call_levels(spark: SparkSession, d: str):
+    g = code_graph(spark, d)
+    start = analyze.god_nodes(g, 1).select(F.lit(0).alias("q_id"), "id")
+    return g, traverse.bfs_levels(g, start, 2, ["call"])
+
+
+@query(_REACH + "select 0 as q_id, id, cast(depth as bigint) depth from lv")
+def bfs_context_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return _hub_call_levels(spark, d)[1]
+
+
+@query(_REACH + "select 0 as q_id, adj.src, adj.tgt from adj join lv a on adj.src = a.id join lv b on adj.tgt = b.id where b.depth = a.depth + 1 and adj.y.context = 'call'")
+def bfs_edges(spark: SparkSession, d: str) -> DataFrame:
+    g, levels = _hub_call_levels(spark, d)
+    return traverse.bfs_edges(g, levels, ["call"])
+
+
+@query()
+def dfs_order(spark: SparkSession, d: str) -> DataFrame:
+    g = place_graph(spark, d)
+    return traverse.dfs_order(g, spark.createDataFrame([(0, "n_3")], "q_id int, id string"))
+
+
+@query("with recursive " + PLACES_SQL.format(customers="") + """
+, pairs as (select s_suppkey q_id, 's_' || s_suppkey source, 'r_0' target from supplier), b as (select q_id, source id, target, 0 hops from pairs union select b.q_id, padj.tgt, b.target, hops + 1 from b join padj on b.id = padj.src where hops < 4)
+select p.q_id, (select min(hops) from b where b.q_id = p.q_id and b.id = p.target) hops from pairs p
+""")
+def shortest_path_hops(spark: SparkSession, d: str) -> DataFrame:
+    """From every supplier to the first region, which is in the same tree or out of reach."""
+    pairs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("q_id"), F.concat(F.lit("s_"), F.col("s_suppkey").cast("string")).alias("source"), F.lit("r_0").alias("target"))
+    return traverse.shortest_paths(place_graph(spark, d), pairs, 4).select("q_id", "hops")
+
+
+@query(f"""
+with {GRAPH_SQL}, hub as (select id from d where not is_file and not is_concept order by degree desc, ord limit 3)
+select adj.src id, row_number() over (partition by adj.src order by deg.degree desc, adj.tgt) place, adj.tgt neighbor, coalesce(adj.y.relation, '') relation, deg.degree, count(*) over (partition by adj.src) n_neighbors
+from adj join hub on adj.src = hub.id join deg on adj.tgt = deg.id qualify place <= 20
+""")
+def explain_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    g = code_graph(spark, d)
+    return search.explain_neighbors(g, analyze.god_nodes(g, 3))
+
+
+@query()
+def query_lines(spark: SparkSession, d: str) -> DataFrame:
+    g = code_graph(spark, d)
+    seeds = search.query_seeds(g.nodes, _questions(spark))
+    levels = traverse.bfs_levels(g, seeds, 1)
+    return search.render_lines(g, levels, traverse.bfs_edges(g, levels), seeds)
+
+
+@query()
+def token_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    return search.run_benchmark(code_graph(spark, d), ("catalog schema", "render filter"))
+
+
+# -- texts and files
+
+
+@query("select doc_id, greatest(strlen(text) // 4, 1) tokens from documents where text is not null")
+def token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+_SPACES = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(f"select doc_id, case when text is null then 0 else len(list_filter(regexp_split_to_array(text, '{_SPACES}'), lambda w: w <> '')) end n_words from documents")
+def word_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"))
+
+
+@query("select doc_id, " + " + ".join(f"case when regexp_matches(substr(text, 1, 3000), '{p}') then 1 else 0 end" for p in PAPER_SIGNALS) + " signals from documents where text is not null")
+def paper_signals(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select("doc_id", detect.paper_signals_of_prefix(F.col("text")).alias("signals"))
+
+
+_NAME = "split_part(replace(rel_path, '\\', '/'), '/', -1)"
+_FT = f"lower(case when contains({_NAME}, '.') then split_part({_NAME}, '.', -1) else '' end)"
+_IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+
+
+@query(f"select entry_id, case when {_FT} in {_IN(detect.X.PAPER_EXTENSIONS)} then 'paper' when {_FT} in {_IN(detect.X.IMAGE_EXTENSIONS)} then 'image' when {_FT} in {_IN(detect.X.VIDEO_EXTENSIONS)} then 'video' when {_FT} in {_IN(detect.X.CODE_EXTENSIONS)} then 'code' when {_FT} in {_IN(detect.X.DOC_EXTENSIONS)} then 'document' end kind from scan_entries")
+def classify_files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "scan_entries").select("entry_id", detect.file_type(F.translate("rel_path", "\\", "/")).alias("kind"))
+
+
+@query("select file_id, lower(split_part(rel_path, '/', -1)) in ('.env', '.envrc') " + "".join(f" or lower(split_part(rel_path, '/', -1)) like '%{s}'" for s in SENSITIVE_SUFFIXES) + " or regexp_matches(lower(split_part(rel_path, '/', -1)), 'credential|secret|passwd|password|token|private_key') sensitive from source_files")
+def sensitive_files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_files").select("file_id", detect.is_sensitive(F.col("rel_path")).alias("sensitive"))
+
+
+_RULE_LINES = ["*.java", "tests/", "!keep.java", "/src/*.py"]
+
+
+@query(r"select file_id, regexp_matches(rel_path, '(^|/)tests(/|$)') or (regexp_matches(rel_path, '\.java(/|$)') and not regexp_matches(rel_path, '(^|/)keep\.java(/|$)')) or regexp_matches(rel_path, '^src/.*\.py(/|$)') ignored, len(list_filter(split(rel_path, '/')[:-2], lambda p: p in " + _IN((*SKIPPED_DIRS, "graph-out")) + " or p like '.%')) > 0 skipped from source_files")
+def ignored_files(spark: SparkSession, d: str) -> DataFrame:
+    path = F.col("rel_path")
+    return table(spark, d, "source_files").select("file_id", detect.IgnoreRules(_RULE_LINES).column(path).alias("ignored"), detect.in_skipped_dir(path).alias("skipped"))
+
+
+@query("select file_id, sha256(body || chr(0) || rel_path) hash from source_files where not contains(body, chr(0))")
+def file_hashes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "source_files").where(~F.contains("body", F.lit("\x00")))
+    return rows.select("file_id", ingest.file_hash(F.col("body"), F.col("rel_path")).alias("hash"))
+
+
+@query(f"""
+with s as (select distinct repo || '/' || {_PATH} p, {_DIGEST} h, file_type t from scan_entries where run_id = 30), sa as (select p, min(h) h, min(t) t from s group by p),
+m as (select repo || '/' || {_PATH} p, arg_max(struct_pack(h := {_DIGEST}, t := file_type), run_id * 1000000000 + entry_id) x from manifest_entries where run_id < 30 group by 1)
+select coalesce(sa.p, m.p) rel_path, case when sa.p is null then 'deleted' when m.p is null then 'new' when sa.h = x.h then 'unchanged' else 'changed' end status, case when sa.p is null or (m.p is not null and sa.h = x.h) then x.t else sa.t end file_type from sa full join m on sa.p = m.p
+""")
+def manifest_status(spark: SparkSession, d: str) -> DataFrame:
+    """The scan of a run against everything recorded before it."""
+    path = F.concat("repo", F.lit("/"), T.forward_path(F.col("rel_path"))).alias("rel_path")
+    scan = table(spark, d, "scan_entries").where("run_id = 30").groupBy(path).agg(F.min(T.digest(F.col("hash"))).alias("hash"), F.min("file_type").alias("file_type"))
+    known = table(spark, d, "manifest_entries").where("run_id < 30").groupBy(path).agg(F.max_by(F.struct(T.digest(F.col("hash")).alias("hash"), "file_type"), F.col("run_id") * 1_000_000_000 + F.col("entry_id")).alias("x"))
+    return detect.manifest_status(scan, known.select("rel_path", "x.hash", "x.file_type"))
+
+
+_URL = r"nullif(regexp_replace(regexp_extract(regexp_extract(text, '^---\r?\n((?s:.*?))\r?\n---', 1), '(?m)^source_url: *(.*?)\r?$', 1), '^\x22|\x22$', '', 'g'), '')"
+
+
+@query(f"select doc_id, u url, case when contains(lower(u), 'twitter.com') or contains(lower(u), 'x.com') then 'tweet' when contains(lower(u), 'arxiv.org') then 'arxiv' when contains(lower(u), 'github.com') then 'github' when contains(lower(u), 'youtube.com') or contains(lower(u), 'youtu.be') then 'youtube' when regexp_extract(lower(u), '^[a-z][a-z0-9_+.-]*://[^/?#]*([^?#]*)', 1) like '%.pdf' then 'pdf' else 'webpage' end kind from (select doc_id, {_URL} u from documents) where u is not null")
+def url_types(spark: SparkSession, d: str) -> DataFrame:
+    """Of the addresses in the front matter of captured pages."""
+    u = table(spark, d, "documents").select("doc_id", ingest.front_matter(F.col("text"), "source_url").alias("url")).where("url is not null")
+    return u.select("doc_id", "url", ingest.url_type(F.col("url")).alias("kind"))
+
+
+@query(rf"select doc_id, substr(regexp_replace(regexp_replace(regexp_replace(u, '[^a-zA-Z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) name from (select doc_id, {_URL} u from documents) where u is not null and regexp_full_match(u, '[\x00-\x7F]*')")
+def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
+    u = table(spark, d, "documents").select("doc_id", ingest.front_matter(F.col("text"), "source_url").alias("url")).where(F.col("url").rlike(r"^\p{ASCII}*$"))
+    return u.select("doc_id", T.safe_filename(F.col("url")).alias("name"))
+
+
+@query(r"select doc_id, substr(trim(regexp_replace(regexp_replace('<title> t ' || doc_id || ' </title><script x>v</script><p>' || text, '(?is)<script[^>]*>.*?</script>', ' ', 'g').regexp_replace('(?is)<style[^>]*>.*?</style>', ' ', 'g').regexp_replace('<[^>]+>', ' ', 'g'), '[\t\n\x0B\f\r ]+', ' ', 'g'), ' '), 1, 8000) body from documents where text is not null")
+def html_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents wrapped in markup and unwrapped again."""
+    html = F.concat(F.lit("<title> t "), F.col("doc_id").cast("string"), F.lit(" </title><script x>v</script><p>"), F.col("text"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", ingest.html_to_text(html).alias("body"))
