@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -249,6 +250,22 @@ def _features(exts: list, bodies: list, shared: np.ndarray) -> dict[str, np.ndar
     return {"n_tokens": n.astype(np.int64), "reuse": reuse, "white": white, "name_size": name_size, "per_line": n / lines, "data_share": data, "literal_ratio": literals, "copied_share": copied}
 
 
+#: Characters of the files that are read at once, which bounds a worker's memory.
+PART_CHARS = 4_000_000
+
+
+def _parts(batch: pa.RecordBatch, body: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most PART_CHARS characters, or of one file."""
+    begin, chars = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(batch.column(body)), 0).to_pylist()):
+        if chars and chars + n > PART_CHARS:
+            yield batch.slice(begin, i - begin)
+            begin, chars = i, 0
+        chars += n
+    if batch.num_rows > begin:
+        yield batch.slice(begin)
+
+
 FEATURES = "n_tokens bigint, reuse double, white double, name_size double, per_line double, data_share double, literal_ratio double, copied_share double"
 
 
@@ -260,7 +277,7 @@ def file_rules(files: DataFrame) -> DataFrame:
     """(file_id, rule, n_tokens): every file's sequence of content rules, with the tokens under each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in _parts(whole, 2)):
             kind, _, shape, _, file = _sequences(b.column(1).to_pylist(), b.column(2).to_pylist())
             code = (kind != SKIP) & (kind != LINE)
             rule, owner, n = content_rules(shape[code], file[code])
@@ -287,7 +304,7 @@ def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in FEATURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in _parts(whole, 2)):
             x = _features(b.column(1).to_pylist(), b.column(2).to_pylist(), shared.value)
             yield pa.record_batch([b.column(0), b.column(3), b.column(4), *[pa.array(x[c]) for c in names]], names=["file_id", "rel_path", "head", *names])
 
