@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fixed import PAPER_SIGNALS, SENSITIVE_SUFFIXES, SKIPPED_DIRS
-from ..operators import analyze, cluster, detect, incremental, ingest, orphans, search, traverse, validate
-from ..operators.graph import Graph, build_graph, merge_repositories, relativized, update_graph, upsert_attributes
+from ..operators import analyze, cluster, detect, export, extraction, incremental, ingest, orphans, report, search, traverse, validate
+from ..operators.graph import build_graph, hyperedge_members as hyperedge_rows, merge_repositories, relativized, update_graph, upsert_attributes
 from ..sources.tables import table
+from ..streaming import watch
 from .graphs import GRAPH_SQL, PLACES_SQL, code_graph, place_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,3 +514,177 @@ def html_texts(spark: SparkSession, d: str) -> DataFrame:
     """Documents wrapped in markup and unwrapped again."""
     html = F.concat(F.lit("<title> t "), F.col("doc_id").cast("string"), F.lit(" </title><script x>v</script><p>"), F.col("text"))
     return table(spark, d, "documents").where("text is not null").select("doc_id", ingest.html_to_text(html).alias("body"))
+
+
+# -- extraction and outputs
+
+
+@query(r"""
+with n as (select distinct repo, regexp_replace(regexp_replace(label, '^\\.', ''), '(\\(\\))+$', '') as name, id, source_file from nodes where label is not null and source_file is not null and label like '%()'),
+s as (select distinct e.repo, e.source, t.name, e.source_file, e.ord line from edges e join n t on e.target = t.id and e.repo = t.repo where e.relation = 'calls'),
+c as (select s.*, count(*) filter (where n.source_file = s.source_file) here, count(*) filter (where n.source_file <> s.source_file) away, min(n.id) filter (where n.source_file = s.source_file) a, min(n.id) filter (where n.source_file <> s.source_file) b
+    from s join n on n.repo = s.repo and n.name = s.name group by all)
+select repo, source, a as target, 'EXTRACTED' as confidence, source_file, line from c where here = 1 union all select repo, source, b, 'INFERRED', source_file, line from c where away = 1
+""")
+def call_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Calls by bare name, made of the resolved ones of the table, resolved again by their names."""
+    n = table(spark, d, "nodes").where("label is not null and source_file is not null and label like '%()'").select("repo", "id", "label", "source_file").distinct()
+    named = n.select("repo", F.col("id").alias("target"), T.strip_call(F.regexp_replace("label", r"^\.", "")).alias("name"))
+    calls = table(spark, d, "edges").where("relation = 'calls'").select("repo", "source", "target", "source_file", F.col("ord").alias("line"))
+    stubs = calls.join(named, ["repo", "target"]).select("repo", "source", "name", "source_file", "line").distinct()
+    return extraction.resolve_calls(n, stubs, ["repo"])
+
+
+@query()
+def extracted_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.extract_repositories(table(spark, d, "source_files"))[0]
+
+
+@query()
+def extracted_edges(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.extract_repositories(table(spark, d, "source_files"))[1]
+
+
+@query("with h as (select file_id, rel_path, sha256(body || chr(0) || rel_path) hash from source_files where not contains(body, chr(0))) select file_id, hash from h where hash not in (select hash from h where file_id % 3 = 0)")
+def cache_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Of all files, with a cache that holds every third one."""
+    f = table(spark, d, "source_files").where(~F.contains("body", F.lit("\x00"))).select("file_id", "rel_path", "body")
+    cache = f.where("file_id % 3 = 0").select(ingest.file_hash(F.col("body"), F.col("rel_path")).alias("hash"), F.lit("ast").alias("kind"))
+    return extraction.cache_misses(f, cache).select("file_id", "hash")
+
+
+@query(rf"""
+with {GRAPH_SQL}, esc as (select ord, replace(replace(id, '\\', '\\\\'), '''', '\\''') i, replace(replace(coalesce(x.label, id), '\\', '\\\\'), '''', '\\''') l, coalesce(x.file_type, 'Node') t from n)
+select ord, 0 as part, 'MERGE (n:' || regexp_replace(upper(substr(t, 1, 1)) || substr(t, 2), '[^A-Za-z0-9_]', '_', 'g') || ' {{id: ''' || i || '''}}) SET n.label = ''' || l || ''';' line from esc
+union all select y.ord, 1, 'MATCH (a {{id: ''' || replace(y.orig_src, '''', '\\''') || '''}}), (b {{id: ''' || replace(y.orig_tgt, '''', '\\''') || '''}}) MERGE (a)-[:' || regexp_replace(upper(coalesce(y.relation, 'RELATED_TO')), '[ -]', '_', 'g') || ' {{confidence: ''' || coalesce(y.confidence, 'EXTRACTED') || '''}}]->(b);' from e
+""")
+def cypher_lines(spark: SparkSession, d: str) -> DataFrame:
+    return export.cypher_lines(code_graph(spark, d))
+
+
+_XML = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+@query(f"""
+with {GRAPH_SQL} select ord, 0 as part, '<node id="' || {_XML.format('id')} || '"><data key="label">' || {_XML.format('coalesce(x.label, id)')} || '</data><data key="community">' || coalesce(cast(x.community as varchar), '') || '</data></node>' line from n
+union all select y.ord, 1, '<edge source="' || {_XML.format('src')} || '" target="' || {_XML.format('tgt')} || '"><data key="relation">' || {_XML.format("coalesce(y.relation, 'related')")} || '</data><data key="confidence">' || coalesce(y.confidence, 'EXTRACTED') || '</data></edge>' from e
+""")
+def graphml_lines(spark: SparkSession, d: str) -> DataFrame:
+    return export.graphml_lines(code_graph(spark, d))
+
+
+@query()
+def node_link_records(spark: SparkSession, d: str) -> DataFrame:
+    return export.node_link_records(code_graph(spark, d))
+
+
+@query(f"""
+with {GRAPH_SQL}, rk as (select com, row_number() over (order by count(*) desc, com) - 1 r from d where com is not null group by com)
+select id, coalesce(label, id) as label, case when is_file then 12.0 else least(10 + 3 * sqrt(degree), 50.0) end size, coalesce(['#4E79A7','#F28E2B','#E15759','#76B7B2','#59A14F','#EDC948','#B07AA1','#FF9DA7','#9C755F','#BAB0AC'][r % 10 + 1], '#BAB0AC') color from d left join rk on d.com = rk.com
+""")
+def viz_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return export.viz_nodes(code_graph(spark, d)).drop("border")
+
+
+@query(f"with {GRAPH_SQL} select src, tgt, coalesce(y.relation, 'related') relation, coalesce(y.confidence, 'EXTRACTED') in ('INFERRED', 'AMBIGUOUS') dashes, greatest(0.3, least(1.0, coalesce(y.confidence_score, 1.0))) opacity from e")
+def viz_edges(spark: SparkSession, d: str) -> DataFrame:
+    return export.viz_edges(code_graph(spark, d))
+
+
+@query(f"""
+with {GRAPH_SQL}, c as (select id, ord, coalesce(com, -1) community, row_number() over (partition by coalesce(com, -1) order by ord) - 1 k from d), g as (select community, row_number() over (order by count(*) desc, community) - 1 g from c group by 1)
+select id, c.community, cast(g * 740 + (k % 3) * 220 + 40 as bigint) x, cast((k // 3) * 80 + 40 as bigint) y from c join g on c.community = g.community
+""")
+def canvas_cards(spark: SparkSession, d: str) -> DataFrame:
+    return export.canvas_cards(code_graph(spark, d))
+
+
+@query(f"with {GRAPH_SQL} select src, tgt, coalesce(y.weight, 1.0) weight, coalesce(y.relation, 'related') relation from e order by weight desc, src, tgt limit 200")
+def canvas_edges(spark: SparkSession, d: str) -> DataFrame:
+    return export.canvas_edges(code_graph(spark, d))
+
+
+@query(f"with {GRAPH_SQL} select com as cid, row_number() over (partition by com order by degree desc, ord) place, id, coalesce(label, id) as label, degree from d where com is not null qualify place <= 25")
+def community_members(spark: SparkSession, d: str) -> DataFrame:
+    return export.community_top(code_graph(spark, d))
+
+
+@query(f"with {GRAPH_SQL}, l as (select a.com cid, b.com other, count(*) n_links from adj join d a on adj.src = a.id join d b on adj.tgt = b.id where a.com <> b.com group by 1, 2) select * from l qualify row_number() over (partition by cid order by n_links desc, other) <= 12")
+def cross_community_counts(spark: SparkSession, d: str) -> DataFrame:
+    return export.community_links(code_graph(spark, d))
+
+
+@query(f"with {GRAPH_SQL} select a.com cid, coalesce(y.confidence, 'EXTRACTED') confidence, count(*) n from adj join d a on adj.src = a.id where a.com is not null group by 1, 2")
+def community_confidences(spark: SparkSession, d: str) -> DataFrame:
+    return export.community_confidences(code_graph(spark, d))
+
+
+@query(f"""
+with {GRAPH_SQL}, hub as (select id from d where not is_file and not is_concept order by degree desc, ord limit 10)
+select adj.src id, coalesce(adj.y.relation, 'related') relation, row_number() over (partition by adj.src, coalesce(adj.y.relation, 'related') order by deg.degree desc, adj.tgt) place, adj.tgt neighbor from adj join hub on adj.src = hub.id join deg on adj.tgt = deg.id qualify place <= 20
+""")
+def hub_articles(spark: SparkSession, d: str) -> DataFrame:
+    g = code_graph(spark, d)
+    return export.hub_neighbors(g, analyze.god_nodes(g))
+
+
+@query("""
+with p as (select repo || '/' || rel_path path from source_files), f as (select path, split(path, '/') s from p), e as (select unnest(range(0, len(s))) i, s from f)
+select array_to_string(s[1:i], '/') folder, count(*) n_files, count(*) n_symbols from e group by 1
+""")
+def tree_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return export.tree_rollup(table(spark, d, "source_files").select(F.concat("repo", F.lit("/"), "rel_path").alias("path"), F.lit(0).cast("bigint").alias("n_symbols")))
+
+
+@query(f"""
+with {GRAPH_SQL}, s as (select x.source_file source_file, coalesce(x.label, id) as label, x.file_type ft, ord from n where coalesce(x.source_file, '') <> ''),
+t as (select * from s where not (label = split_part(source_file, '/', -1) and coalesce(ft = 'code', false)))
+select source_file, row_number() over (partition by source_file order by starts_with(label, '_'), lower(label), ord) place, label, greatest(count(*) over (partition by source_file) - 200, 0) hidden from t qualify place <= 200
+""")
+def tree_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return export.file_symbols(code_graph(spark, d))
+
+
+@query()
+def report_communities(spark: SparkSession, d: str) -> DataFrame:
+    return report.community_sections(code_graph(spark, d))
+
+
+@query(f"with {GRAPH_SQL} select src, tgt, coalesce(y.relation, 'unknown') relation from e where y.confidence = 'AMBIGUOUS'")
+def ambiguous_edges(spark: SparkSession, d: str) -> DataFrame:
+    return report.ambiguous_edges(code_graph(spark, d))
+
+
+@query(f"with {GRAPH_SQL} select com cid, count(*) n_members from d where com is not null and not is_file group by 1 having count(*) < 3")
+def thin_communities(spark: SparkSession, d: str) -> DataFrame:
+    return report.thin_communities(code_graph(spark, d))
+
+
+@query("select 'o_' || l_orderkey as id, 'p_' || l_partkey as node from (select l_orderkey, l_partkey from lineitem qualify count(*) over (partition by l_orderkey) >= 3 union all select 0, 0 where false)")
+def hyperedge_members(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of at least three lines as hyperedges over their parts."""
+    named = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(named("p_", "l_partkey")).alias("nodes")).where(F.size("nodes") >= 3)
+    return hyperedge_rows(orders.select(named("o_", "l_orderkey").alias("id"), "nodes"))
+
+
+# -- streams
+
+
+@query("""
+with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end fresh from events where ts is not null), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) k from e)
+select user_id, min(ts) as begin, max(ts) + interval 6 hour as "end", count(*) n from s group by user_id, k
+""")
+def debounce_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return watch.debounced(table(spark, d, "events").where("ts is not null"), "ts", ["user_id"], "6 hours")
+
+
+@query("select event_type, time_bucket(interval 1 hour, ts) as begin, count(*) n from events where ts is not null group by 1, 2")
+def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    return watch.windowed_counts(table(spark, d, "events").where("ts is not null"), "ts", ["event_type"], "1 hour")
+
+
+@query(f"select run_id, bool_or(lower(case when contains({_NAME}, '.') then split_part({_NAME}, '.', -1) else '' end) not in {_IN(detect.X.CODE_EXTENSIONS)}) has_non_code from scan_entries group by 1")
+def has_non_code(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "scan_entries").select("run_id", T.basename(T.forward_path(F.col("rel_path"))).alias("path"))
+    return watch.has_non_code(s, ["run_id"])
