@@ -19,7 +19,7 @@ def ascii_lower(s: Column) -> Column:
 
 def normalize_id(s: Column) -> Column:
     """Runs of ASCII letters and digits in lower case, joined by '_'."""
-    return F.regexp_replace(F.regexp_replace(ascii_lower(s), "[^a-z0-9]+", "_"), "^_|_$", "")
+    return F.btrim(F.regexp_replace(ascii_lower(s), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def make_id(*parts: Column) -> Column:
