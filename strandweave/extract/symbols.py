@@ -90,7 +90,9 @@ _NAME = r"[A-Za-z_$][\w$]*"
 _BLANK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _RUBY_BLANK = re.compile(r"#[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _NOT_CALLED = frozenset("""if for while switch match return catch function fn func def sizeof typeof new await yield else do in of let const var loop unsafe
-defer go select case throw assert super this synchronized using lock foreach elif unless until""".split())
+defer select case throw assert super this synchronized using lock foreach elif unless until""".split())
+
+_NOT_DECLARED = frozenset("if for while switch match return catch function new else do lock using foreach synchronized".split())
 
 #: language -> rules of (what, pattern); what is 'class', 'function', 'method' (receiver, name), 'import', 'bases' or 'implements'.
 RULES: dict[str, list[tuple[str, str]]] = {
@@ -139,7 +141,7 @@ def extract_by_rules(path: str, text: str, kind: str) -> Found:
             elif what == "method":
                 opened = ("function", m[2], out.symbol(m[2], number, make_id(out.stem, name), name))
             elif what in ("function", "member", "constructor"):
-                if name in _NOT_CALLED or what == "member" and (container is None or container[0] != depth - 1 and kind != "c") or opened and opened[0] == "function":
+                if name in _NOT_DECLARED or what == "member" and (container is None or container[0] != depth - 1 and kind != "c") or opened and opened[0] == "function":
                     continue
                 inside = container if container and container[0] == depth - 1 else None
                 opened = ("function", name, out.symbol(name, number, inside[3] if inside else None, inside[2] if inside else None))

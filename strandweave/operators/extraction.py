@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_call
+from ..sources.session import checkpoint
 from .ingest import file_hash
 
 FRAGMENT = "repo string, source_file string, kind string, place int, id string, label string, target string, relation string, line int, error string"
@@ -69,7 +70,8 @@ def resolve_calls(nodes: DataFrame, stubs: DataFrame, by: list[str] = []) -> Dat
 
 def extract_repositories(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node and edge statements (with ord) of files (repo, rel_path, body): symbols, relations and resolved calls."""
-    f = extract_fragments(files)
+    # three things are made of the fragments; files are read and parsed once
+    f = checkpoint(extract_fragments(files))
     nodes = merged_nodes(f)
     e = f.where("kind = 'edge'").select("repo", F.col("id").alias("source"), "target", "relation", F.lit("EXTRACTED").alias("confidence"), F.lit(None).cast("string").alias("context"), "source_file", "line")
     stubs = f.where("kind = 'stub'").select("repo", F.col("id").alias("source"), F.col("target").alias("name"), "source_file", "line")

@@ -117,15 +117,20 @@ def resolve_endpoints(edges: DataFrame, nodes: DataFrame, source: str = "source"
     return one.join(found.select(F.col("_name").alias(target), F.col("_id").alias("orig_tgt")), target)
 
 
+def _attribute(rows: DataFrame, name: str) -> Column:
+    kind = {"community": "bigint", "confidence_score": "double", "weight": "double"}.get(name, "string")
+    return (F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name)
+
+
 def build_graph(node_rows: DataFrame, edge_rows: DataFrame, directed: bool = False, hyperedges: DataFrame | None = None) -> Graph:
     """A graph of statements: node_rows (ord, id, ...), edge_rows (ord, source, target, ...).
 
     Nodes are upserted, ends resolved, dangling edges dropped, and the last statement of a pair
-    kept.  Only the columns of ``NODE_ATTRS`` and ``EDGE_ATTRS`` come along; empty inputs give an empty graph.
+    kept.  Only the columns of ``NODE_ATTRS`` and ``EDGE_ATTRS`` come along, null where an input has
+    none; empty inputs give an empty graph.
     """
-    nodes = upsert_nodes(node_rows.select("ord", "id", *[c for c in NODE_ATTRS if c in node_rows.columns]))
-    attrs = [c for c in EDGE_ATTRS if c in edge_rows.columns]
-    resolved = resolve_endpoints(edge_rows.select("ord", "source", "target", *attrs), nodes).select("ord", "orig_src", "orig_tgt", *attrs)
+    nodes = upsert_nodes(node_rows.select("ord", "id", *[_attribute(node_rows, c) for c in NODE_ATTRS]))
+    resolved = resolve_endpoints(edge_rows.select("ord", "source", "target", *[_attribute(edge_rows, c) for c in EDGE_ATTRS]), nodes).select("ord", "orig_src", "orig_tgt", *EDGE_ATTRS)
     a, b = F.col("orig_src"), F.col("orig_tgt")
     edges = _one_per_pair(resolved, a if directed else F.least(a, b), b if directed else F.greatest(a, b))
     return Graph(nodes, edges, directed, hyperedges)
