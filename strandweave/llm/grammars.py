@@ -94,6 +94,7 @@ itype = ['type'] ;
 impls = ['implements' typeref {',' typeref}] ;
 cmods = {'abstract' | 'declare'} ;
 pmods = {'public' | 'private' | 'protected' | 'readonly' | 'override'} ;
+param = 'this' tann ;
 mod = 'public' | 'private' | 'protected' | 'readonly' | 'override' | 'abstract' | 'declare' ;
 mbody = eos ;
 suffix = typeargs args | typeargs TMPL | '!' ;
@@ -374,8 +375,14 @@ funcd = ['async'] 'def' id [tparams] '(' [params] ')' ['->' expr] suite ;
 classd = 'class' id [tparams] ['(' [args] ')'] suite ;
 tparams = '[' tpar {',' tpar} [','] ']' ;
 tpar = ['*' | '**'] id [':' expr] ['=' sexpr] ;
-params = param {',' param} [','] ;
-param = id [':' expr] ['=' expr] | '*' [id [':' sexpr]] | '**' id [':' expr] | '/' ;
+params = ppos [',' ptail] [','] | ptail [','] ;
+plain = id [':' expr] ;
+dflt = id [':' expr] '=' expr ;
+plains = plain {',' plain} ;
+dflts = dflt {',' dflt} ;
+ppos = plains [',' dflts] | dflts | plains ',' '/' [',' plains] [',' dflts] | [plains ','] dflts ',' '/' [',' dflts] ;
+ptail = '*' id [':' sexpr] {',' (plain | dflt)} [',' pkw] | '*' ',' (plain | dflt) {',' (plain | dflt)} [',' pkw] | pkw ;
+pkw = '**' id [':' expr] ;
 suite = ':' (simple {';' simple} [';'] NEWLINE | NEWLINE INDENT stmt {stmt} DEDENT) ;
 pats = pat {',' pat} [','] | '*' id {',' pat} [','] ;
 pat = orp ['as' id] ;
@@ -386,8 +393,13 @@ spat = pat | '*' id ;
 parg = [id '='] pat ;
 mpat = (['-'] NUM [('+' | '-') NUM] | strs | 'None' | 'True' | 'False' | id '.' id {'.' id}) ':' pat | '**' id ;
 nexpr = expr | id ':=' expr ;
-expr = disj ['if' disj 'else' expr] | 'lambda' [lparam {',' lparam} [',']] ':' expr ;
-lparam = id ['=' expr] | '*' [id] | '**' id | '/' ;
+expr = disj ['if' disj 'else' expr] | 'lambda' [lparams] ':' expr ;
+lparams = lpos [',' ltail] [','] | ltail [','] ;
+lplains = id {',' id} ;
+ldflt = id '=' expr ;
+ldflts = ldflt {',' ldflt} ;
+lpos = lplains [',' ldflts] | ldflts | lplains ',' '/' [',' lplains] [',' ldflts] | [lplains ','] ldflts ',' '/' [',' ldflts] ;
+ltail = '*' id {',' (id | ldflt)} [',' '**' id] | '*' ',' (id | ldflt) {',' (id | ldflt)} [',' '**' id] | '**' id ;
 disj = inv {('and' | 'or') inv} ;
 inv = {'not'} bor {cmpop bor} ;
 cmpop = '==' | '!=' | '<' | '>' | '<=' | '>=' | 'in' | 'not' 'in' | 'is' ['not'] ;
@@ -402,7 +414,7 @@ dicts = kv (comp | {',' kv} [',']) ;
 kv = expr ':' expr | '**' bor ;
 sets = snexpr (comp | {',' snexpr} [',']) ;
 comp = ['async'] 'for' targets 'in' disj {'if' cif} {['async'] 'for' targets 'in' disj {'if' cif}} ;
-cif = disj | id ':=' disj | 'lambda' [lparam {',' lparam} [',']] ':' disj ;
+cif = disj | id ':=' disj | 'lambda' [lparams] ':' disj ;
 args = arg {',' arg} [','] | nexpr comp ;
 arg = nexpr | '*' expr | '**' expr | id '=' expr ;
 slices = slice {',' slice} [','] ;

@@ -39,6 +39,7 @@ _ALIASES = {
 _STR, _CHR = r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\.)+'"
 _COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/|/\*"
 _WORD = r"[^\W\d]\w*"
+_NUMBERS = {"rs": r"\d[\d_]*(?:\.\d[\d_]*)?[eE][+-]?[\d_]+\w*|\d\w*(?:\.\d\w*|\.(?![.\w]))?"}
 _NUMBER = r"\.?\d(?:[eEpP][+-]?\w|[\w.])*"
 
 #: Longest first; '>' stays single where it may close type arguments.
@@ -100,7 +101,7 @@ class Language:
         self.number = re.compile(_FULL_NUMBER[keywords])
         self.ops = re.compile(_OPS[keywords])
         #: [^\S\n] is blank space within a line
-        self.pattern = re.compile(r"[^\S\n]*(" + extra + "|" + _WORD + "|" + _NUMBER + "|" + _OPS[keywords] + r"|\n\s*|[\s\S]|$)")
+        self.pattern = re.compile(r"[^\S\n]*(" + extra + "|" + _WORD + "|" + _NUMBERS.get(keywords, _NUMBER) + "|" + _OPS[keywords] + r"|\n\s*|[\s\S]|$)")
         self.classes = _Classes(self.classify)
 
     def classify(self, x: str) -> str:
@@ -501,12 +502,16 @@ def fstring_fields(text: str) -> list[str] | None:
                     spec = text[i:]
                     if c == ":" or ":" in spec:
                         # a format may hold fields of its own
-                        level = 0
+                        level, begin_spec = 0, i + 1
                         while i < n:
                             level += (text[i] == "{") - (text[i] == "}")
                             if level < 0:
                                 break
                             i += 1
+                        inner = fstring_fields(text[begin_spec:i]) if i < n and "{" in text[begin_spec:i] else []
+                        if inner is None:
+                            return None
+                        fields += inner
                         continue
                 i += 1
             if i >= n:
