@@ -7,9 +7,11 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import pipeline
-from .operators import export, report, search, traverse
+from .functions.text import safe_filename
+from .operators import export, ingest, report, search, traverse
 from .server import ToolServer
 from .sources.session import local_session
 
@@ -37,12 +39,41 @@ def main(argv: list[str] | None = None) -> int:
     c = sub.add_parser("merge-graphs")
     c.add_argument("paths", nargs="+")
     c.add_argument("--out", required=True)
+    c = sub.add_parser("watch")
+    c.add_argument("path")
+    c.add_argument("--once", action="store_true")
+    c = sub.add_parser("add")
+    c.add_argument("page", help="a saved page")
+    c.add_argument("url")
+    c.add_argument("--out", default="raw")
+    c = sub.add_parser("save-result")
+    c.add_argument("question")
+    c.add_argument("answer")
+    c.add_argument("--nodes", nargs="*", default=[])
+    c.add_argument("--out", default="graph-out/memory")
+    c = sub.add_parser("check-update")
+    c.add_argument("path")
     a = p.parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session()
     if a.command in ("generate", "update"):
         g = pipeline.generate(spark, a.path, update=a.command == "update")
         print(g.size().first())
         return 0
+    if a.command == "watch":
+        pipeline.watch(spark, a.path, once=a.once).awaitTermination()
+        return 0
+    if a.command == "check-update":
+        print("update needed" if pipeline.update_flag(a.path).exists() else "up to date")
+        return 0
+    if a.command in ("add", "save-result"):
+        if a.command == "add":
+            pages = spark.createDataFrame([(a.url, Path(a.page).read_text(errors="replace"))], "url string, html string")
+            found = ingest.page_documents(pages).select(safe_filename(F.col("url")).alias("name"), "document").first()
+        else:
+            rows = spark.createDataFrame([(a.question, a.answer, "query", a.nodes)], "question string, answer string, kind string, nodes array<string>")
+            found = ingest.answer_documents(rows).select(F.col("slug").alias("name"), "document").first()
+        print(pipeline.write_new(Path(a.out), found["name"], found["document"]))
+        return 0
     if a.command == "merge-graphs":
         from .operators.graph import merge_repositories
 

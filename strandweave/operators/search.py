@@ -34,8 +34,8 @@ def with_norm_label(nodes: DataFrame) -> DataFrame:
 
 
 def query_terms(question: str, min_bytes: int = 3) -> list[str]:
-    """Words of at least min_bytes bytes in lower case, punctuation kept."""
-    return [w.lower() for w in question.split() if len(w.encode()) >= min_bytes]
+    """Words of at least min_bytes bytes, in lower case and without accents, punctuation kept."""
+    return [_plain(w) for w in question.split() if len(w.encode()) >= min_bytes]
 
 
 def _plain(w: str) -> str:

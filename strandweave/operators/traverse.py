@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from ..sources.session import checkpoint
 from .graph import Graph
 
-#: Levels after which lineage is cut.
-CUT_EVERY = 3
-
 
 def filtered_adjacency(g: Graph, contexts: list[str] | None = None) -> DataFrame:
     """(src, tgt) of the adjacency; with contexts only edges of these, and none without a context."""
@@ -24,18 +21,16 @@ def filtered_adjacency(g: Graph, contexts: list[str] | None = None) -> DataFrame
 def bfs_levels(g: Graph, starts: DataFrame, depth: int = 3, contexts: list[str] | None = None) -> DataFrame:
     """(q_id, id, depth) of all nodes within ``depth`` of the starts (q_id, id), for many questions at once.
 
-    A level joins the frontier with the adjacency and leaves out what was visited.  Starts that
-    aren't nodes are dropped; repeated starts count once.
+    The adjacency is written once and every level reads it; a level joins the frontier with it and
+    leaves out what was visited.  Starts that aren't nodes are dropped; repeated starts count once.
     """
-    adj = filtered_adjacency(g, contexts)
-    seen = starts.select("q_id", "id").distinct().join(g.nodes.select("id"), "id", "left_semi").select("q_id", "id", F.lit(0).cast("bigint").alias("depth"))
+    adj = checkpoint(filtered_adjacency(g, contexts))
+    first = starts.select("q_id", "id").distinct().join(g.nodes.select("id"), "id", "left_semi").select("q_id", "id", F.lit(0).cast("bigint").alias("depth"))
+    seen = frontier = checkpoint(first)
     for d in range(depth):
-        frontier = seen.where(F.col("depth") == d).select("q_id", F.col("id").alias("src"))
-        fresh = adj.join(frontier, "src").select("q_id", F.col("tgt").alias("id")).distinct().join(seen.select("q_id", "id"), ["q_id", "id"], "left_anti")
-        fresh = fresh.join(g.nodes.select("id"), "id", "left_semi")
-        seen = seen.unionByName(fresh.select("q_id", "id", F.lit(d + 1).cast("bigint").alias("depth")))
-        if (d + 1) % CUT_EVERY == 0 and d + 1 < depth:
-            seen = checkpoint(seen)
+        step = adj.join(frontier.select("q_id", F.col("id").alias("src")), "src").select("q_id", F.col("tgt").alias("id")).distinct()
+        frontier = checkpoint(step.join(seen.select("q_id", "id"), ["q_id", "id"], "left_anti").select("q_id", "id", F.lit(d + 1).cast("bigint").alias("depth")))
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -82,7 +77,7 @@ def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int = 8) -> DataFrame:
     Of equal paths the one whose predecessors are smallest from the target back is taken.  All pairs
     advance together and stop as soon as their target is reached; a pair of equal ids has 0 hops.
     """
-    adj = filtered_adjacency(g)
+    adj = checkpoint(filtered_adjacency(g))
     known = g.nodes.select("id")
     asked = pairs.select("q_id", "source", "target").join(known, F.col("source") == F.col("id"), "left_semi").join(known, F.col("target") == F.col("id"), "left_semi")
     seen = checkpoint(asked.select("q_id", "target", F.col("source").alias("id"), F.lit(0).cast("bigint").alias("hops"), F.array("source").alias("path")))

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.cluster import EXACT_EDGES, cluster_exact, cluster_scalable
-from .operators.detect import read_contents, scan_folder
+from .operators.detect import in_skipped_dir, read_contents, scan_folder
 from .operators.export import read_graph, write_graph, write_html, write_node_link
 from .operators.extraction import extract_repositories
 from .operators.graph import Graph, build_graph, update_graph
 from .operators.report import report_text
+from .streaming.watch import has_non_code, watch_files
 
 
 def code_files(spark: SparkSession, root: str, output_dir: str) -> DataFrame:
@@ -66,3 +67,40 @@ def _remove(p: Path) -> None:
 
     if p.exists():
         shutil.rmtree(p)
+
+
+def write_new(folder: Path, name: str, text: str) -> Path:
+    """Writes a document under a name that isn't taken: name.md, name_1.md ..."""
+    folder.mkdir(parents=True, exist_ok=True)
+    for k in range(1000):
+        p = folder / (f"{name}.md" if not k else f"{name}_{k}.md")
+        if not p.exists():
+            p.write_text(text)
+            return p
+    raise FileExistsError(name)
+
+
+def update_flag(root: str, output_dir: str = "graph-out") -> Path:
+    """Set while files other than code changed, which only a full run takes in."""
+    return Path(root) / output_dir / "needs_update"
+
+
+def watch(spark: SparkSession, root: str, output_dir: str = "graph-out", once: bool = False):
+    """Rebuilds after each batch of changed files; batches with other than code only set the flag."""
+    base = Path(root).resolve()
+    out = base / output_dir
+    out.mkdir(exist_ok=True)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        changed = batch.select(F.regexp_replace("path", r"^file:/+", "/").alias("p")).select(F.substr("p", F.lit(len(str(base)) + 2)).alias("path"))
+        changed = changed.where(~in_skipped_dir(F.col("path"), output_dir) & ~F.col("path").startswith(output_dir + "/"))
+        found = has_non_code(changed.withColumn("k", F.lit(0)), ["k"]).first()
+        if found is None:
+            return
+        if found["has_non_code"]:
+            update_flag(root, output_dir).touch()
+        else:
+            generate(spark, root, output_dir, update=True)
+            update_flag(root, output_dir).unlink(missing_ok=True)
+
+    return watch_files(spark, f"file://{base}", handle, f"file://{out}/watch-state", once=once)
