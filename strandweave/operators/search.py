@@ -12,9 +12,13 @@ from pyspark.sql import types as T
 
 from ..functions.fixed import BENCHMARK_QUESTIONS, CONTEXT_WORDS
 from ..functions.text import sanitize_label, strip_call
+from ..sources.session import bounded
 from .graph import Graph
 from .traverse import bfs_edges, bfs_levels, dfs_order
 
+#: Questions that meet all nodes in one pass.
+MAX_QUESTIONS = 10_000
+
 
 @F.pandas_udf(T.StringType())
 def _without_marks(s: pd.Series) -> pd.Series:
@@ -61,7 +65,7 @@ def score_nodes(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     node meets all of them in one pass.
     """
     n = with_norm_label(nodes).select("id", "ord", F.coalesce("norm_label", F.lit("")).alias("l"), F.lower(F.coalesce("source_file", F.lit(""))).alias("f"))
-    q = F.broadcast(questions.select("q_id", "terms").limit(10_000))
+    q = bounded(questions.select("q_id", "terms"), MAX_QUESTIONS, "questions at once")
     hits = F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.when(F.contains(F.col("l"), t), 1.0).otherwise(0.0) + F.when(F.contains(F.col("f"), t), 0.5).otherwise(0.0))
     whole = F.exists("terms", lambda t: (t == F.col("l")) | (t == strip_call(F.col("l"))))
     scored = n.crossJoin(q).select("q_id", "id", "ord", (hits + F.when(whole, 100.0).otherwise(0.0)).alias("score"))

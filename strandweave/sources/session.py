@@ -61,3 +61,12 @@ def ship_package(spark: SparkSession) -> None:
         shutil.copyfile(p, to)
     spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "strandweave"), "zip", os.path.join(folder, "src")))
     _SHIPPED.add(app)
+
+
+def bounded(df: DataFrame, rows: int, what: str) -> DataFrame:
+    """``df`` for a broadcast, its size checked: ValueError beyond ``rows`` rows, so that nothing is left out unseen."""
+    from pyspark.sql import functions as F
+
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"more than {rows} {what}")
+    return F.broadcast(df)
