@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.session import checkpoint
+from ..sources.session import bounded, checkpoint
 
 #: Groups that documents of one size are ranked in, so that a frequent size is not one task.
 SALTS = 64
 #: Places (runs of containers for a size) that are sent to every task; more are joined instead.
 MAX_PLACES = 500_000
+#: Windows (parameters, not data) that documents are packed for at once.
+MAX_WINDOWS = 1000
 OUTPUT = "window_name string, capacity bigint, container_id bigint, doc_id bigint, part bigint, start_token bigint, n_tokens bigint"
 
 
@@ -175,9 +177,8 @@ PLACES = "window_name string, capacity bigint, size bigint, rank_from bigint, ra
 
 def pieces(sizes: DataFrame, windows: DataFrame) -> DataFrame:
     """(window_name, capacity, doc_id, part, start_token, size): documents, those beyond the capacity cut into full parts and a rest."""
-    usable = windows.where("capacity > 0").select("window_name", F.col("capacity").cast("bigint").alias("capacity")).distinct()
-    # the windows are a handful of parameters
-    both = sizes.crossJoin(F.broadcast(usable.limit(1000)))
+    usable = windows.where("capacity > 0 and window_name is not null").select("window_name", F.col("capacity").cast("bigint").alias("capacity")).distinct()
+    both = sizes.crossJoin(bounded(usable, MAX_WINDOWS, "windows"))
     parts = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")).cast("bigint"), F.lit(1))
     cut = both.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
     start = F.col("part") * F.col("capacity")
@@ -189,7 +190,7 @@ def pack_documents(sizes: DataFrame, windows: DataFrame) -> DataFrame:
 
     A document is split only if it is larger than the capacity: into full parts and a rest.
     Documents of size 0 go to the containers in turn (container 0 if there are no others); a null size
-    counts as 0.  Windows without a positive capacity are left out, repeated windows count once;
+    counts as 0.  Windows without a name or a positive capacity are left out, repeated windows count once;
     repeated doc_ids are items of their own.
     """
     items = pieces(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("bigint")).alias("n_tokens")), windows)
@@ -205,7 +206,7 @@ def pack_documents(sizes: DataFrame, windows: DataFrame) -> DataFrame:
     totals = places.groupBy("window_name", "capacity").agg(F.max(F.col("first") + F.ceil((F.col("rank_to") - F.col("rank_from")) / F.col("each"))).alias("n_containers"))
 
     filled = _placed(ranked.where("size > 0"), places)
-    empty = ranked.where("size <= 0").join(F.broadcast(totals.limit(1000)), ["window_name", "capacity"], "left").withColumn("container_id", F.coalesce(F.pmod(F.col("rank"), F.col("n_containers")), F.lit(0)))
+    empty = ranked.where("size <= 0").join(totals, ["window_name", "capacity"], "left").withColumn("container_id", F.coalesce(F.pmod(F.col("rank"), F.col("n_containers")), F.lit(0)))
     out = ["window_name", "capacity", F.col("container_id").cast("bigint").alias("container_id"), "doc_id", "part", "start_token", F.col("size").alias("n_tokens")]
     return filled.select(*out).unionByName(empty.select(*out))
 
