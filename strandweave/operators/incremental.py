@@ -7,8 +7,8 @@ hold.  ``process_changes`` applies a function to the change since the last succe
 and saves the processed version in the very commit that publishes the output, so a
 failure at any point neither skips nor repeats a record.
 
-``pending_entries`` is the same difference over run logs: the records of successful
-runs are versions, a later record of a path deletes the earlier one.
+``record_versions`` and ``pending_entries`` are the same over run logs: a successful run is a
+version, its records are added rows, and a later record of a path deletes the earlier one.
 """
 
 from __future__ import annotations
@@ -132,29 +132,38 @@ def process_changes(source: VersionedTable, sink: VersionedTable, transform: Cal
     return sink.commit(add=transform(changed), info={"processed": now})
 
 
-def pending_entries(scans: DataFrame, records: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, repo, rel_path), once each: what every run's scan has to process.
+def record_versions(records: DataFrame, runs: DataFrame) -> DataFrame:
+    """(repo, rel_path, added_in, deleted_in, hash, file_type): the records of successful runs as rows of a versioned table.
 
-    scans and records: run_id, repo, rel_path, hash, file_type (records also entry_id); runs: run_id,
-    status.  A scanned path is pending if no successful run of a smaller run_id recorded it, if the
-    latest such record (of equal runs the one of the largest entry_id) has another digest or
-    file_type, or if either digest is missing.  Paths that are null play no part; a null repo is a
-    repo of its own; repeated rows count once; empty tables give no rows.
+    A run that ended well is a version.  Its records are added by it; a later version's record of the
+    same path deletes the earlier one (null: still there).  Of equal runs the record of the largest
+    entry_id counts.  Any version's content is the rows with added_in <= version < deleted_in, so the
+    difference of two versions needs no more than these two columns.
     """
-    path, hash_ = forward_path(F.col("rel_path")), digest(F.col("hash"))
     good = runs.where(F.col("status") == "success").select("run_id")
-    versions = (
+    last = (
         records.where(F.col("rel_path").isNotNull())
         .join(good, "run_id", "left_semi")
-        .groupBy("repo", path.alias("rel_path"), "run_id")
-        .agg(F.max_by(F.struct(hash_.alias("hash"), F.col("file_type").alias("file_type")), "entry_id").alias("version"))
+        .groupBy("repo", forward_path(F.col("rel_path")).alias("rel_path"), F.col("run_id").alias("added_in"))
+        .agg(F.max_by(F.struct(digest(F.col("hash")).alias("hash"), F.col("file_type").alias("file_type")), "entry_id").alias("x"))
     )
-    listed = scans.where(F.col("rel_path").isNotNull() & F.col("run_id").isNotNull()).groupBy("repo", path.alias("rel_path"), "run_id", hash_.alias("hash"), "file_type").agg(F.lit(True).alias("listed"))
-    # per path there are at most as many versions as runs, and listings as distinct digests
-    both = listed.unionByName(versions, allowMissingColumns=True)
-    earlier = Window.partitionBy("repo", "rel_path").orderBy("run_id").rangeBetween(Window.unboundedPreceding, -1)
-    known = F.last("version", ignorenulls=True).over(earlier)
-    found = both.withColumn("known", known).where("listed")
-    same = (F.col("hash") == F.col("known.hash")) & F.col("file_type").eqNullSafe(F.col("known.file_type"))
-    # one path's rows lie together since the window, so this needs no other exchange
-    return found.where(~F.coalesce(same, F.lit(False))).groupBy("repo", "rel_path", "run_id").agg(F.lit(1).alias("_")).select("run_id", "repo", "rel_path")
+    # a path has at most as many records as there are versions
+    later = F.lead("added_in").over(Window.partitionBy("repo", "rel_path").orderBy("added_in"))
+    return last.withColumn("deleted_in", later).select("repo", "rel_path", "added_in", "deleted_in", "x.hash", "x.file_type")
+
+
+def pending_entries(scans: DataFrame, records: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, repo, rel_path), once each: what every run's scan has to process.
+
+    scans and records: run_id, repo, rel_path, hash, file_type (records also entry_id); runs: run_id,
+    status.  Each scan is held against the version that the successful runs before it left
+    (``record_versions``): a path is pending if that version doesn't hold it, holds it with another
+    digest or file_type, or if either digest is missing.  Paths that are null play no part; a null
+    repo is a repo of its own; repeated rows count once; empty tables give no rows.
+    """
+    listed = scans.where(F.col("rel_path").isNotNull() & F.col("run_id").isNotNull()).groupBy("repo", forward_path(F.col("rel_path")).alias("rel_path"), "run_id", digest(F.col("hash")).alias("hash"), "file_type").agg(F.lit(1).alias("_"))
+    v = record_versions(records, runs).alias("v")
+    held = F.col("s.repo").eqNullSafe(F.col("v.repo")) & (F.col("s.rel_path") == F.col("v.rel_path")) & (F.col("v.added_in") < F.col("s.run_id")) & (F.col("v.deleted_in").isNull() | (F.col("s.run_id") <= F.col("v.deleted_in")))
+    same = (F.col("s.hash") == F.col("v.hash")) & F.col("s.file_type").eqNullSafe(F.col("v.file_type"))
+    found = listed.alias("s").join(v, held, "left").where(~F.coalesce(same, F.lit(False)))
+    return found.select("s.run_id", "s.repo", "s.rel_path").distinct()
