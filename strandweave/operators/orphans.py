@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, normalize_id
+from ..sources.session import checkpoint
 
 _END = "timestamp_micros(9223372036854775807)"
 
@@ -49,7 +50,10 @@ def judged_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     refs = references(edges)
     keys = refs.select("key").distinct()
-    known = keys.join(lifetimes(nodes.where(F.col("id").isNotNull()), normalize_id(F.col("id"))), "key", "left").withColumnRenamed("key", "_key")
+    # written, so that the join back shuffles both of its sides and adaptive execution may split a frequent key's references
+    known = checkpoint(keys.join(lifetimes(nodes.where(F.col("id").isNotNull()), normalize_id(F.col("id"))), "key"))
+    # a computed key, since the written frame's partitioning by it would spare that exchange and forbid the split
+    known = known.select(F.concat("key", F.lit("")).alias("_key"), "spans")
     seen = F.col("seen_at")
     alive = F.coalesce(F.exists("spans", lambda s: (s["begin"] <= seen) & (seen < s["end"])), F.lit(False))
     return refs.join(known, F.col("key") == F.col("_key"), "left").select("ord", "endpoint", "key", "seen_at", F.col("spans").isNotNull().alias("ever"), (~alive).alias("orphan"))
