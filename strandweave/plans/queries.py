@@ -336,15 +336,14 @@ def _questions(spark: SparkSession) -> DataFrame:
 
 @query(_SCORES + "select q_id, id, cast(score as double) score, ord from hit where score > 0")
 def score_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes whose labels are ASCII, so that SQL needs no Unicode decomposition."""
-    ascii_only = code_graph(spark, d).nodes.where(F.coalesce(F.col("label"), F.lit("")).rlike(r"^\p{ASCII}*$"))
-    return search.score_nodes(ascii_only, _questions(spark))
+    """Of all nodes; the SQL, which has no Unicode decomposition, gives those with ASCII labels only."""
+    return search.score_nodes(code_graph(spark, d).nodes, _questions(spark))
 
 
 @query(_SCORES + "select q_id, row_number() over (partition by q_id order by score desc, ord) place, id, cast(score as double) score from hit where score > 0 qualify place <= 3")
 def query_seeds(spark: SparkSession, d: str) -> DataFrame:
-    ascii_only = code_graph(spark, d).nodes.where(F.coalesce(F.col("label"), F.lit("")).rlike(r"^\p{ASCII}*$"))
-    return search.query_seeds(ascii_only, _questions(spark))
+    """Of all nodes; the SQL ranks those with ASCII labels only."""
+    return search.query_seeds(code_graph(spark, d).nodes, _questions(spark))
 
 
 @query(f"with {GRAPH_SQL} select ord, id, x.label as label from n where contains(lower(x.label), 'catalog') or lower(id) = 'catalog'")
@@ -354,8 +353,8 @@ def find_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"with {GRAPH_SQL} select id, lower(x.label) norm_label from n where regexp_full_match(x.label, '[\x00-\x7F]*')")
 def norm_labels(spark: SparkSession, d: str) -> DataFrame:
-    n = code_graph(spark, d).nodes.where(F.col("label").rlike(r"^\p{ASCII}*$"))
-    return search.with_norm_label(n).select("id", "norm_label")
+    """Of all nodes, null for a null label; the SQL gives those with ASCII labels only."""
+    return search.with_norm_label(code_graph(spark, d).nodes).select("id", "norm_label")
 
 
 @query("with recursive " + PLACES_SQL.format(customers=" union all select 'c_' || c_custkey, 'n_' || c_nationkey from customer") + """
@@ -505,7 +504,8 @@ def url_types(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"select doc_id, substr(regexp_replace(regexp_replace(regexp_replace(u, '[^a-zA-Z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) name from (select doc_id, {_URL} u from documents) where u is not null and regexp_full_match(u, '[\x00-\x7F]*')")
 def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
-    u = table(spark, d, "documents").select("doc_id", ingest.front_matter(F.col("text"), "source_url").alias("url")).where(F.col("url").rlike(r"^\p{ASCII}*$"))
+    """Of all addresses; the SQL gives those in ASCII only."""
+    u = table(spark, d, "documents").select("doc_id", ingest.front_matter(F.col("text"), "source_url").alias("url")).where("url is not null")
     return u.select("doc_id", T.safe_filename(F.col("url")).alias("name"))
 
 
