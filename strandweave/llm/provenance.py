@@ -10,6 +10,7 @@ in every file: rules shared with the library files show copies wherever they lie
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,17 @@ SIGNATURES = (
     r"|(создан|сгенерирован|сформирован)\w* автоматически|автоматически (создан|сгенерирован|сформирован)|не (редактировать|изменять|править)|自動生成|自动生成|編集しないで|请勿(编辑|修改)|不要(编辑|修改)"
 )
 
+#: Comments, blank space and a docstring before the first code, of any length; lines with a hash only where it opens no directive.
+_LEADING = {
+    hashed: re.compile(r"﻿?(?:<\?(?:php\b|xml[^>]*\?>))?(?:\s+|//[^\n]*|--[^\n]*|;[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|[rRuU]?\"{3}[\s\S]*?\"{3}|[rRuU]?'{3}[\s\S]*?'{3}" + (r"|\#[^\n]*" if hashed else "") + ")*")
+    for hashed in (True, False)
+}
+DIRECTIVES = ("c", "h", "cc", "cpp", "cxx", "hh", "hpp", "hxx", "cs", "m", "mm")
+#: After it: comments that begin a line, if they do so in the first HEAD_LINES lines.
+_COMMENT = re.compile(r"^[^\S\n]*(/\*[\s\S]*?\*/|<!--[\s\S]*?-->|(?://|\#|\*|/\*|<!--|--|;|\"{3})[^\n]*)", re.MULTILINE)
+_DOCSTRING = re.compile(r"[rRuU]?(\"{3}|'{3})([\s\S]*?)\1")
+HEAD_LINES = 12
+
 _MASK = (1 << 63) - 1
 SKIP, NAME, CODE, LITERAL, BETWEEN, LINE = range(6)
 
@@ -292,6 +304,27 @@ def library_rules(upstream: DataFrame) -> DataFrame:
     return file_rules(upstream.select(F.lit(0).alias("file_id"), "rel_path", "body")).where("n_tokens >= 4").select("rule").distinct()
 
 
+def head_comments(body: str | None, ext: str | None = None) -> str:
+    """What a file says of itself: all comments and the docstring before its first code, and comments that begin in its first lines."""
+    if not body:
+        return ""
+    body = body.replace("\r\n", "\n").replace("\r", "\n")
+    end = _LEADING[ext not in DIRECTIVES].match(body).end()
+    # without its quotes, so that a docstring's only line isn't taken for a mention
+    said = [_DOCSTRING.sub(r"\2", body[:end])]
+    last = 0
+    for _ in range(HEAD_LINES):
+        last = body.find("\n", last) + 1
+        if not last:
+            last = len(body) + 1
+            break
+    at = body.rfind("\n", 0, end) + 1
+    while (m := _COMMENT.search(body, at)) and m.start(1) < last:
+        said.append(m.group(1))
+        at = m.end()
+    return "\n".join(said)
+
+
 def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
     """(file_id, rel_path, head, ``FEATURES``) of every file of ``files`` (file_id, rel_path, body).
 
@@ -305,12 +338,12 @@ def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (p for whole in batches for p in _parts(whole, 2)):
-            x = _features(b.column(1).to_pylist(), b.column(2).to_pylist(), shared.value)
-            yield pa.record_batch([b.column(0), b.column(3), b.column(4), *[pa.array(x[c]) for c in names]], names=["file_id", "rel_path", "head", *names])
+            exts, bodies = b.column(1).to_pylist(), b.column(2).to_pylist()
+            x = _features(exts, bodies, shared.value)
+            heads = pa.array([head_comments(body, ext) for ext, body in zip(exts, bodies)], pa.string())
+            yield pa.record_batch([b.column(0), b.column(3), heads, *[pa.array(x[c]) for c in names]], names=["file_id", "rel_path", "head", *names])
 
-    # what a file says of itself stands in its first lines
-    head = F.array_join(F.slice(F.split(F.substring_index(F.col("body"), "\n", 12), r"\r\n|\r|\n"), 1, 12), "\n")
-    rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), extension(F.col("rel_path")).alias("ext"), F.col("body").cast("string").alias("body"), "rel_path", head.alias("head"))
+    rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), extension(F.col("rel_path")).alias("ext"), F.col("body").cast("string").alias("body"), "rel_path")
     out = rows.mapInArrow(run, f"file_id bigint, rel_path string, head string, {FEATURES}")
     if few:
         return out
@@ -319,9 +352,8 @@ def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
 
 
 def _signed(head: Column) -> Column:
-    """Whether the comments at a file's head sign it as a tool's output."""
-    comment = F.array_join(F.filter(F.split(head, "\n"), lambda x: x.rlike(r"^\s*(//|#|\*|/\*|<!--|--|;|\"\"\")")), "\n")
-    bare = F.regexp_replace(F.regexp_replace(comment, r"<auto-?generated[^\n]*", "<auto-generated"), r"\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`|“[^”\n]*”", "")
+    """Whether ``head_comments`` sign a file as a tool's output."""
+    bare = F.regexp_replace(F.regexp_replace(head, r"<auto-?generated[^\n]*", "<auto-generated"), r"\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`|“[^”\n]*”", "")
     return bare.rlike("(?i)" + SIGNATURES)
 
 
