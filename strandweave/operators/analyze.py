@@ -110,6 +110,7 @@ def cross_community_surprises(g: Graph, top_n: int = 5) -> DataFrame:
 def surprising_connections(g: Graph, top_n: int = 5) -> DataFrame:
     """Cross-file surprises, or cross-community ones if there are none, or the edges of highest betweenness without communities.
 
+    Betweenness is left out beyond BETWEENNESS_NODES nodes, which gives no rows.
     The choice reads at most two distinct files and one row of each candidate.
     """
     files = g.nodes.where("source_file is not null and source_file <> ''").select("source_file").distinct().limit(2).count()
@@ -119,7 +120,7 @@ def surprising_connections(g: Graph, top_n: int = 5) -> DataFrame:
             return found
     if not g.nodes.where("community is not null").isEmpty():
         return cross_community_surprises(g, top_n)
-    scores = edge_betweenness(g)
+    scores = edge_betweenness(g, BETWEENNESS_NODES)
     return scores.orderBy(F.desc("betweenness"), "src", "tgt").limit(top_n)
 
 
@@ -146,15 +147,15 @@ def diff_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(e).withColumn("summary", F.when(text == "", "no changes").otherwise(text))
 
 
-def edge_betweenness(g: Graph, max_nodes: int = BETWEENNESS_NODES) -> DataFrame:
-    """(src, tgt, betweenness) of every edge by shortest paths from every node; no rows beyond ``max_nodes`` nodes.
+def edge_betweenness(g: Graph, max_nodes: int | None = None) -> DataFrame:
+    """(src, tgt, betweenness) of every edge by shortest paths from every node; no rows beyond ``max_nodes`` nodes, if given.
 
-    The bound keeps the adjacency that is broadcast small; sources are spread over the tasks and
-    their contributions summed.  Undirected paths count once.
+    The work is nodes times edges; sources are spread over the tasks, each with the whole adjacency as
+    two broadcast arrays, and their contributions summed.  Undirected paths count once.
     """
     spark = g.nodes.sparkSession
     schema = "src string, tgt string, betweenness double"
-    if g.nodes.limit(max_nodes + 1).count() > max_nodes or g.edges.isEmpty():
+    if max_nodes is not None and g.nodes.limit(max_nodes + 1).count() > max_nodes or g.edges.isEmpty():
         return spark.createDataFrame([], schema)
     arcs = g.adjacency.where("src <> tgt").select("src", "tgt").toPandas()
     ids = sorted(set(arcs.src) | set(arcs.tgt))
@@ -166,11 +167,12 @@ def edge_betweenness(g: Graph, max_nodes: int = BETWEENNESS_NODES) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, begin, tails = shared.value
-        total: dict[tuple[int, int], float] = {}
+        total = np.zeros(len(tails))
         for pdf in batches:
             for s in pdf["id"]:
                 _brandes(int(s), begin, tails, len(ids), total)
-        rows = [(ids[a], ids[b], v) for (a, b), v in total.items()]
+        heads = np.repeat(np.arange(len(ids)), np.diff(begin))
+        rows = [(ids[min(heads[i], tails[i])], ids[max(heads[i], tails[i])], total[i]) for i in np.flatnonzero(total)]
         yield pd.DataFrame(rows, columns=["src", "tgt", "betweenness"])
 
     sources = spark.range(len(ids), numPartitions=max(1, min(len(ids), spark.sparkContext.defaultParallelism * 2)))
@@ -180,28 +182,26 @@ def edge_betweenness(g: Graph, max_nodes: int = BETWEENNESS_NODES) -> DataFrame:
     return pairs.join(sums, ["src", "tgt"], "left").select("src", "tgt", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def _brandes(s: int, begin: np.ndarray, tails: np.ndarray, n: int, total: dict) -> None:
-    """Adds the dependencies of the shortest paths from s to the edges on them."""
+def _brandes(s: int, begin: np.ndarray, tails: np.ndarray, n: int, total: np.ndarray) -> None:
+    """Adds the dependencies of the shortest paths from s to the arcs on them."""
     depth, paths = np.full(n, -1), np.zeros(n)
     depth[s], paths[s] = 0, 1.0
     levels, frontier = [], np.array([s])
     while len(frontier):
         counts = begin[frontier + 1] - begin[frontier]
         a = np.repeat(frontier, counts)
-        b = tails[np.concatenate([np.arange(begin[x], begin[x + 1]) for x in frontier])] if len(a) else a
-        fresh = depth[b] < 0
-        depth[np.unique(b[fresh])] = depth[s] + len(levels) + 1
+        arcs = np.repeat(begin[frontier] - np.cumsum(counts) + counts, counts) + np.arange(len(a))
+        b = tails[arcs]
+        depth[b[depth[b] < 0]] = len(levels) + 1
         down = depth[b] == len(levels) + 1
         np.add.at(paths, b[down], paths[a[down]])
-        levels.append((a[down], b[down]))
+        levels.append((a[down], b[down], arcs[down]))
         frontier = np.unique(b[down])
     rest = np.zeros(n)
-    for a, b in reversed(levels):
+    for a, b, arcs in reversed(levels):
         share = paths[a] / np.where(paths[b] > 0, paths[b], 1) * (1 + rest[b])
         np.add.at(rest, a, share)
-        for x, y, v in zip(a.tolist(), b.tolist(), share.tolist()):
-            key = (x, y) if x <= y else (y, x)
-            total[key] = total.get(key, 0.0) + v
+        total[arcs] += share
 
 
 def graph_stats(g: Graph) -> DataFrame:

@@ -71,10 +71,13 @@ def local_moving(ids: list[str], edges: list[tuple[str, str]], threshold: float
 def cluster_exact(g: Graph, threshold: float = THRESHOLD, max_edges: int = EXACT_EDGES) -> DataFrame:
     """(cid, id): local moving in one task, communities of over a quarter of the nodes (and over 10) split once, ranked by size.
 
-    Raises ValueError beyond ``max_edges`` edges, where the absolute threshold forbids every move anyway.
+    Where one link's share of the edges is no more than the threshold, no first move gains enough, so every
+    node stays alone at any size.  Raises ValueError for other graphs of over ``max_edges`` edges.
     """
     g = g.undirected()
     if g.edges.limit(max_edges + 1).count() > max_edges:
+        if threshold * g.edges.where("src <> tgt").count() >= 1:
+            return ranked_communities(g.nodes.select(F.col("id").alias("c"), "id"))
         raise ValueError(f"more than {max_edges} edges; use cluster_scalable")
     rows = g.nodes.select(F.lit(0).alias("k"), F.col("id").alias("src"), F.lit(None).cast("string").alias("tgt")).unionByName(g.edges.select(F.lit(0).alias("k"), "src", "tgt"))
 
