@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.session import checkpoint
+from ..sources.session import checkpoint, checkpoint_dir
 from .graph import Graph
 
 #: Gain below which a node doesn't move, and edges up to which the exact mode runs (it can't move anything beyond).
 THRESHOLD, EXACT_EDGES = 1e-4, 10_000
 SPLIT_SHARE, SPLIT_LEAST = 0.25, 10
+#: Sweeps after which a smaller share of the nodes moves at once.
+HALVES = 8
 
 
 def seeded_permutation(n: int, seed: int = 42) -> list[int]:
@@ -105,31 +109,62 @@ def cluster_exact(g: Graph, threshold: float = THRESHOLD, max_edges: int = EXACT
     return rows.groupBy("k").applyInPandas(run, "cid bigint, id string")
 
 
-def cluster_scalable(g: Graph, sweeps: int = 6) -> DataFrame:
-    """(cid, id): synchronous local moving over joins, for graphs of any size.
+def cluster_scalable(g: Graph, sweeps: int | None = None) -> DataFrame:
+    """(cid, id): synchronous local moving over joins until no node gains by a move, for graphs of any size.
 
-    In every sweep the nodes of one half (by a hash of id and sweep) move to the neighbouring
-    community of most positive gain, so that neighbours don't swap for ever.  Links are counted per
-    node and community before they are shuffled; community totals are one aggregation.
+    Communities of over a quarter of the nodes (and over 10) are split once, by local moving on their own
+    edges.  ``sweeps`` bounds the sweeps of each moving; without it there are as many as it takes.
     """
     g = g.undirected()
     adj = checkpoint(g.adjacency.where("src <> tgt").select("src", "tgt"))
+    state = _settled(adj, g.nodes.select("id"), sweeps)
+    limit = max(int(SPLIT_SHARE * state.count()), SPLIT_LEAST)
+    # communities of over a quarter of the nodes are three at most, and of over 10 of fewer nodes none
+    for (c,) in state.groupBy("c").count().where(F.col("count") > limit).select("c").collect():
+        members = state.where(F.col("c") == c).select("id")
+        inside = adj.join(members.withColumnRenamed("id", "src"), "src", "left_semi").join(members.withColumnRenamed("id", "tgt"), "tgt", "left_semi")
+        # a part is named by both, as a node's own name may be in use for a community elsewhere
+        parts = _settled(checkpoint(inside), members, sweeps).select(F.xxhash64(F.lit(c), "c").alias("c"), "id")
+        state = state.where(F.col("c") != c).select("c", "id").unionByName(parts)
+    return ranked_communities(state.select("c", "id"))
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoints' folder and read back: unlike a checkpoint's, its estimated size doesn't grow with every sweep's joins."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _settled(adj: DataFrame, ids: DataFrame, sweeps: int | None) -> DataFrame:
+    """(id, c): communities of local moving over the arcs ``adj`` (src, tgt), every node on its own at first.
+
+    A node wants the neighbouring community of most positive gain.  In every sweep half of those that want
+    to move do (by a hash of id and sweep), so that neighbours don't swap for ever; later ever smaller shares,
+    so that in the end nodes move singly and each move raises the modularity, which ends it.  Gains are whole
+    numbers (in units of 1 / 2m²), so that equal ones are equal.  Links are counted per node and community
+    before they are shuffled; community totals are one aggregation.
+    """
     m = max(1, adj.count() // 2)
     degree = adj.groupBy("src").agg(F.count(F.lit(1)).alias("k")).select(F.col("src").alias("id"), "k")
-    state = checkpoint(g.nodes.select("id").join(degree, "id", "left").select("id", F.coalesce("k", F.lit(0)).alias("k"), F.xxhash64("id").alias("c")))
-    for sweep in range(sweeps):
+    state = checkpoint(ids.join(degree, "id", "left").select("id", F.coalesce("k", F.lit(0)).alias("k"), F.xxhash64("id").alias("c")))
+    sweep = 0
+    while sweeps is None or sweep < sweeps:
         totals = state.groupBy("c").agg(F.sum("k").alias("total"))
-        movers = F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(2)) == 0
-        here = state.where(movers).join(totals, "c").select(F.col("id").alias("src"), "k", F.col("c").alias("own"), F.col("total").alias("own_total"))
+        here = state.select(F.col("id").alias("src"), "k", F.col("c").alias("own"))
         links = adj.join(state.select(F.col("id").alias("tgt"), "c"), "tgt").groupBy("src", "c").agg(F.count(F.lit(1)).alias("n"))
         options = links.join(here, "src").join(totals, "c")
         same = F.col("c") == F.col("own")
-        gain = F.col("n") / m - (F.col("total") - F.when(same, F.col("k")).otherwise(0)) * F.col("k") / (2.0 * m * m)
+        gain = F.col("n") * (2 * m) - (F.col("total") - F.when(same, F.col("k")).otherwise(0)) * F.col("k")
         # of equal gains the own community, then the smallest one
         best = options.groupBy("src").agg(F.max(F.struct(gain.alias("gain"), same.alias("same"), (-F.col("c")).alias("minus"))).alias("x"))
-        moved = best.where("x.gain > 0").select(F.col("src").alias("id"), (-F.col("x.minus")).alias("to"))
-        state = checkpoint(state.join(moved, "id", "left").select("id", "k", F.coalesce("to", "c").alias("c")))
-    return ranked_communities(state.select("c", "id"))
+        wanted = best.where("x.gain > 0 and not x.same").select(F.col("src").alias("id"), (-F.col("x.minus")).alias("to"))
+        moves = F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(2 + sweep // HALVES)) == 0
+        state = _saved(state.join(wanted, "id", "left").select("id", "k", F.when(F.col("to").isNotNull() & moves, F.col("to")).otherwise(F.col("c")).alias("c"), F.col("to").isNotNull().alias("wants")))
+        if state.where("wants").isEmpty():
+            break
+        sweep += 1
+    return state.select("id", "c")
 
 
 def ranked_communities(assigned: DataFrame) -> DataFrame:
