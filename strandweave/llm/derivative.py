@@ -1,11 +1,14 @@
 """Memoised parsing with derivatives for context-free grammars.
 
 The language still to be read is a finite union of concatenations of grammar
-symbols (a set of hash-consed stacks).  Its derivative by a token is again such
-a union; every union is interned and keeps its derivatives in a dictionary, so
-reading a token that was seen before in the same situation is one look-up.
-An empty union marks the token at which the text stops being a prefix of any
-sentence; a union that is not nullable at the end means the text was cut off.
+symbols.  Alternatives that begin with the same symbol share it: a cell is a
+symbol and the union of all that may follow it, so nested alternatives make a
+graph of shared continuations and never a list of all their combinations.  The
+derivative by a token is again such a union; every union is interned and keeps its
+derivatives in a dictionary, so reading a token that was seen before in the same
+situation is one look-up.  An empty union marks the token at which the text stops
+being a prefix of any sentence; a union that is not nullable at the end means the
+text was cut off.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ import re
 
 _TOKEN = re.compile(r"\s*(?:#[^\n]*\n\s*)*('[^']*'|\"[^\"]*\"|[A-Za-z_]\w*|[=|;(){}\[\]!])")
 
-#: Interned unions kept per grammar before the memo is emptied (it is only a cache).
+#: Interned unions kept per grammar before the memo is emptied, within a file too (it is only a cache).
 MAX_STATES = 60_000
+#: Symbols down to which two continuations are compared when they meet.
+MAX_SHARED = 100
 
 
 class _Not:
@@ -28,14 +33,24 @@ class _Not:
 
 
 class Union(dict):
-    """A union of stacks; as a dictionary it maps a token to the derivative."""
+    """A union of cells, one per first symbol; as a dictionary it maps a token to the derivative.
 
-    __slots__ = ("grammar", "stacks", "nullable")
+    ``cells`` are (symbol, rest) with ``rest`` a union of its own; ``empty`` tells whether the empty word is
+    a member beside them, ``nullable`` whether nothing need follow.
+    """
+
+    __slots__ = ("grammar", "cells", "empty", "nullable", "serial")
 
     def __missing__(self, token):
         self[token] = d = self.grammar.derive(self, token)
         return d
 
+    def __hash__(self):
+        return self.serial
+
+    def __eq__(self, other):
+        return self is other
+
 
 class Grammar:
     """EBNF: ``name = a 'x' | [optional] {repeated} (group) ;``, ``!('x' | 'y')`` forbids a next token.
@@ -53,11 +68,12 @@ class Grammar:
         self._null: dict[str, bool] = {}
         self._nullables()
         self._derived: dict[tuple, tuple] = {}
-        self._cells: dict[tuple, tuple] = {}
         self._unions: dict[frozenset, Union] = {}
+        self._joins: dict[frozenset, Union] = {}
         self._starts: dict[str, Union] = {}
         self.start = start
-        self.states = 0
+        self._serial = 0
+        self.end = self._new((), True)
 
     # -- reading the grammar
 
@@ -156,66 +172,83 @@ class Grammar:
             known = self._derived[key] = tuple(found)
         return known
 
-    def _push(self, word: tuple, rest):
-        cells = self._cells
-        for x in reversed(word):
-            key = (x, id(rest))
-            cell = cells.get(key)
-            if cell is None:
-                cell = cells[key] = (x, rest)
-            rest = cell
-        return rest
+    def _new(self, cells: tuple, end: bool) -> Union:
+        u = Union()
+        self._serial += 1
+        u.grammar, u.cells, u.empty, u.serial = self, cells, end, self._serial
+        u.nullable = end or any((isinstance(x, _Not) or self._null.get(x, False)) and rest.nullable for x, rest in cells)
+        return u
 
-    def _union(self, stacks: dict) -> Union:
-        key = frozenset(stacks)
+    def _union(self, cells: set, end: bool) -> Union:
+        """The interned union of these cells, and of the empty word with ``end``."""
+        if not cells and end:
+            return self.end
+        key = frozenset(cells) if not end else frozenset((*cells, None))
         u = self._unions.get(key)
         if u is None:
-            u = Union()
-            u.grammar, u.stacks = self, tuple(stacks.values())
-            u.nullable = any(self._ends(s) for s in u.stacks)
-            self._unions[key] = u
-            self.states += 1
+            if len(self._unions) > MAX_STATES:
+                # serials are never used twice, so what is still held stays right
+                self._unions.clear(), self._joins.clear(), self._starts.clear()
+            u = self._unions[key] = self._new(tuple(cells), end)
         return u
 
-    def _ends(self, stack) -> bool:
-        while stack is not None:
-            x, stack = stack
-            if not (isinstance(x, _Not) or self._null.get(x, False)):
-                return False
-        return True
+    def _shared(self, cells: set, end: bool, depth: int = 0) -> Union:
+        """``_union`` with one cell for each symbol, whose rest is the shared union of what follows it."""
+        by_symbol: dict = {}
+        for x, rest in cells:
+            by_symbol.setdefault(x, []).append(rest)
+        if len(by_symbol) < len(cells):
+            cells = {(x, rests[0] if len(rests) == 1 else self._joined(rests, depth + 1)) for x, rests in by_symbol.items()}
+        return self._union(cells, end)
+
+    def _joined(self, rests: list, depth: int) -> Union:
+        """The union of unions; what lies more than ``MAX_SHARED`` symbols deep is shared when it is reached."""
+        key = frozenset(rests)
+        u = self._joins.get(key)
+        if u is None:
+            cells, end = {c for r in rests for c in r.cells}, any(r.empty for r in rests)
+            u = self._joins[key] = self._shared(cells, end, depth) if depth < MAX_SHARED else self._union(cells, end)
+        return u
+
+    def _push(self, word: tuple, rest: Union) -> Union:
+        for x in reversed(word):
+            rest = self._union({(x, rest)}, False)
+        return rest
 
     def derive(self, union: Union, t: str) -> Union:
-        out: dict = {}
-        for stack in union.stacks:
-            if t in self.skip:
-                out[id(stack)] = stack
-            while stack is not None:
-                x, rest = stack
-                if isinstance(x, _Not):
-                    if t in x.tokens:
-                        break
-                elif x in self.rules:
-                    for w in self._of_symbol(x, t):
-                        s = self._push(w, rest)
-                        out[id(s)] = s
-                    if not self._null[x]:
-                        break
-                else:
-                    if x == t:
-                        out[id(rest)] = rest
-                    break
-                stack = rest
-        return self._union(out)
+        out: set = set()
+        end = False
+        if t in self.skip:
+            out.update(union.cells)
+            end = union.empty
+        seen, todo = set(union.cells), list(union.cells)
+        while todo:
+            x, rest = todo.pop()
+            through = False
+            if isinstance(x, _Not):
+                through = t not in x.tokens
+            elif x in self.rules:
+                for w in self._of_symbol(x, t):
+                    if w:
+                        out.add((w[0], self._push(w[1:], rest)))
+                    else:
+                        out.update(rest.cells)
+                        end |= rest.empty
+                through = self._null[x]
+            elif x == t:
+                out.update(rest.cells)
+                end |= rest.empty
+            if through:
+                new = [c for c in rest.cells if c not in seen]
+                seen.update(new)
+                todo += new
+        return self._shared(out, end)
 
     def initial(self, start: str | None = None) -> Union:
         start = start or self.start
-        if self.states > MAX_STATES:
-            self._cells.clear(), self._unions.clear(), self._starts.clear()
-            self.states = 0
         u = self._starts.get(start)
         if u is None:
-            s = self._push((f"<{start}>",), None)
-            u = self._starts[start] = self._union({id(s): s})
+            u = self._starts[start] = self._push((f"<{start}>",), self.end)
         return u
 
     def accepts(self, tokens, start: str | None = None) -> bool:
@@ -231,11 +264,11 @@ class Grammar:
             u = u[t]
         if u.nullable:
             return None
-        if u.stacks:
+        if u.cells or u.empty:
             return len(tokens)
         u = self.initial(start)
         for i, t in enumerate(tokens):
             u = u[t]
-            if not u.stacks:
+            if not (u.cells or u.empty):
                 return i
         raise AssertionError("unreachable")

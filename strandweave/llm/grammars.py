@@ -408,15 +408,16 @@ binop = '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@'
 unary = {'+' | '-' | '~'} ['await'] primary {suffix} ;
 suffix = '.' id | '(' [args] ')' | '[' slices ']' ;
 primary = id | 'True' | 'False' | 'None' | '...' | NUM | strs | '(' [yielde | tup] ')' | '[' [tup] ']' | '{' [dicts | sets] '}' ;
-tup = snexpr comp | snexpr {',' snexpr} [','] ;
+tup = snexpr (comp | {',' snexpr} [',']) ;
 snexpr = nexpr | '*' bor ;
 dicts = kv (comp | {',' kv} [',']) ;
 kv = expr ':' expr | '**' bor ;
 sets = snexpr (comp | {',' snexpr} [',']) ;
 comp = ['async'] 'for' targets 'in' disj {'if' cif} {['async'] 'for' targets 'in' disj {'if' cif}} ;
 cif = disj | id ':=' disj | 'lambda' [lparams] ':' disj ;
-args = arg {',' arg} [','] | nexpr comp ;
-arg = nexpr | '*' expr | '**' expr | id '=' expr ;
+args = nexpr (comp | {',' arg} [',']) | named {',' arg} [','] ;
+arg = nexpr | named ;
+named = '*' expr | '**' expr | id '=' expr ;
 slices = slice {',' slice} [','] ;
 slice = nexpr | '*' bor | [expr] ':' [expr] [':' [expr]] ;
 strs = STR {STR} ;

@@ -370,7 +370,32 @@ class Python(Language):
         fields = fstring_fields(text)
         if fields is None:
             return False
-        return all(self.grammar.accepts([c for c in map(self.classes.__getitem__, self.lexemes(f)) if c and c != "\n"], "fstring") for f in fields)
+        return all(self.grammar.accepts([c for c in map(self.classes.__getitem__, self.nested_lexemes(f)) if c and c != "\n"], "fstring") for f in fields)
+
+    def verdict(self, body):
+        v = super().verdict(body)
+        if not v.ok and _FORMATTED.search(body):
+            # read again with formatted strings whose fields hold the same quotes
+            self.lexemes = self.nested_lexemes
+            try:
+                v = super().verdict(body)
+            finally:
+                del self.lexemes
+        return v
+
+    def nested_lexemes(self, body: str) -> list[str]:
+        """``lexemes`` with formatted strings read field by field."""
+        if not _FORMATTED.search(body):
+            return self.pattern.findall(body)
+        out, i = [], 0
+        while i <= len(body):
+            m = self.pattern.match(body, i)
+            begin, end = m.span(1)
+            if _FORMATTED.match(body, begin) and not body[begin].isdigit():
+                end = string_end(body, begin) or end
+            out.append(body[begin:end])
+            i = max(end, i + 1)
+        return out
 
     def tokens(self, body):
         out, depth, indents, line_has = [], 0, [(0, 0)], False
@@ -475,56 +500,100 @@ def template_parts(text: str, at: int) -> tuple[list[str], int]:
     return parts, n + 1
 
 
-def fstring_fields(text: str) -> list[str] | None:
-    """Replacement fields of a formatted string's text, without conversions and formats; None if braces don't match."""
-    fields, i, n = [], 0, len(text)
-    while i < n:
+_FORMATTED = re.compile(r"(?:[fFtT][rR]?|[rR][fFtT])(?=['\"])")
+_PLAIN = re.compile(r"\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'")
+_WORDS_BEFORE = re.compile(r"\w")
+
+
+def string_end(text: str, at: int) -> int | None:
+    """Where the string, formatted or not, that begins at ``at`` ends; None if it doesn't."""
+    f = _FORMATTED.match(text, at)
+    if f is None:
+        m = _PLAIN.match(text, at)
+        return m.end() if m else None
+    i = f.end()
+    quote = text[i] * 3 if text.startswith(text[i] * 3, i) else text[i]
+    i += len(quote)
+    while i < len(text):
         c = text[i]
-        if c == "{":
-            if text.startswith("{{", i):
-                i += 2
-                continue
-            begin, depth, i = i + 1, 0, i + 1
-            end = None
-            while i < n:
-                c = text[i]
-                if c in "([{":
-                    depth += 1
-                elif c in ")]" or c == "}" and depth:
-                    depth -= 1
-                elif c == "}":
-                    break
-                elif c in "\"'":
-                    j = text.find(c, i + 1)
-                    i = j if j > 0 else i
-                elif not depth and end is None and (c == ":" or c == "!" and text[i + 1 : i + 2] != "="):
-                    end = i
-                    spec = text[i:]
-                    if c == ":" or ":" in spec:
-                        # a format may hold fields of its own
-                        level, begin_spec = 0, i + 1
-                        while i < n:
-                            level += (text[i] == "{") - (text[i] == "}")
-                            if level < 0:
-                                break
-                            i += 1
-                        inner = fstring_fields(text[begin_spec:i]) if i < n and "{" in text[begin_spec:i] else []
-                        if inner is None:
-                            return None
-                        fields += inner
-                        continue
-                i += 1
-            if i >= n:
-                return None
-            field = text[begin : i if end is None else end]
-            if not field.strip():
+        if text.startswith(quote, i):
+            return i + len(quote)
+        if c == "\\":
+            i += 2
+        elif c == "{" and not text.startswith("{{", i):
+            end = _field_end(text, i + 1)
+            if end is None:
                 return None
-            fields.append(field)
+            i = end + 1
+        elif c == "\n" and len(quote) == 1:
+            return None
+        else:
+            i += 2 if text.startswith("{{", i) else 1
+    return None
+
+
+def _expression_end(text: str, i: int, stops: str) -> int:
+    """The first of ``stops`` outside brackets and strings from ``i`` on, len(text) if there is none."""
+    depth = 0
+    while i < len(text):
+        c = text[i]
+        if c in "\"'" or c in "fFtTrR" and _FORMATTED.match(text, i) and not _WORDS_BEFORE.match(text[i - 1 : i]):
+            i = string_end(text, i) or i + 1
+            continue
+        if not depth and c in stops and not (c == "!" and text[i + 1 : i + 2] == "="):
+            return i
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth < 0:
+                return i if c == "}" else len(text)
+        i += 1
+    return i
+
+
+def _field_end(text: str, i: int) -> int | None:
+    """Where the replacement field that opens before ``i`` closes."""
+    i = _expression_end(text, i, ":!}")
+    if text[i : i + 1] == "!":
+        i = _expression_end(text, i + 1, ":}")
+    if text[i : i + 1] == ":":
+        i += 1
+        while i < len(text) and text[i] != "}":
+            if text[i] == "{":
+                end = _field_end(text, i + 1)
+                if end is None:
+                    return None
+                i = end
             i += 1
+    return i if text[i : i + 1] == "}" else None
+
+
+def fstring_fields(text: str) -> list[str] | None:
+    """Replacement fields of a formatted string's text, without conversions and formats, inner ones too; None if braces don't match."""
+    fields, i = [], 0
+    while i < len(text):
+        c = text[i]
+        if c in "{}" and text.startswith(c * 2, i):
+            i += 2
         elif c == "}":
-            if not text.startswith("}}", i):
+            return None
+        elif c == "{":
+            close, end = _field_end(text, i + 1), _expression_end(text, i + 1, ":!}")
+            if close is None or not text[i + 1 : end].strip():
                 return None
-            i += 2
+            fields.append(text[i + 1 : end])
+            if text[end] == "!":
+                begin, end = end + 1, _expression_end(text, end + 1, ":}")
+                if text[begin:end].rstrip() not in ("s", "r", "a"):
+                    return None
+            if text[end] == ":":
+                # a format may hold fields of its own; its braces don't double
+                inner = fstring_fields(text[end + 1 : close])
+                if inner is None:
+                    return None
+                fields += inner
+            i = close + 1
         else:
             i += 1
     return fields
