@@ -41,6 +41,71 @@ def test_failure_neither_skips_nor_repeats(spark, tmp_path, rows):
     assert rows(b.read()) == [(i,) for i in range(5)]
 
 
+def test_other_commits_of_the_sink_repeat_nothing(spark, tmp_path, rows):
+    a, b, c = (VersionedTable(spark, str(tmp_path / x)) for x in "abc")
+    take = lambda df: df.select("k")
+    a.commit(spark.range(5).toDF("k"))
+    c.commit(spark.range(70, 72).toDF("k"))
+    process_changes(a, b, take)
+    b.commit(delete_where="k = 1")
+    a.commit(spark.range(5, 7).toDF("k"))
+    process_changes(c, b, take)
+    process_changes(a, b, take)
+    assert rows(b.read()) == [(i,) for i in (0, 2, 3, 4, 5, 6, 70, 71)]
+    # a compaction: all rows in one new file, the old ones dropped
+    b.commit(add=b.read().coalesce(1), remove=list(b.manifest(b.latest())["files"]))
+    assert process_changes(a, b, take) is None and b.read().count() == 8
+    handle = append_once(b)
+    handle(spark.range(90, 91).toDF("k"), 0)
+    b.commit(delete_where="k = 0")
+    handle(spark.range(90, 91).toDF("k"), 0)
+    assert b.read().where("k = 90").count() == 1
+
+
+def test_a_delete_touches_only_its_files(spark, tmp_path, rows):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.commit(spark.range(3).toDF("k"))
+    t.commit(spark.range(3, 6).toDF("k"))
+    t.commit(delete_where="k = 4")
+    files = t.manifest(3)["files"]
+    first, second = sorted(files)
+    assert files[first] == [] and len(files[second]) == 1
+    read = {f.split("/data-")[1].split("/")[0] for f in t.changes(2).inputFiles() if "/data-" in f}
+    assert read == {second.removeprefix("data-")}
+    t.commit(delete_where="k = 99")
+    assert t.manifest(4)["files"] == files and t.changes(3) is None
+
+
+def test_two_writers_cannot_take_the_same_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = VersionedTable(spark, str(tmp_path / "t"))
+
+    def one(i):
+        try:
+            t._publish(1, {"files": {}, "info": {"writer": i}})
+            return i
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [i for i in pool.map(one, range(16)) if i is not None]
+    assert len(won) == 1 and t.manifest(1)["info"] == {"writer": won[0]}
+
+
+def test_commit_each_and_deltas(spark, tmp_path, rows):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.commit(spark.createDataFrame([(0, "a", "old"), (0, "z", "old")], "run int, k string, v string"))
+    d = spark.createDataFrame([(3, "a", "x"), (3, None, "n"), (5, "a", "y"), (5, "b", "y"), (9, None, "m")], "run int, k string, v string")
+    assert t.commit_each(d, "run", ["k"]) == {3: 2, 5: 3, 9: 4}
+    assert rows(t.read(2), "k", "v") == sorted([("a", "x"), ("z", "old"), (None, "n")], key=repr)
+    assert rows(t.read(), "k", "v") == sorted([("a", "y"), ("z", "old"), ("b", "y"), (None, "m")], key=repr)
+    assert rows(t.changes(2, 3), "k", "v", "_change") == [("a", "x", "delete"), ("a", "y", "insert"), ("b", "y", "insert")]
+    got = rows(t.deltas(), "k", "v", "_added", "_removed")
+    assert got == sorted([("a", "old", 1, 2), ("z", "old", 1, None), ("a", "x", 2, 3), (None, "n", 2, 4), ("a", "y", 3, None), ("b", "y", 3, None), (None, "m", 4, None)], key=repr)
+    assert t.commit_each(d.limit(0), "run", ["k"]) == {} and t.deltas(4) is None
+
+
 def test_batches_are_committed_once(spark, tmp_path, rows):
     t = VersionedTable(spark, str(tmp_path / "s"))
     handle = append_once(t)
