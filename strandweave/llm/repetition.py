@@ -3,8 +3,10 @@
 One pass over a text gives the share of its letters that lie in phrases, sentences,
 lines or paragraphs that occurred earlier in it.  Documents stand out by robust
 multivariate statistics: a minimum-covariance-determinant estimate per language and
-source, found by distributed concentration steps, and the Mahalanobis distance of
-every document's transformed statistics from it.
+source, and the Mahalanobis distance of every document's transformed statistics from
+it.  The estimates cover all documents: these are summed up exactly in the cells of a
+grid, whose number doesn't grow with the documents, and the concentration steps run
+over the cells of a group.
 """
 
 from __future__ import annotations
@@ -18,30 +20,43 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.session import checkpoint
 
 #: Words of a phrase, and characters of one in scripts written without spaces.
 PHRASE_WORDS, PHRASE_CHARS = 5, 12
+#: A run of more letters than this is no word; it is read letter by letter, like scripts without spaces.
+LONGEST_WORD = 48
 #: Share of repeated letters from which a document counts as repetitive.
 LARGE = 0.4
-#: A clean group's centre may lie at this share at most, however its own documents look.
-TOLERATED = 0.2
-#: Share of a group that a concentration step keeps, and how many steps there are.
-KEPT, STEPS = 0.75, 2
+#: Share of a group's documents whose scatter has the least determinant.
+KEPT = 0.5
+#: Starts of the search for them, from subsets drawn by a fixed seed besides the group's medians, and steps of each at most.
+STARTS, STEPS = 12, 100
 #: Groups with fewer documents take the estimate of their language, and that of all documents below it.
 LEAST = 50
 #: 0.975 quantile of chi-squared with 4 degrees of freedom.
 CUTOFF = 11.143
+#: Width of the grid's cells, and least standard deviation of an estimate.
+WIDTH = 1 / 16
 STATS = ("share", "phrases", "units", "vocabulary")
 _P = len(STATS)
-_RIDGE = 1e-4
 
 _SPACELESS = "぀-ヿ㐀-䶿一-鿿豈-﫿฀-๿຀-໿က-႟ក-៿ｦ-ﾟ\U00020000-\U0003FFFF"
 #: Words, single characters of scripts without spaces, and the ends of sentences, lines and paragraphs.
 _TOKENS = re.compile(f"[{_SPACELESS}]|[^\\W\\d_{_SPACELESS}]+|\n\\s*\n|\n|[.!?…]+(?=[\\s\"'”»)\\]]|$)|[。！？｡]")
-_ONE = re.compile(f"[{_SPACELESS}]")
+#: Marks a letter of a run that is too long for a word.
+_LETTER = "\0"
+_ONE = re.compile(f"[{_SPACELESS}{_LETTER}]")
+
+
+def _spelled(words: list[str], ends: list[tuple[int, int]]) -> tuple[list[str], list[tuple[int, int]]]:
+    """The words with runs of too many letters spelled out, and the ends moved accordingly."""
+    out, at = [], [0]
+    for w in words:
+        out += [_LETTER + c for c in w] if len(w) > LONGEST_WORD else [w]
+        at.append(len(out))
+    return out, [(at[i], what) for i, what in ends]
 
 
 def measure(text: str) -> tuple[int, int, int, int, int, int]:
@@ -59,6 +74,9 @@ def measure(text: str) -> tuple[int, int, int, int, int, int]:
     ends.append((n, 2))
     sizes = [len(w) for w in words]
     letters = sum(sizes)
+    if max(sizes) > LONGEST_WORD:
+        words, ends = _spelled(words, ends)
+        n, sizes = len(words), [1 if w[0] == _LETTER else len(w) for w in words]
 
     phrase = bytearray(n)
     grams = list(zip(*(words[i:] for i in range(PHRASE_WORDS))))
@@ -133,78 +151,157 @@ def repetition_shares(documents: DataFrame) -> DataFrame:
     return documents.select(*cols).mapInArrow(_measure_batches, SCHEMA)
 
 
-def _sums() -> list[Column]:
-    """Count, sums and sums of products, the sufficient statistics of mean and covariance."""
+_PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
+_SUMS = ["n", *[f"s{i}" for i in range(_P)], *[f"p{i}{j}" for i, j in _PAIRS]]
+
+
+def _grid(lettered: DataFrame) -> DataFrame:
+    """(level, lang, source, cell, sums): documents in cells of the grid, per source (2), per language (1) and of all (0).
+
+    Rows are summed before they are shuffled; a cell has its number, sums and sums of products.
+    """
     x = [F.col("x")[i] for i in range(_P)]
-    return [F.count(F.lit(1)).cast("double"), *[F.sum(a) for a in x], *[F.sum(x[i] * x[j]) for i in range(_P) for j in range(i, _P)]]
-
-
-@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("center", "precision")]))
-def _estimate(own: pd.Series, language: pd.Series, all_: pd.Series) -> pd.DataFrame:
-    """Centre and inverse scatter from the finest level with enough documents, both held to what a clean group can be."""
-    top, widest = math.asin(math.sqrt(TOLERATED)), (math.asin(math.sqrt(LARGE)) - math.asin(math.sqrt(TOLERATED))) / math.sqrt(CUTOFF)
-    out = []
-    for levels in zip(own, language, all_):
-        s = next((s for s in levels if s is not None and s[0] >= LEAST), levels[-1])
-        n, mean = s[0], np.array(s[1 : 1 + _P]) / s[0]
-        cov = np.zeros((_P, _P))
-        cov[np.triu_indices(_P)] = np.array(s[1 + _P :]) / n
-        cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-        # the kept part of a normal sample is narrower than the sample
-        cov = cov * 1.9 + np.eye(_P) * _RIDGE
-        mean[:3] = np.minimum(mean[:3], top)
-        held = np.ones(_P)
-        held[:3] = np.minimum(1.0, widest / np.sqrt(np.diag(cov)[:3]))
-        out.append((mean.tolist(), np.linalg.inv(cov * np.outer(held, held)).ravel().tolist()))
-    return pd.DataFrame(out, columns=["center", "precision"])
-
-
-def _distance() -> Column:
-    """Squared Mahalanobis distance of x from center, by ``precision``."""
-    d = [F.col("x")[i] - F.col("center")[i] for i in range(_P)]
-    terms = [d[i] * d[j] * F.col("precision")[i * _P + j] for i in range(_P) for j in range(_P)]
-    return sum(terms[1:], terms[0])
-
-
-def _estimates(kept: DataFrame) -> DataFrame:
-    """One row per language and source: center and precision.  Rows are aggregated before they are shuffled."""
-    own = kept.groupBy("lang", "source").agg(*[c.alias(f"s{i}") for i, c in enumerate(_sums())])
-    k = 1 + _P + _P * (_P + 1) // 2
-    up = lambda *by: own.groupBy(*by).agg(F.array(*[F.sum(f"s{i}") for i in range(k)]).alias("sums"))
-    language = up("lang").select(F.col("lang").alias("_l"), F.col("sums").alias("by_lang"))
-    everything = own.agg(F.array(*[F.sum(f"s{i}") for i in range(k)]).alias("by_all"))
-    joined = own.select("lang", "source", F.array(*[f"s{i}" for i in range(k)]).alias("own")).join(language, F.col("lang").eqNullSafe(F.col("_l")), "left")
-    # one row
-    joined = joined.crossJoin(F.broadcast(everything))
-    return joined.select("lang", "source", _estimate("own", "by_lang", "by_all").alias("e")).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "e.center", "e.precision")
+    # arcs take less than 26 cells each; the logarithm is below 40 for any text
+    cell = sum((F.shiftleft(F.floor(x[i] / WIDTH).cast("bigint"), 10 * i) for i in range(1, _P)), F.floor(x[0] / WIDTH).cast("bigint"))
+    sums = [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(_P)], *[F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i, j in _PAIRS]]
+    finest = lettered.groupBy("lang", "source", cell.alias("cell")).agg(*sums)
+    no = F.lit(None).cast("string")
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), a.alias("lang"), b.alias("source")) for k, a, b in ((2, F.col("lang"), F.col("source")), (1, F.col("lang"), no), (0, no, no))])
+    spread = finest.select(F.explode(levels).alias("g"), "cell", *_SUMS)
+    return spread.groupBy("g", "cell").agg(*[F.sum(c).alias(c) for c in _SUMS]).select("g.level", "g.lang", "g.source", "cell", *_SUMS)
+
+
+def _chi2(x: float, degrees: int) -> float:
+    """Distribution function of chi-squared for an even number of degrees of freedom."""
+    term = total = math.exp(-x / 2)
+    for k in range(1, degrees // 2):
+        term *= x / 2 / k
+        total += term
+    return 1 - total
+
+
+def _consistency(kept: float, below: float | None = None) -> float:
+    """What makes the scatter of the nearest part ``kept`` of a normal sample that of the whole; ``below`` is its limit if known."""
+    if below is None:
+        lo, hi = 0.0, 100.0
+        for _ in range(60):
+            below = (lo + hi) / 2
+            lo, hi = (below, hi) if _chi2(below, _P) < kept else (lo, below)
+    return kept / _chi2(below, _P + 2)
+
+
+def minimum_covariance(n: np.ndarray, s: np.ndarray, p: np.ndarray, kept: float = KEPT) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of the part ``kept`` with the least determinant, then of all that lie within the cutoff of it.
+
+    n, s, p: number, sums and sums of products of every cell.  A cell lies where its mean lies; the last
+    one that is taken counts in part, so that exactly the wanted part is kept.
+    """
+    mean, floor = s / n[:, None], np.eye(_P) * WIDTH**2
+    total = n.sum()
+
+    def fit(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = weight @ n
+        center = (weight[:, None] * s).sum(0) / k
+        return center, (weight[:, None, None] * p).sum(0) / k - np.outer(center, center)
+
+    def distances(center: np.ndarray, scatter: np.ndarray) -> np.ndarray:
+        d = mean - center
+        return np.einsum("ki,ij,kj->k", d, np.linalg.inv(scatter + floor), d)
+
+    def nearest(d: np.ndarray) -> np.ndarray:
+        order = np.argsort(d, kind="stable")
+        before = np.cumsum(n[order]) - n[order]
+        weight = np.empty(len(n))
+        weight[order] = np.clip((kept * total - before) / n[order], 0, 1)
+        return weight
+
+    def median(x: np.ndarray) -> float:
+        order = np.argsort(x, kind="stable")
+        return x[order][np.searchsorted(np.cumsum(n[order]), total / 2)]
+
+    middle = np.array([median(mean[:, i]) for i in range(_P)])
+    spread = np.array([median(np.abs(mean[:, i] - middle[i])) for i in range(_P)])
+    begins = [(middle, np.diag((1.4826 * spread) ** 2))]
+    draw = np.random.default_rng(0)
+    for _ in range(STARTS):
+        few = draw.choice(len(n), size=_P + 1, p=n / total)
+        begins.append((mean[few].mean(0), np.cov(mean[few].T, bias=True)))
+    best = None
+    for center, scatter in begins:
+        size = math.inf
+        for _ in range(STEPS):
+            center, scatter = fit(nearest(distances(center, scatter)))
+            now = np.linalg.slogdet(scatter + floor)[1]
+            if now >= size - 1e-12:
+                break
+            size = now
+        if best is None or size < best[0] - 1e-12:
+            best = size, center, scatter
+    _, center, scatter = best
+    scatter = scatter * _consistency(kept)
+    within = (distances(center, scatter) <= CUTOFF).astype(float)
+    if within.any():
+        center, scatter = fit(within)
+        scatter = scatter * _consistency(0.975, CUTOFF)
+    return center, scatter + floor
+
+
+def _estimate(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The estimate of one group, null for fewer than LEAST documents."""
+    pdf = pdf.sort_values("cell")
+    n = pdf["n"].to_numpy()
+    center = precision = None
+    if n.sum() >= LEAST:
+        p = np.zeros((len(n), _P, _P))
+        for i, j in _PAIRS:
+            p[:, i, j] = p[:, j, i] = pdf[f"p{i}{j}"]
+        center, scatter = minimum_covariance(n, pdf[[f"s{i}" for i in range(_P)]].to_numpy(), p)
+        center, precision = center.tolist(), np.linalg.inv(scatter).ravel().tolist()
+    first = pdf.iloc[0]
+    return pd.DataFrame({"level": [first["level"]], "lang": [first["lang"]], "source": [first["source"]], "center": [center], "precision": [precision]})
+
+
+def _distance(x: Column, center: Column, precision: Column) -> Column:
+    """Squared Mahalanobis distance of x from center."""
+    d = F.zip_with(x, center, lambda a, b: a - b)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(_P - 1)), lambda i: F.aggregate(F.zip_with(d, F.slice(precision, i * _P + 1, _P), lambda a, b: a * b), F.lit(0.0), lambda u, v: u + v))
+    return F.aggregate(F.zip_with(d, rows, lambda a, b: a * b), F.lit(0.0), lambda u, v: u + v)
+
+
+def estimates(shares: DataFrame) -> DataFrame:
+    """(lang, source, level, center, precision): the estimate that the documents of each language and source are held against.
+
+    It is the finest one of source (level 2), language (1) and all documents (0) that exists (LEAST) and
+    is no outlier itself: a group whose centre lies beyond the cutoff of the next coarser estimate is
+    repetitive throughout and takes that one.  The coarsest (-1) is a text that repeats nothing, with the
+    grid's width as scatter.
+    """
+    found = _grid(shares.where("n_letters > 0")).groupBy("level", "lang", "source").applyInPandas(_estimate, "level int, lang string, source string, center array<double>, precision array<double>")
+    found = checkpoint(found)
+    of = lambda k, *names: found.where(F.col("level") == k).select(*[F.col(c).alias(c + str(k)) for c in ("lang", "source", "center", "precision")]).drop(*names)
+    joined = of(2).join(of(1, "source1"), F.col("lang2").eqNullSafe(F.col("lang1")), "left").crossJoin(F.broadcast(of(0, "lang0", "source0")))  # one row
+    nothing = [F.array(*[F.lit(0.0)] * _P), F.array(*[F.lit(1.0 / WIDTH**2 if i == j and i < 3 else 0.0) for i in range(_P) for j in range(_P)])]
+    level, center, precision = F.lit(-1), *nothing
+    for k in (0, 1, 2):
+        good = F.coalesce(_distance(F.col(f"center{k}"), center, precision) <= CUTOFF, F.lit(False))
+        level, center, precision = (F.when(good, new).otherwise(old) for new, old in ((F.lit(k), level), (F.col(f"center{k}"), center), (F.col(f"precision{k}"), precision)))
+        joined = joined.select("*", level.alias(f"_l{k}"), center.alias(f"_c{k}"), precision.alias(f"_p{k}"))
+        level, center, precision = F.col(f"_l{k}"), F.col(f"_c{k}"), F.col(f"_p{k}")
+    return joined.select(F.col("lang2").alias("lang"), F.col("source2").alias("source"), level.alias("level"), center.alias("center"), precision.alias("precision"))
 
 
 def robust_distances(shares: DataFrame) -> DataFrame:
-    """``shares`` with distance: the squared robust Mahalanobis distance from the document's language and source.
+    """``shares`` with distance: the squared robust Mahalanobis distance from the ``estimates`` of the document's language and source.
 
-    The first half-sample of a group is the one nearest to its medians; every concentration step
-    estimates from the ``KEPT`` part nearest to the last estimate.  Documents without letters take no
-    part in the estimates and have a null distance.
+    Documents without letters take no part in the estimates and have a null distance.
     """
-    lettered = shares.where("n_letters > 0")
-    medians = lettered.groupBy("lang", "source").agg(
-        F.array(*[F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(_P)]).alias("center"),
-        F.array(*[F.lit(1.0 if i == j else 0.0) for i in range(_P) for j in range(_P)]).alias("precision"),
-    ).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "center", "precision")
+    known = estimates(shares).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "center", "precision")
     on = F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
-    estimate = medians
-    for _ in range(STEPS):
-        near = lettered.join(estimate, on).select("lang", "source", "x", _distance().alias("d"))
-        limits = near.groupBy("lang", "source").agg(F.percentile_approx("d", KEPT, 1000).alias("limit")).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "limit")
-        estimate = checkpoint(_estimates(near.join(limits, on).where("d <= limit").select("lang", "source", "x")))
-    return shares.join(estimate, on, "left").withColumn("distance", F.when(F.col("n_letters") > 0, _distance())).drop("_l", "_s", "center", "precision")
+    distance = F.when(F.col("n_letters") > 0, _distance(F.col("x"), F.col("center"), F.col("precision")))
+    return shares.join(known, on, "left").withColumn("distance", distance).drop("_l", "_s", "center", "precision")
 
 
 def repetitive_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, share, distance) of the documents rejected by their distance whose share is large.
-
-    Centres are held to ``TOLERATED`` and scatters so narrow that a share of ``LARGE`` always lies
-    beyond the cutoff: a source of nothing but repetition hides none.  The share itself is the exact check.
-    """
+    """(doc_id, share, distance) of the documents that their distance rejects and whose share, checked exactly, is large."""
     shares = checkpoint(repetition_shares(documents))
     return robust_distances(shares).where((F.col("distance") > CUTOFF) & (F.col("share") >= LARGE)).select("doc_id", "share", "distance")

@@ -157,6 +157,9 @@ def test_measures():
     assert abs(share(s * 4) - 0.75) < 1e-9 and abs(share(s + s.upper().replace(".", " 12) -")) - 0.5) < 1e-9
     assert share("a\nb\na\n") == pytest.approx(1 / 3) and share("spam " * 50) > 0.9
     assert share("密な索引は固い緩衝を調べる。" * 3) == pytest.approx(2 / 3)
+    assert share("a lead " + "diagram" * 40) > 0.9 and share("a " + "".join(map(chr, range(0x10A0, 0x10A0 + 30))) * 2) > 0.4
+    random.seed(5)
+    assert share("".join(random.choice("abcdefghijkl") for _ in range(5000))) < 0.01
     assert share("x y z. p q r.\n\nx y z. p q r.\n\n") == 0.5
     assert share(" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))) == 0
 
@@ -177,6 +180,36 @@ def test_repetitive_documents_stand_out_even_in_a_source_of_nothing_else(spark,
     assert repetition.repetition_shares(d).count() == len(data) and repetition.repetitive_documents(d.limit(0)).count() == 0
 
 
+def test_minimum_covariance_withstands_contamination():
+    draw = np.random.default_rng(3)
+    root = np.array([[0.2, 0, 0, 0], [0.1, 0.15, 0, 0], [0, 0.05, 0.2, 0], [0.1, 0, 0, 0.3]])
+    clean = draw.normal(size=(6000, 4)) @ root.T + [0.5, 0.4, 0.6, 1.0]
+    x = np.concatenate((clean, draw.normal(size=(1500, 4)) * 0.2 + [1.5, 1.5, 1.5, 3.0]))
+    center, scatter = repetition.minimum_covariance(np.ones(len(x)), x, x[:, :, None] * x[:, None, :])
+    assert np.abs(center - [0.5, 0.4, 0.6, 1.0]).max() < 0.03
+    assert np.abs(scatter - np.eye(4) * repetition.WIDTH**2 - root @ root.T).max() < 0.02
+    # sums in cells give what single documents give, but for the cell at the border
+    cells = {}
+    for row in x:
+        cells.setdefault(tuple(np.floor(row / repetition.WIDTH)), []).append(row)
+    n = np.array([len(c) for c in cells.values()], dtype=float)
+    s = np.array([np.sum(c, axis=0) for c in cells.values()])
+    p = np.array([np.einsum("ki,kj->ij", c, c) for c in map(np.array, cells.values())])
+    by_cell = repetition.minimum_covariance(n, s, p)
+    assert np.abs(by_cell[0] - center).max() < 0.02 and np.abs(by_cell[1] - scatter).max() < 0.01
+
+
+def test_estimates_of_sources(spark):
+    """A source of nothing but repetition takes its language's estimate, a small one too, and a usual one its own."""
+    data = [("en", "good", [0.01 * (i % 9), 0.0, 0.0, 0.5 + 0.01 * (i % 50)]) for i in range(200)]
+    data += [("en", "spam", [1.2, 1.2, 1.1, 2.0 + 0.01 * (i % 7)]) for i in range(150)] + [("en", "few", [0.0, 0.0, 0.0, 0.7])] * 3 + [(None, None, [0.1, 0.0, 0.0, 0.6])]
+    d = spark.createDataFrame([(i, *x, 10) for i, x in enumerate(data)], "doc_id long, lang string, source string, x array<double>, n_letters long")
+    level = {(r.lang, r.source): r.level for r in repetition.estimates(d).collect()}
+    assert level == {("en", "good"): 2, ("en", "spam"): 1, ("en", "few"): 1, (None, None): 0}
+    far = {r.source for r in repetition.robust_distances(d).where(f"distance > {repetition.CUTOFF}").select("source").distinct().collect()}
+    assert far == {"spam"}
+
+
 # -- provenance
 
 
