@@ -1,8 +1,10 @@
 """Problem 4: references to records that do not exist.
 
-Distinct foreign keys meet the parents' lifetimes once; the outcome is joined back
-to the references.  A key that a large part of all references hold is one row on
-the parents' side, and its references are split by adaptive skew joins.
+Distinct non-null foreign keys are anti-joined with the parents' keys: what is left
+never existed.  Of the other keys those are kept whose parents' lifetimes don't cover
+all of their references.  Both are joined back to the references, of which the rest
+need not be looked at again.  Keys that hold a large part of all references are
+salted for that join.
 """
 
 from __future__ import annotations
@@ -11,22 +13,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, normalize_id
-from ..sources.session import checkpoint
+from ..sources.session import written
 
 _END = "timestamp_micros(9223372036854775807)"
 
 
 def lifetimes(parents: DataFrame, key: Column) -> DataFrame:
-    """(key, spans): the disjoint spans [added_at, deleted_at) in which a record of the key was alive.
+    """(key, spans): the disjoint spans [added_at, deleted_at) in which a record of the key was alive, none for a null key.
 
-    Rows without added_at never lived.  Spans are merged within a month first and then over all,
-    so that a key with many rows is not one task's work.
+    Rows without added_at never lived; a key of only such rows has an empty array.  Spans are merged
+    within a month first and then over all, so that a key with many rows is not one task's work.
     """
     end = F.coalesce(F.col("deleted_at"), F.expr(_END))
-    rows = parents.where(F.col("added_at").isNotNull()).select(key.alias("key"), F.col("added_at").alias("begin"), end.alias("end")).where("key is not null and end > begin")
+    alive = F.col("added_at").isNotNull() & (end > F.col("added_at"))
+    rows = parents.select(key.alias("key"), F.when(alive, F.col("added_at")).alias("begin"), F.when(alive, end).alias("end")).where("key is not null")
     once = rows.groupBy("key", "begin").agg(F.max("end").alias("end"))
     merged = _merge(_merge(once.withColumn("month", F.trunc("begin", "month")), "key", "month").drop("month"), "key")
-    return merged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    return merged.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("begin").isNotNull(), F.struct("begin", "end")))).alias("spans"))
 
 
 def _merge(spans: DataFrame, *by: str) -> DataFrame:
@@ -43,31 +46,52 @@ def references(edges: DataFrame) -> DataFrame:
     return edges.select("ord", "seen_at", F.inline(ends)).where(F.col("id").isNotNull() & ~is_blank(F.col("id"))).select("ord", "endpoint", normalize_id(F.col("id")).alias("key"), "seen_at")
 
 
-def judged_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``references`` with orphan: no node of the key was alive at seen_at.
+#: A key that holds more than one reference in so many is hot (there are fewer such keys than that) and is split into SALTS.
+HOT_ONE_IN, SALTS = 1000, 64
 
-    A null seen_at is in no lifetime, so its references are orphans.  Edges delivered twice count each.
+
+def suspect_keys(refs: DataFrame, parents: DataFrame, key: Column) -> DataFrame:
+    """(key, n, spans): the distinct keys of ``refs`` that may have orphans, with the number of their references.
+
+    spans is null for keys that no parent ever had (left anti-join); other keys are left out if one of
+    their lifetimes holds all their references, from the first seen_at to the last.
+    """
+    keys = refs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count("seen_at").alias("n_seen"), F.min("seen_at").alias("first"), F.max("seen_at").alias("last"))
+    known = lifetimes(parents.where(F.col("id").isNotNull()), key)
+    never = keys.join(known, "key", "left_anti").select("key", "n", F.lit(None).cast("array<struct<begin:timestamp,end:timestamp>>").alias("spans"))
+    covered = (F.col("n") == F.col("n_seen")) & F.exists("spans", lambda s: (s["begin"] <= F.col("first")) & (F.col("last") < s["end"]))
+    return never.unionByName(keys.join(known, "key").where(~covered).select("key", "n", "spans"))
+
+
+def judged_suspects(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ord, endpoint, seen_at, ever) of every reference of ``edges`` to a node that isn't alive at seen_at.
+
+    ever: whether a node of that key was in the table at all.  A null seen_at is in no lifetime, so its
+    references are orphans.  Edges delivered twice count each.
     """
     refs = references(edges)
-    keys = refs.select("key").distinct()
-    # written, so that the join back shuffles both of its sides and adaptive execution may split a frequent key's references
-    known = checkpoint(keys.join(lifetimes(nodes.where(F.col("id").isNotNull()), normalize_id(F.col("id"))), "key"))
-    # a computed key, since the written frame's partitioning by it would spare that exchange and forbid the split
-    known = known.select(F.concat("key", F.lit("")).alias("_key"), "spans")
+    # written, so that its true size decides whether it is sent to the references or these are shuffled
+    suspects = written(suspect_keys(refs, nodes, normalize_id(F.col("id"))))
+    hot = F.col("n") * HOT_ONE_IN > 2 * edges.count()
+    # fewer than HOT_ONE_IN rows
+    marked = refs.join(F.broadcast(suspects.where(hot).select("key", F.lit(True).alias("hot"))), "key", "left")
+    salted = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("ord", "endpoint"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("hot")
+    copies = suspects.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
     seen = F.col("seen_at")
     alive = F.coalesce(F.exists("spans", lambda s: (s["begin"] <= seen) & (seen < s["end"])), F.lit(False))
-    return refs.join(known, F.col("key") == F.col("_key"), "left").select("ord", "endpoint", "key", "seen_at", F.col("spans").isNotNull().alias("ever"), (~alive).alias("orphan"))
+    return salted.join(copies, ["key", "salt"]).where(~alive).select("ord", "endpoint", "seen_at", F.col("spans").isNotNull().alias("ever"))
 
 
 def orphan_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(ord, endpoint) of every reference to a node that isn't alive at seen_at."""
-    return judged_references(edges, nodes).where("orphan").select("ord", "endpoint")
+    """(ord, endpoint) of every reference to a node that isn't alive at seen_at; a table of suspects is written when it is called."""
+    return judged_suspects(edges, nodes).select("ord", "endpoint")
 
 
 def orphan_counts(edges: DataFrame, nodes: DataFrame, table: str = "edges") -> DataFrame:
     """Per table, endpoint and month of seen_at: references, orphans, and those whose key never existed."""
-    return (
-        judged_references(edges, nodes)
-        .groupBy(F.lit(table).alias("table_name"), "endpoint", F.trunc("seen_at", "month").alias("period"))
-        .agg(F.count(F.lit(1)).alias("n_references"), F.count_if("orphan").alias("n_orphans"), F.count_if(~F.col("ever")).alias("n_never_existed"))
-    )
+    by = lambda df, *more: df.groupBy("endpoint", F.trunc("seen_at", "month").alias("period")).agg(*more)
+    all_ = by(references(edges), F.count(F.lit(1)).alias("n_references"))
+    lost = by(judged_suspects(edges, nodes), F.count(F.lit(1)).alias("n_orphans"), F.count_if(~F.col("ever")).alias("n_never_existed")).select(F.col("endpoint").alias("_e"), F.col("period").alias("_p"), "n_orphans", "n_never_existed")
+    joined = all_.join(lost, (F.col("endpoint") == F.col("_e")) & F.col("period").eqNullSafe(F.col("_p")), "left")
+    zero = F.lit(0).cast("bigint")
+    return joined.select(F.lit(table).alias("table_name"), "endpoint", "period", "n_references", F.coalesce("n_orphans", zero).alias("n_orphans"), F.coalesce("n_never_existed", zero).alias("n_never_existed"))

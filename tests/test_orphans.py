@@ -43,3 +43,24 @@ def test_lifetimes_are_disjoint_and_empty_tables_work(spark):
     none_e, none_n = spark.createDataFrame([], E), spark.createDataFrame([], N)
     assert orphan_references(none_e, n).count() == 0
     assert orphan_references(spark.createDataFrame([(1, "k", "q", T(1), None)], E), none_n).count() == 2
+
+
+def test_hot_keys_are_salted_without_a_change_of_rows(spark, monkeypatch):
+    from strandweave.operators import orphans
+
+    nodes = [("hot", T(0), T(5), None), ("cold", T(0), None, None), ("never lived", None, None, None)]
+    edges = [(i, "hot" if i % 3 else "gone", ("cold", "never_lived", "Hot", None)[i % 4], T(i % 9) if i % 7 else None, "x") for i in range(3000)]
+    n, e = spark.createDataFrame(nodes, N), spark.createDataFrame(edges, E)
+    want = brute(nodes, edges)
+    for one_in, threshold in ((1000, "10MB"), (1000, "-1"), (1, "-1"), (10**9, "-1"), (10**9, "10MB")):
+        monkeypatch.setattr(orphans, "HOT_ONE_IN", one_in)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = [tuple(r) for r in orphan_references(e, n).collect()]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert len(got) == len(want) and set(got) == want
+    counts = orphan_counts(e, n).collect()
+    assert sum(r.n_orphans for r in counts) == len(want) and sum(r.n_never_existed for r in counts) == sum(x[1] == "gone" for x in edges)
+    plan = orphans.suspect_keys(orphans.references(e), n, normalize_id(F.col("id")))._jdf.queryExecution().toString()
+    assert "LeftAnti" in plan
