@@ -4,24 +4,22 @@ Only the histogram of sizes enters the packing, which is bounded by the capacity
 not by the number of documents.  Martello and Toth's dominance criterion first fixes
 sets of up to three sizes that no other choice can beat, many containers at a time;
 best fit packs what remains.  Documents then take their places by their rank among
-those of equal size.
+those of equal size, counted in salted groups.  Full parts of documents beyond the
+capacity fill a container each and are only numbered.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.session import bounded, checkpoint
+from ..sources.session import bounded, written
 
-#: Groups that documents of one size are ranked in, so that a frequent size is not one task.
-SALTS = 64
-#: Places (runs of containers for a size) that are sent to every task; more are joined instead.
-MAX_PLACES = 500_000
+#: Documents of a size are ranked in this many groups at least, and in more if one would have over GROUP documents.
+SALTS, GROUP = 64, 500_000
 #: Windows (parameters, not data) that documents are packed for at once.
 MAX_WINDOWS = 1000
 OUTPUT = "window_name string, capacity bigint, container_id bigint, doc_id bigint, part bigint, start_token bigint, n_tokens bigint"
@@ -175,73 +173,62 @@ def _solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 PLACES = "window_name string, capacity bigint, size bigint, rank_from bigint, rank_to bigint, first bigint, each bigint"
 
 
-def pieces(sizes: DataFrame, windows: DataFrame) -> DataFrame:
-    """(window_name, capacity, doc_id, part, start_token, size): documents, those beyond the capacity cut into full parts and a rest."""
+def cut(sizes: DataFrame, windows: DataFrame) -> DataFrame:
+    """(window_name, capacity, doc_id, n_full, size): per window, the full parts that a document is cut into and what is left.
+
+    size is null where full parts leave nothing, and 0 for an empty document.
+    """
     usable = windows.where("capacity > 0 and window_name is not null").select("window_name", F.col("capacity").cast("bigint").alias("capacity")).distinct()
     both = sizes.crossJoin(bounded(usable, MAX_WINDOWS, "windows"))
-    parts = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")).cast("bigint"), F.lit(1))
-    cut = both.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    start = F.col("part") * F.col("capacity")
-    return cut.select("window_name", "capacity", "doc_id", "part", start.alias("start_token"), F.least(F.col("capacity"), F.col("n_tokens") - start).alias("size"))
+    rest = F.col("n_tokens") % F.col("capacity")
+    return both.select("window_name", "capacity", "doc_id", F.floor(F.col("n_tokens") / F.col("capacity")).alias("n_full"), F.when((rest > 0) | (F.col("n_tokens") <= 0), rest).alias("size"))
 
 
 def pack_documents(sizes: DataFrame, windows: DataFrame) -> DataFrame:
     """``OUTPUT``: every document of ``sizes`` (doc_id, n_tokens) in containers of each of ``windows`` (window_name, capacity).
 
-    A document is split only if it is larger than the capacity: into full parts and a rest.
-    Documents of size 0 go to the containers in turn (container 0 if there are no others); a null size
-    counts as 0.  Windows without a name or a positive capacity are left out, repeated windows count once;
-    repeated doc_ids are items of their own.
+    A document is split only if it is larger than the capacity: into full parts, which have a container
+    each, and a rest.  Documents of size 0 go to the containers in turn (container 0 if there are no
+    others); a null size counts as 0.  Windows without a name or a positive capacity are left out,
+    repeated windows count once; repeated doc_ids are items of their own.  ``sizes`` is read several
+    times, so it should be written before; the places of sizes are written when this is called.
     """
-    items = pieces(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("bigint")).alias("n_tokens")), windows)
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)))
-    groups = salted.groupBy("window_name", "capacity", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
-    by_size = Window.partitionBy("window_name", "capacity", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.withColumn("offset", F.coalesce(F.sum("n").over(by_size), F.lit(0))).drop("n")
-    within = Window.partitionBy("window_name", "capacity", "size", "salt").orderBy("doc_id", "part")
-    ranked = salted.withColumn("nth", F.row_number().over(within) - 1).join(offsets, ["window_name", "capacity", "size", "salt"]).withColumn("rank", F.col("nth") + F.col("offset")).drop("nth", "offset", "salt")
-
-    histogram = groups.where("size > 0").groupBy("window_name", "capacity", "size").agg(F.sum("n").alias("n"))
-    places = checkpoint(histogram.groupBy("window_name", "capacity").applyInPandas(_solve, PLACES))
-    totals = places.groupBy("window_name", "capacity").agg(F.max(F.col("first") + F.ceil((F.col("rank_to") - F.col("rank_from")) / F.col("each"))).alias("n_containers"))
-
-    filled = _placed(ranked.where("size > 0"), places)
-    empty = ranked.where("size <= 0").join(totals, ["window_name", "capacity"], "left").withColumn("container_id", F.coalesce(F.pmod(F.col("rank"), F.col("n_containers")), F.lit(0)))
-    out = ["window_name", "capacity", F.col("container_id").cast("bigint").alias("container_id"), "doc_id", "part", "start_token", F.col("size").alias("n_tokens")]
-    return filled.select(*out).unionByName(empty.select(*out))
-
-
-def _placed(ranked: DataFrame, places: DataFrame) -> DataFrame:
-    """container_id of every ranked item."""
-    if places.limit(MAX_PLACES + 1).count() > MAX_PLACES:
-        keys = ["window_name", "capacity", "size"]
-        near = ranked.alias("i").join(places.alias("p"), keys).where("i.rank >= p.rank_from and i.rank < p.rank_to")
-        return near.withColumn("container_id", F.col("first") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("each"))).drop("rank_from", "rank_to", "first", "each")
-    table = places.toPandas().sort_values(["window_name", "capacity", "size", "rank_from"])
-    names = {k: i for i, k in enumerate(sorted(set(zip(table["window_name"], table["capacity"])), key=repr))}
-    code = np.array([names[k] for k in zip(table["window_name"], table["capacity"])], dtype=np.int64)
-    # one ordered key of window, size and rank: items find their place by binary search
-    shared = ranked.sparkSession.sparkContext.broadcast((names, code, *(table[c].to_numpy(np.int64) for c in ("size", "rank_from", "first", "each"))))
-
-    def place(batches):
-        names, code, size, begin, first, each = shared.value
-        edges: dict = {}
-        for pdf in batches:
-            ids = np.empty(len(pdf), dtype=np.int64)
-            grouped = pdf.groupby(["window_name", "capacity", "size"], sort=False, dropna=False).indices
-            for (name, capacity, s), at in grouped.items():
-                key = (names[(None if pd.isna(name) else name, capacity)], s)
-                if key not in edges:
-                    lo, hi = np.searchsorted(code, key[0]), np.searchsorted(code, key[0], "right")
-                    edges[key] = (lo + np.searchsorted(size[lo:hi], s), lo + np.searchsorted(size[lo:hi], s, "right"))
-                lo, hi = edges[key]
-                rank = pdf["rank"].to_numpy()[at]
-                k = lo + np.searchsorted(begin[lo:hi], rank, "right") - 1
-                ids[at] = first[k] + (rank - begin[k]) // each[k]
-            yield pdf.assign(container_id=ids)
-
-    kinds = dict(ranked.dtypes)
-    return ranked.mapInPandas(place, ", ".join(f"{c} {kinds[c]}" for c in ranked.columns) + ", container_id bigint")
+    w = ["window_name", "capacity"]
+    salts = max(SALTS, sizes.count() // GROUP)
+    known = sizes.select("doc_id", F.greatest(F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0).cast("bigint")), F.lit(0).cast("bigint")).alias("n_tokens"))
+    items = cut(known, windows).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    rests, whole = items.where("size is not null"), items.where("n_full > 0")
+    start = lambda part: (part * F.col("capacity")).alias("start_token")
+
+    # where every group's ranks begin, and the places that they meet
+    groups = rests.groupBy(*w, "size", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = lambda *by: Window.partitionBy(*by).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = groups.withColumn("offset", F.coalesce(F.sum("n").over(before(*w, "size")), F.lit(0)))
+    histogram = groups.where("size > 0").groupBy(*w, "size").agg(F.sum("n").alias("n"))
+    places = written(histogram.groupBy(*w).applyInPandas(_solve, PLACES))
+    g, p = offsets.alias("g"), places.alias("p")
+    meets = [F.col(f"g.{c}") == F.col(f"p.{c}") for c in (*w, "size")] + [F.col("p.rank_from") < F.col("g.offset") + F.col("g.n"), F.col("g.offset") < F.col("p.rank_to")]
+    located = g.join(p, meets, "left").groupBy(*[F.col(f"g.{c}").alias(c) for c in (*w, "size", "salt")], "g.offset").agg(F.array_sort(F.collect_list(F.struct("p.rank_from", "p.first", "p.each"))).alias("places"))
+
+    # containers of the packing and of full parts, as many rows as windows
+    packed = places.groupBy(*w).agg(F.max(F.col("first") + F.ceil((F.col("rank_to") - F.col("rank_from")) / F.col("each"))).alias("n_packed"))
+    full = whole.groupBy(*w, "salt").agg(F.sum("n_full").alias("n"))
+    starts = full.withColumn("before", F.coalesce(F.sum("n").over(before(*w)), F.lit(0)))
+    zero = F.lit(0).cast("bigint")
+    totals = packed.join(full.groupBy(*w).agg(F.sum("n").alias("n_whole")), w, "full").select(*w, F.coalesce("n_packed", zero).alias("n_packed"), F.coalesce("n_whole", zero).alias("n_whole"))
+
+    within = Window.partitionBy(*w, "size", "salt").orderBy("doc_id", "n_full")
+    ranked = rests.withColumn("nth", F.row_number().over(within) - 1).join(located, [*w, "size", "salt"]).withColumn("rank", F.col("nth") + F.col("offset"))
+    place = F.element_at(F.filter("places", lambda x: x["rank_from"] <= F.col("rank")), -1)
+    found = ranked.where("size > 0").withColumn("place", place).withColumn("container_id", F.col("place.first") + F.floor((F.col("rank") - F.col("place.rank_from")) / F.col("place.each")))
+    empty = ranked.where("size = 0").join(F.broadcast(totals), w, "left").withColumn("container_id", F.coalesce(F.pmod("rank", F.nullif(F.col("n_packed") + F.col("n_whole"), F.lit(0))), zero))
+
+    ahead = Window.partitionBy(*w, "salt").orderBy("doc_id", "n_full").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = whole.withColumn("ahead", F.coalesce(F.sum("n_full").over(ahead), F.lit(0))).join(starts, [*w, "salt"]).join(F.broadcast(totals), w)
+    parts = numbered.select("*", F.explode(F.sequence(zero, F.col("n_full") - 1)).alias("part")).withColumn("container_id", F.col("n_packed") + F.col("before") + F.col("ahead") + F.col("part"))
+
+    out = lambda df, part, size: df.select(*w, F.col("container_id").cast("bigint").alias("container_id"), "doc_id", part.alias("part"), start(part), size.cast("bigint").alias("n_tokens"))
+    return out(found, F.col("n_full"), F.col("size")).unionByName(out(empty, F.col("n_full"), F.col("size"))).unionByName(out(parts, F.col("part"), F.col("capacity")))
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

@@ -108,10 +108,9 @@ def test_packing_is_close_to_the_optimum():
     assert len(packing.pack_sizes(big, 2048)) < 50_000 and n > 0
 
 
-@pytest.mark.parametrize("joined", [False, True])
-def test_pack_operator(spark, monkeypatch, joined):
-    if joined:
-        monkeypatch.setattr(packing, "MAX_PLACES", 0)
+@pytest.mark.parametrize("salts", [1, 64])
+def test_pack_operator(spark, monkeypatch, salts):
+    monkeypatch.setattr(packing, "SALTS", salts)
     random.seed(4)
     sizes = [(i, random.choice([0, None, 1, 3, 7, 10, 11, 25])) for i in range(300)] + [(7, 3)]
     d = spark.createDataFrame(sizes, "doc_id long, n_tokens long")
@@ -126,6 +125,11 @@ def test_pack_operator(spark, monkeypatch, joined):
         assert sorted((r.doc_id, r.n_tokens) for r in rows if r.part == 0 and r.n_tokens < c) == sorted((i, n or 0) for i, n in sizes if (n or 0) < c)
         assert sum(r.n_tokens for r in rows) == sum(n or 0 for _, n in sizes)
         assert all(r.n_tokens == c for r in rows if r.part and any(q.doc_id == r.doc_id and q.part > r.part for q in rows))
+    full = [r for r in out if r.n_tokens == r.capacity]
+    assert all(sum((q.window_name, q.container_id) == (r.window_name, r.container_id) for q in out if q.n_tokens) == 1 for r in full)
+    assert all({r.container_id for r in out if r.window_name == n} == set(range(len({r.container_id for r in out if r.window_name == n}))) for n in "ab")
+    huge = packing.pack_documents(spark.createDataFrame([(1, 10**6 + 3), (1, 10**6 + 3), (2, 0)], "doc_id long, n_tokens long"), w.where("window_name = 'a'")).collect()
+    assert len(huge) == 2 * (10**5 + 1) + 1 and len({r.container_id for r in huge}) == 2 * 10**5 + 1 and {r.n_tokens for r in huge if r.part == 10**5} == {3}
     assert packing.pack_documents(d.limit(0), w).count() == 0 and packing.pack_documents(d, w.limit(0)).count() == 0
     assert {r.window_name for r in packing.fill_report(packing.pack_documents(d, w)).collect()} == {"a", "b"}
 
