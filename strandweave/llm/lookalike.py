@@ -1,13 +1,15 @@
 """Problem 5: one consistent form for text that looks the same.
 
-Labels are mapped by built-in string functions (look-alike letters, width,
-ligatures, spaces, invisible characters), grouped under Spark's accent- and
+Labels are mapped by built-in string functions (letters of other scripts by a table of
+confusables; width, style and ligatures by Unicode's compatibility forms; spaces and
+invisible characters), grouped under Spark's accent- and
 case-sensitive Unicode collation, which takes composed and decomposed letters as
 equal, and every class gets one deterministic member.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -15,20 +17,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of other scripts whose usual glyphs are those of a Latin letter (after Unicode's confusables).
+# Letters whose usual glyphs are those of a Latin letter, after Unicode's table of confusables (UTS 39).
+# Only letters that can't be told apart are taken; accents, case and digits stay differences.
 LOOKALIKES = {
+    "Latin": ("ɑɡ", "ag"),
     "Cyrillic": ("АВЕЅІЈКМНОРСТУХԚԜаесһіјорԛѕԝхуԁѵӏҮѴүԌҺ", "ABESIJKMHOPCTYXQWaechijopqswxydvlYVyGh"),
-    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανοριγυϲϳϹͿ", "ABEZHIKMNOPTYXavopiyucjCJ"),
-    "Armenian": ("օսոհցզԼՕՍ", "ounhgqLOU"),
-    "Cherokee": ("ᎪᏴᏟᎠᎬᎻᎫᏞᎷᏢᏒᏚᎢᏙᎳᏃᎥ", "ABCDEHJLMPRSTVWZi"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανοριγυϲϳϹͿϜ", "ABEZHIKMNOPTYXavopiyucjCJF"),
+    "Armenian": ("օսոհցզԼՕՍՏ", "ounhgqLOUS"),
+    "Cherokee": ("ᎪᏴᏟᎠᎬᎻᎫᏞᎷᏢᏒᏚᎢᏙᎳᏃᎥᎡᏀᏦ", "ABCDEHJLMPRSTVWZiRGK"),
+    "Coptic": ("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "ABEHIKMNOPCTYXopc"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
 }
-# Ligatures, written out.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj"}
+# Digraphs written as two letters by no compatibility form that this map takes.
+LIGATURES = {"ﬅ": "st"}
+#: Compatibility forms that look like what they stand for (not: raised, lowered, circled, squared, vertical and so on).
+SAME_LOOK = ("<font>", "<wide>", "<narrow>", "<noBreak>", "<compat>")
+#: Compatibility forms that do not: long s, and variant shapes of Greek letters.
+OTHER_LOOK = "ſϐϑϒϓϔϕϖϰϱϲϴϵϹ"
 #: Characters without a glyph of their own: formats, controls, fillers, joiners and variation selectors.
-INVISIBLE = r"[\p{Cf}\p{Cc}&&[^\t\n\r\x0B\f\x85]]|[͏ᅟᅠ឴឵᠋-᠏ㅤﾠ︀-️\x{E0100}-\x{E01EF}\x{FFF0}-\x{FFF8}]"
+#: The signs that enclose Arabic, Syriac and Kaithi numbers are formats too, but visible.
+INVISIBLE = r"[\p{Cf}\p{Cc}&&[^\t\n\r\x0B\f\x85\u0600-\u0605\u06DD\u070F\u0890\u0891\u08E2\x{110BD}\x{110CD}]]|[͏ᅟᅠ឴឵᠋-᠏ㅤﾠ︀-️\x{E0100}-\x{E01EF}\x{FFF0}-\x{FFF8}]"
 COLLATION = "UNICODE"
 
 
+@functools.cache
 def _character_map() -> tuple[dict[str, str], dict[str, str]]:
     """What one character becomes: a character, or several."""
     one: dict[str, str] = {}
@@ -42,36 +54,38 @@ def _character_map() -> tuple[dict[str, str], dict[str, str]]:
         if c not in one and len(d := unicodedata.normalize("NFD", c)) > 1 and d[0] in one:
             to = unicodedata.normalize("NFC", one[d[0]] + d[1:])
             (one if len(to) == 1 else many)[c] = to
-    # width: full- and half-width forms
-    for code in [*range(0xFF01, 0xFFA0), *range(0xFFA1, 0xFFDD), *range(0xFFE0, 0xFFE7)]:
+    # width, style and ligatures, by their compatibility forms
+    for code in [*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1EE00, 0x1EF00)]:
         c = chr(code)
+        tag = unicodedata.decomposition(c).split(" ")[0]
+        if tag not in SAME_LOOK or c in one or c in OTHER_LOOK or c in LIGATURES:
+            continue
         to = unicodedata.normalize("NFKC", c)
-        if c != to and len(to) == 1:
-            one[c] = one.get(to, to)
+        if to[0] != " ":
+            to = "".join(one.get(x, x) for x in to)
+            (one if len(to) == 1 else many)[c] = to
     one["ﾞ"], one["ﾟ"] = "゙", "゚"
     # kinds of space
     for code in range(0x3001):
-        if unicodedata.category(chr(code)) == "Zs" or chr(code) in "\t\n\r\x0b\x0c\x85  ":
+        if unicodedata.category(chr(code)) == "Zs" or chr(code) in "\t\n\r\x0b\x0c\x85\u2028\u2029":
             one[chr(code)] = " "
     one.pop(" ")
+    # visible, but ignored by the collation: private characters stand for them in the class
+    one |= {c: chr(0xE000 + i) for i, c in enumerate("\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2")}
     return one, many
 
 
 @F.pandas_udf(T.StringType())
 def _composed(labels: pd.Series) -> pd.Series:
-    """Canonical composition; the collation alone needs marks in canonical order."""
-    return labels.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+    """Characters that become several, and canonical composition; the collation alone needs marks in canonical order."""
+    many = str.maketrans(_character_map()[1])
+    return labels.map(lambda x: unicodedata.normalize("NFC", x.translate(many)), na_action="ignore")
 
 
 def looks(label: Column) -> Column:
     """The label with every character replaced by the plain one that it looks like."""
-    one, many = _character_map()
-    visible = F.regexp_replace(label, INVISIBLE, "")
-    mapped = F.translate(visible, "".join(one), "".join(one.values()))
-    spelled = mapped
-    for c, to in many.items():
-        spelled = F.replace(spelled, F.lit(c), F.lit(to))
-    return F.when(mapped.rlike("[" + "".join(many) + "]"), spelled).otherwise(mapped)
+    one, _ = _character_map()
+    return _composed(F.translate(F.regexp_replace(label, INVISIBLE, ""), "".join(one), "".join(one.values())))
 
 
 def mapped_labels(nodes: DataFrame, *keys: str) -> DataFrame:
@@ -79,7 +93,7 @@ def mapped_labels(nodes: DataFrame, *keys: str) -> DataFrame:
     rows = nodes.where(F.col("label").isNotNull()).select(*keys, "label")
     plain = F.col("label").rlike(r"^[\x20-\x7E]*$")
     return rows.where(plain).withColumn("looks", F.col("label")).unionByName(
-        rows.where(~plain).withColumn("looks", looks(F.col("label"))).withColumn("looks", _composed("looks"))
+        rows.where(~plain).withColumn("looks", looks(F.col("label")))
     )
 
 

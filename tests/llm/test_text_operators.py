@@ -151,6 +151,15 @@ def test_lookalike_pairs(spark, rows):
     assert lookalike.lookalike_pairs(hot).count() == 0
 
 
+@pytest.mark.parametrize("a, b, same", [
+    ("𝐚pex", "apex", True), ("ɑpex", "apex", True), ("ɡate", "gate", True), ("Ⅰtem", "Item", True), ("aⅽt", "act", True), ("Ⅱ", "II", True), ("ﬄ", "ffl", True), ("𝚨", "A", True), ("ⲟꓟ", "oM", True), ("ǆ", "dž", True),
+    ("x²", "x2", False), ("①", "1", False), ("ſet", "set", False), ("ϑ", "θ", False), ("a\u0600", "a", False), ("a\u200d", "a", True), ("½", "1/2", False), ("Ç", "C", False), ("µ", "μ", True),
+])
+def test_what_looks_the_same(spark, a, b, same):
+    d = spark.createDataFrame([(1, "i", a, "r"), (2, "j", b, "r")], "ord long, id string, label string, repo string")
+    assert lookalike.lookalike_pairs(d).count() == same
+
+
 # -- repetition
 
 
