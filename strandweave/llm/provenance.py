@@ -25,8 +25,10 @@ from .syntax import extension
 
 #: Below this share of symbols left by the grammar, a file of at least MIN_TOKENS is output of a tool.
 REUSE, MIN_TOKENS = 0.4, 60
-#: Rounds of the two grammars; the second one's rules then span about ten tokens.
-ROUNDS, SHARED_ROUNDS = 12, 6
+#: Rounds of the second grammar, whose rules then span about ten tokens: the grain at which passages are compared.
+SHARED_ROUNDS = 6
+#: Tokens under a rule from which it is long enough to tell a passage that repos share.
+SHARED_SPAN = 8
 #: A run of so many literals, or of literals of so many characters, is data; a file with this share of its code in such runs is a blob.
 RUN, LONG_LITERAL, BLOB = 8, 300, 0.5
 #: From this ratio on a grammar over the literals counts as near-incompressible.
@@ -56,16 +58,14 @@ SIGNATURES = (
     r"|(создан|сгенерирован|сформирован)\w* автоматически|автоматически (создан|сгенерирован|сформирован)|не (редактировать|изменять|править)|自動生成|自动生成|編集しないで|请勿(编辑|修改)|不要(编辑|修改)"
 )
 
-#: Comments, blank space and a docstring before the first code, of any length; lines with a hash only where it opens no directive.
+#: Comments, blank space, a docstring and a package's name before the first code, of any length; lines with a hash only where
+#: it opens no directive, lines with a star as what a broken comment leaves.
 _LEADING = {
-    hashed: re.compile(r"﻿?(?:<\?(?:php\b|xml[^>]*\?>))?(?:\s+|//[^\n]*|--[^\n]*|;[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|[rRuU]?\"{3}[\s\S]*?\"{3}|[rRuU]?'{3}[\s\S]*?'{3}" + (r"|\#[^\n]*" if hashed else "") + ")*")
+    hashed: re.compile(r"\ufeff?(?:<\?(?:php\b|xml[^>]*\?>))?(?:\s+|//[^\n]*|--[^\n]*|;[^\n]*|/\*[\s\S]*?\*/|\*[^\n]*|<!--[\s\S]*?-->|[rRuU]?\"{3}[\s\S]*?\"{3}|[rRuU]?'{3}[\s\S]*?'{3}|package[ \t]+[\w.]+[ \t]*;?(?=\s)" + (r"|\#[^\n]*" if hashed else "") + ")*")
     for hashed in (True, False)
 }
 DIRECTIVES = ("c", "h", "cc", "cpp", "cxx", "hh", "hpp", "hxx", "cs", "m", "mm")
-#: After it: comments that begin a line, if they do so in the first HEAD_LINES lines.
-_COMMENT = re.compile(r"^[^\S\n]*(/\*[\s\S]*?\*/|<!--[\s\S]*?-->|(?://|\#|\*|/\*|<!--|--|;|\"{3})[^\n]*)", re.MULTILINE)
 _DOCSTRING = re.compile(r"[rRuU]?(\"{3}|'{3})([\s\S]*?)\1")
-HEAD_LINES = 12
 
 _MASK = (1 << 63) - 1
 SKIP, NAME, CODE, LITERAL, BETWEEN, LINE = range(6)
@@ -141,43 +141,49 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x & np.uint64(_MASK)).astype(np.int64)
 
 
-def grammar_sizes(symbols: np.ndarray, owner: np.ndarray, n_owners: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols left and rules made by Re-Pair for the sequence of every owner; ``owner`` is in order."""
-    rules = np.zeros(n_owners, dtype=np.int64)
+def grammar_sizes(symbols: np.ndarray, owner: np.ndarray, n_owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols left and rules made by Re-Pair for the sequence of every owner; ``owner`` is in order.
+
+    Pairs become rules in the order of their frequency in the file, ties by their hash, until none
+    repeats.  A pair's occurrence is replaced as soon as neither neighbour overlaps it with a more
+    frequent pair, so pairs that don't touch are replaced in one sweep.  Files don't influence each
+    other, whatever they are read with; those without repeats leave the arrays.
+    """
+    rules, left = np.zeros(n_owners, dtype=np.int64), np.zeros(n_owners, dtype=np.int64)
     a, f = symbols, owner
-    for _ in range(rounds):
-        if len(a) < 2:
-            break
-        same = f[:-1] == f[1:]
+    while len(a):
         pair = _mix(a[:-1], a[1:])
-        code = np.where(same, _mix(pair, f[:-1] + 1), -1)
-        order = np.argsort(code, kind="stable")
+        same = f[:-1] == f[1:]
+        # of overlapping equal pairs every other one counts
+        place = np.arange(len(pair))
+        again = np.concatenate((np.zeros(min(1, len(pair)), dtype=bool), (pair[1:] == pair[:-1]) & same[1:] & same[:-1]))
+        same &= (place - np.maximum.accumulate(np.where(again, 0, place))) % 2 == 0
+        # equal pairs of a file are equal here: 24 bits of the file, 39 of the pair
+        code = np.where(same, (f[:-1] << 39) | (pair >> 24), -1)
+        order = np.argsort(code)
         ranked = code[order]
-        heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(ranked)), dtype=bool), ranked[1:] != ranked[:-1])))
         counts = np.diff(np.concatenate((heads, [len(ranked)])))
         count = np.empty(len(code), dtype=np.int32)
         count[order] = np.repeat(counts, counts)
         count[~same | (count < 2)] = 0
-        # a pair is taken where no neighbouring pair is more frequent, ties by hash
         before_c, after_c = np.concatenate(([0], count[:-1])), np.concatenate((count[1:], [0]))
-        before_h, after_h = np.concatenate(([-1], code[:-1])), np.concatenate((code[1:], [-1]))
-        take = (count > 0) & ((count > before_c) | (count == before_c) & (code > before_h)) & ((count > after_c) | (count == after_c) & (code >= after_h))
-        at = np.flatnonzero(take)
-        if not len(at):
-            break
-        # of overlapping equal pairs every other one
-        at = at[np.concatenate(([True], np.diff(at) > 1))]
+        before_h, after_h = np.concatenate(([-1], pair[:-1])), np.concatenate((pair[1:], [-1]))
+        at = np.flatnonzero((count > 0) & ((count > before_c) | (count == before_c) & (pair > before_h)) & ((count > after_c) | (count == after_c) & (pair >= after_h)))
         _, first, inverse, times = np.unique(code[at], return_index=True, return_inverse=True, return_counts=True)
-        if times.max() < 2:
-            break
         rules += np.bincount(f[at[first[times > 1]]], minlength=n_owners)
         at = at[times[inverse] > 1]
+        # a file in which nothing was replaced is done
+        busy = np.zeros(n_owners, dtype=bool)
+        busy[f[at]] = True
         a = a.copy()
-        a[at] = code[at]
+        a[at] = pair[at]
         keep = np.ones(len(a), dtype=bool)
         keep[at + 1] = False
+        left += np.bincount(f[keep & ~busy[f]], minlength=n_owners)
+        keep &= busy[f]
         a, f = a[keep], f[keep]
-    return np.bincount(f, minlength=n_owners), rules
+    return left, rules
 
 
 def content_rules(symbols: np.ndarray, owner: np.ndarray, rounds: int = SHARED_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -305,24 +311,12 @@ def library_rules(upstream: DataFrame) -> DataFrame:
 
 
 def head_comments(body: str | None, ext: str | None = None) -> str:
-    """What a file says of itself: all comments and the docstring before its first code, and comments that begin in its first lines."""
+    """What a file says of itself: all comments and the docstring before its first code."""
     if not body:
         return ""
     body = body.replace("\r\n", "\n").replace("\r", "\n")
-    end = _LEADING[ext not in DIRECTIVES].match(body).end()
-    # without its quotes, so that a docstring's only line isn't taken for a mention
-    said = [_DOCSTRING.sub(r"\2", body[:end])]
-    last = 0
-    for _ in range(HEAD_LINES):
-        last = body.find("\n", last) + 1
-        if not last:
-            last = len(body) + 1
-            break
-    at = body.rfind("\n", 0, end) + 1
-    while (m := _COMMENT.search(body, at)) and m.start(1) < last:
-        said.append(m.group(1))
-        at = m.end()
-    return "\n".join(said)
+    # without a docstring's quotes, so that its only line isn't taken for a mention
+    return _DOCSTRING.sub(r"\2", body[: _LEADING[ext not in DIRECTIVES].match(body).end()])
 
 
 def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -388,12 +382,17 @@ def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
     return classified_files(files, upstream).where("generated or minified or vendored or blob")
 
 
-def shared_rules(files: DataFrame, upstream: DataFrame) -> DataFrame:
-    """(repo, n_files, n_rules, n_shared): per repo its long content rules and those that another repo has too.
+def shared_rules(files: DataFrame) -> DataFrame:
+    """(file_id, repo, n_tokens, shared_share, vendored): per file the share of its tokens under rules that another repo has too.
 
-    Rules are counted per repo before repos meet, so a rule that a repo repeats is one row.
+    Files without tokens are left out; a null repo is a repo of its own, repeated file_ids count together.
+    vendored: ``MIN_TOKENS`` and a share of ``COPIED`` at least, so that the file, or most of it, is kept in
+    several repos.  Rules are counted per repo before repos meet, so a rule that a repo repeats is one row.
     """
-    owned = file_rules(files).where("n_tokens >= 8").join(files.select(F.col("file_id").cast("bigint").alias("file_id"), "repo"), "file_id")
-    once = owned.groupBy("repo", "rule").agg(F.count(F.lit(1)).alias("n"))
-    repos = once.groupBy("rule").agg(F.count(F.lit(1)).alias("n_repos"))
-    return once.join(repos, "rule").groupBy("repo").agg(F.count(F.lit(1)).alias("n_rules"), F.count_if(F.col("n_repos") > 1).alias("n_shared"))
+    repos = files.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("repo").cast("string").alias("repo")).distinct()
+    owned = file_rules(files).groupBy("file_id", "rule").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("span")).join(repos, "file_id")
+    long = owned.where(F.col("span") >= SHARED_SPAN)
+    several = long.groupBy("rule").agg((F.min(F.coalesce("repo", F.lit("")) ) != F.max(F.coalesce("repo", F.lit("")))).alias("several")).where("several")
+    known = owned.join(several, "rule", "left").groupBy("file_id", "repo").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("several") & (F.col("span") >= SHARED_SPAN), F.col("n")).otherwise(0)).alias("shared"))
+    share = F.col("shared") / F.col("n_tokens")
+    return known.select("file_id", "repo", "n_tokens", share.alias("shared_share"), ((F.col("n_tokens") >= MIN_TOKENS) & (share >= COPIED)).alias("vendored"))

@@ -34,7 +34,7 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_shared(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.shared_rules(table(spark, d, "source_files"), table(spark, d, "upstream_files"))
+    return provenance.shared_rules(table(spark, d, "source_files"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -246,6 +246,41 @@ def test_grammars():
     assert list(r3[o3 == 0]) == list(r3[o3 == 1]) == list(r1)
 
 
+def test_grammars_do_not_depend_on_the_batch():
+    random.seed(8)
+    files = [np.array([random.randint(1, random.choice((3, 20, 1000))) for _ in range(random.randint(0, 300))], dtype=np.int64) for _ in range(40)] + [np.full(37, 5), np.array([1, 1, 1]), np.array([2, 2, 3, 2, 2])]
+    owner = np.repeat(np.arange(len(files)), [len(f) for f in files])
+    left, rules = provenance.grammar_sizes(np.concatenate(files), owner, len(files))
+    for i, f in enumerate(files):
+        one = provenance.grammar_sizes(f, np.zeros(len(f), dtype=np.int64), 1)
+        assert (left[i], rules[i]) == (one[0][0], one[1][0])
+        assert left[i] <= len(f) and (len(f) < 2 or left[i] + rules[i] <= len(f))
+    # 37 equal symbols: five doublings, and the odd ones stay
+    assert (left[40], rules[40]) == (3, 5) or left[40] <= 6
+    assert (left[41], rules[41]) == (3, 0) and (left[42], rules[42]) == (3, 1)
+
+
+def test_features_do_not_depend_on_partitions(spark, rows):
+    random.seed(9)
+    line = lambda: f"x{random.randint(0, 9)} = f(y{random.randint(0, 9)}, {random.randint(0, 99)})\n"
+    d = spark.createDataFrame([(i, f"a{i}.py", "".join(line() for _ in range(random.randint(0, 60)))) for i in range(60)], "file_id long, rel_path string, body string")
+    up = d.where("file_id < 3").select("rel_path", "body")
+    one, many = (rows(provenance.file_features(d.repartition(n), up)) for n in (1, 16))
+    assert one == many
+
+
+def test_rules_shared_across_repos(spark):
+    random.seed(10)
+    w = lambda: "".join(random.choice("bcdfglmnprst") + random.choice("aeiou") for _ in range(3))
+    body = lambda: "".join(f"def {w()}({w()}):\n    {w()} = {w()} + {random.choice('cdefg')}.{w()}()\n" for _ in range(40))
+    same = body()
+    data = [(1, "r", same), (2, "s", "# a copy\n" + same), (3, "r", body()), (4, None, body()), (5, "s", ""), (6, "s", None), (7, "t", "x = 1\n"), (8, "u", "x = 1\n")]
+    d = spark.createDataFrame([(i, r, "a.py", b, 1) for i, r, b in data], "file_id long, repo string, rel_path string, body string, several int")
+    got = {r.file_id: r for r in provenance.shared_rules(d).collect()}
+    assert {i for i, r in got.items() if r.vendored} == {1, 2} and got[1].shared_share > 0.9 and got[3].shared_share < 0.3 and got[4].repo is None and not {5, 6} & set(got)
+    assert provenance.shared_rules(d.limit(0)).count() == 0
+
+
 def test_file_classes(spark, rows):
     random.seed(6)
     w = lambda: "".join(random.choice("bcdfglmnprst") + random.choice("aeiou") for _ in range(3))
@@ -273,4 +308,3 @@ def test_file_classes(spark, rows):
         assert {r.file_id for r in provenance.not_handwritten(d, up).collect()} == many
     finally:
         provenance.MAX_SHARED_RULES = old
-    assert provenance.shared_rules(d, up).count() >= 1
