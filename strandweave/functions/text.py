@@ -71,7 +71,7 @@ def word_count(text: Column) -> Column:
 
 
 def estimate_tokens(text: Column) -> Column:
-    """A quarter of the bytes, at least 1."""
+    """A quarter of the bytes, at least 1, also for null."""
     return F.greatest(F.floor(F.octet_length(text) / 4).cast("bigint"), F.lit(1).cast("bigint"))
 
 
@@ -115,6 +115,22 @@ def sanitize_label(label: Column, chars: int = 256) -> Column:
     return F.substring(F.regexp_replace(label, r"[\x00-\x1F\x7F]", ""), 1, chars)
 
 
+def byte_prefix(s: Column, n: int) -> Column:
+    """The characters that fit into the first n bytes of UTF-8; one that would be cut is left out."""
+    cut = F.make_valid_utf8(F.substring(F.encode(s, "UTF-8"), 1, n).cast("string"))
+    return F.when(F.octet_length(s) <= n, s).otherwise(F.when(F.startswith(s, cut), cut).otherwise(F.regexp_replace(cut, r"\x{FFFD}+$", "")))
+
+
+def render_label(label: Column, n: int = 256) -> Column:
+    """A label for rendered text: without control characters of either range, at most n bytes of whole characters."""
+    return byte_prefix(F.regexp_replace(label, r"\p{Cc}", ""), n)
+
+
+def thousands(number: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(number.cast("bigint"), 0)
+
+
 def url_component(s: Column) -> Column:
     """Percent-encoding with %20 for a space."""
     return F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))

@@ -10,23 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions.text import basename, file_extension, word_count
+from .incremental import VersionedTable
+from ..functions.text import basename, byte_prefix, file_extension, word_count
 
 
 def paper_signals(text: Column) -> Column:
-    """How many of the signals of a paper the first 3000 bytes hold; 0 for null."""
-    head = F.decode(F.substring(F.encode(text, "UTF-8"), 1, X.PAPER_SCAN_BYTES), "UTF-8")
+    """How many of the signals of a paper the first 3000 bytes hold, but for a character that they cut; 0 for null."""
+    head = byte_prefix(text, X.PAPER_SCAN_BYTES)
     terms = [head.rlike("(?U)" + p).cast("bigint") for p in X.PAPER_SIGNALS]
     return F.coalesce(sum(terms[1:], terms[0]), F.lit(0).cast("bigint"))
 
 
-def paper_signals_of_prefix(text: Column) -> Column:
-    """``paper_signals`` over characters instead of bytes, for text whose bytes may not be cut."""
-    head = F.substring(text, 1, X.PAPER_SCAN_BYTES)
-    terms = [head.rlike(p).cast("bigint") for p in X.PAPER_SIGNALS]
-    return F.coalesce(sum(terms[1:], terms[0]), F.lit(0).cast("bigint"))
-
-
 def file_type(path: Column, text: Column | None = None) -> Column:
     """Type by the last extension; text files with enough signals are papers; null for unknown ones."""
     ext = file_extension(basename(path))
@@ -126,16 +120,21 @@ def ignore_rules(root: str, ignore_file: str = ".graphignore") -> IgnoreRules:
     return rules
 
 
-def scan_folder(spark: SparkSession, root: str, follow_symlinks: bool = False, output_dir: str = "graph-out", ignore_file: str = ".graphignore", extensions: tuple[str, ...] | None = None) -> DataFrame:
-    """(path, rel_path, file_type, sensitive): files below a local folder, in order of their paths.
+def scan_folder(spark: SparkSession, root: str, follow_symlinks: bool = False, output_dir: str = "graph-out", ignore_file: str = ".graphignore", extensions: tuple[str, ...] | None = None, prune: bool = True) -> DataFrame:
+    """(path, rel_path, file_type, sensitive): files below a folder that driver and executors see, in order of their paths.
 
-    Folders are pruned before they are entered; contents aren't read.
+    Folders are pruned before they are entered (only hidden ones without ``prune``); contents aren't read.
+    A folder that links lead to again, within itself or twice, is entered once.
     """
-    rules, rows, base = ignore_rules(root, ignore_file), [], Path(root).resolve()
+    rules, rows, base = ignore_rules(root, ignore_file) if ignore_file else IgnoreRules(), [], Path(root).resolve()
+    entered = {os.path.realpath(base)}
     for folder, dirs, files in os.walk(base, followlinks=follow_symlinks):
         rel = os.path.relpath(folder, base)
         at = "" if rel == "." else rel + "/"
-        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in X.SKIPPED_DIRS and d != output_dir and not rules.ignored(at + d))
+        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and (not prune or d not in X.SKIPPED_DIRS and d != output_dir and not rules.ignored(at + d)))
+        if follow_symlinks:
+            real = {d: os.path.realpath(os.path.join(folder, d)) for d in dirs}
+            dirs[:] = [d for d in dirs if real[d] not in entered and not entered.add(real[d])]
         for f in sorted(files):
             secret = f.lower() in X.SENSITIVE_NAMES or f.lower().endswith(X.SENSITIVE_SUFFIXES) or any(w in f.lower() for w in X.SENSITIVE_WORDS)
             if not secret and (f.startswith(".") or f in X.LOCK_FILES or rules.ignored(at + f)):
@@ -182,14 +181,47 @@ def detection_summary(files: DataFrame) -> DataFrame:
     return out.withColumns({"needs_graph": F.col("total_files") > 0, "large": F.col("total_words") > X.CORPUS_WARNING_WORDS})
 
 
-def manifest_status(scan: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(rel_path, status, file_type): 'new', 'changed', 'unchanged' or 'deleted' of scan against manifest (rel_path, hash, file_type).
+def manifest_status(scan: DataFrame, manifest: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by..., rel_path, status, file_type): 'new', 'changed', 'unchanged' or 'deleted' of scan against manifest (by..., rel_path, hash, file_type).
 
-    An unchanged file keeps the manifest's type.
+    ``by`` names columns, such as the run, that a scan is compared within.  An unchanged file keeps the
+    manifest's type.
     """
-    a, b = scan.select("rel_path", F.col("hash").alias("_h"), F.col("file_type").alias("_t")), manifest.select("rel_path", F.col("hash").alias("_mh"), F.col("file_type").alias("_mt"), F.lit(True).alias("_m"))
-    j = a.withColumn("_s", F.lit(True)).join(b, "rel_path", "full_outer")
+    keys = [*by, "rel_path"]
+    a, b = scan.select(*keys, F.col("hash").alias("_h"), F.col("file_type").alias("_t")), manifest.select(*keys, F.col("hash").alias("_mh"), F.col("file_type").alias("_mt"), F.lit(True).alias("_m"))
+    j = a.withColumn("_s", F.lit(True)).join(b, keys, "full_outer")
     status = F.when(F.col("_s").isNull(), "deleted").when(F.col("_m").isNull(), "new").when(F.col("_h") == F.col("_mh"), "unchanged").otherwise("changed")
-    return j.select("rel_path", status.alias("status"), F.when(status.isin("unchanged", "deleted"), F.col("_mt")).otherwise(F.col("_t")).alias("file_type"))
+    return j.select(*keys, status.alias("status"), F.when(status.isin("unchanged", "deleted"), F.col("_mt")).otherwise(F.col("_t")).alias("file_type"))
+
+
+MANIFEST = "rel_path string, file_type string, hash string"
+
+
+def save_manifest(files: DataFrame, path: str) -> int:
+    """Saves (rel_path, file_type, hash) of ``detect`` as the manifest's next version; the version.
+
+    The manifest is a ``VersionedTable``: the new rows and the removal of the old ones are one commit.
+    """
+    log = VersionedTable(files.sparkSession, path)
+    rows = files.where(F.col("file_type").isNotNull()).select(*[F.col(c.split()[0]) for c in MANIFEST.split(", ")])
+    return log.commit(add=rows, remove=list(log.manifest(log.latest())["files"]))
+
+
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(rel_path, file_type, hash) as last saved, no rows if there is no manifest."""
+    log = VersionedTable(spark, path)
+    return log.read() if log.latest() else spark.createDataFrame([], MANIFEST)
+
+
+def detect_incremental(spark: SparkSession, root: str, manifest_path: str, **options) -> DataFrame:
+    """(rel_path, status, file_type) of the files below ``root`` against the manifest saved last, which stays as it is.
+
+    A file that can't be read has an empty hash and is never unchanged.
+    """
+    found = detect(spark, root, **options).where(F.col("file_type").isNotNull()).withColumn("hash", F.nullif("hash", F.lit("")))
+    return manifest_status(found, load_manifest(spark, manifest_path))
 
 
+def collect_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = X.CODE_EXTENSIONS, follow_symlinks: bool = False) -> DataFrame:
+    """(path, rel_path) of the files below ``root`` with one of the extensions: hidden names are left out, no ignore file counts."""
+    return scan_folder(spark, root, follow_symlinks, ignore_file="", extensions=extensions, prune=False).select("path", "rel_path")

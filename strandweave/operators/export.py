@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import PALETTE
 from ..functions.text import basename, capitalise, cypher_escape, wiki_filename, xml_escape
+from ..sources.session import checkpoint
 from .analyze import described_nodes, god_nodes, top_per_group
+from .cluster import rank_by_count
 from .graph import Graph, build_graph
 from .search import with_norm_label
 
 #: A page for a browser holds at most so many nodes.
-HTML_NODES, CANVAS_EDGES = 5000, 200
+HTML_NODES, HTML_EDGES, CANVAS_EDGES = 5000, 200_000, 200
+#: Ranges of ord in which the nodes of a community are placed.
+RANGES = 1024
 
 
 def cypher_lines(g: Graph) -> DataFrame:
@@ -99,13 +103,14 @@ def read_node_link(spark: SparkSession, path: str, directed: bool | None = None)
 
     ``path`` may hold several documents; later ones come after earlier ones.
     """
-    doc = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("file"))
+    doc = spark.read.text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("file"))
+    # only the documents' names are put in order, not what they hold
+    names = doc.select("file").withColumn("doc", (F.row_number().over(Window.orderBy("file")) - 1).cast("bigint"))
     node = "array<struct<id:string,label:string,file_type:string,source_file:string,source:string,source_location:string,community:bigint,repo:string>>"
     edge = "array<struct<source:string,target:string,from:string,to:string,relation:string,confidence:string,confidence_score:double,weight:double,context:string,source_file:string,source_location:string>>"
     hyper = "array<struct<id:string,label:string,nodes:array<string>,relation:string,confidence:string,confidence_score:double,source_file:string>>"
     x = doc.select("file", F.from_json("value", f"directed boolean, nodes {node}, edges {edge}, links {edge}, hyperedges {hyper}").alias("d"))
-    place = F.row_number().over(Window.orderBy("file")) - 1
-    x = x.withColumn("doc", place.cast("bigint"))
+    x = checkpoint(x.join(names, "file").drop("file"))
     n = x.select("doc", F.posexplode("d.nodes").alias("i", "n")).select((F.col("doc") * (1 << 40) + F.col("i")).alias("ord"), "n.id", "n.label", "n.file_type", F.coalesce("n.source_file", "n.source").alias("source_file"), "n.source_location", "n.community", "n.repo")
     e = x.select("doc", F.posexplode(F.coalesce("d.edges", "d.links")).alias("i", "e")).select((F.col("doc") * (1 << 40) + F.col("i")).alias("ord"), F.coalesce("e.source", "e.from").alias("source"), F.coalesce("e.target", "e.to").alias("target"), "e.relation", "e.confidence", "e.confidence_score", "e.weight", "e.context", "e.source_file", "e.source_location")
     if directed is None:
@@ -128,8 +133,7 @@ def darken(color: Column, by: int = 30) -> Column:
 def viz_nodes(g: Graph) -> DataFrame:
     """(id, label, size, color, border): file nodes 12, others 10 + 3 * sqrt(degree) up to 50; colours by the rank of communities."""
     ranks = g.nodes.where("community is not null").groupBy("community").agg(F.count(F.lit(1)).alias("n"))
-    # communities are few beside nodes; their ranking is one small window
-    ranks = ranks.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "community")) - 1).select("community", "rank")
+    ranks = rank_by_count(ranks, "community").select("community", "rank")
     d = described_nodes(g).join(ranks, "community", "left")
     size = F.when(F.col("is_file"), F.lit(12.0)).otherwise(F.least(10 + 3 * F.sqrt("degree"), F.lit(50.0)))
     color = F.coalesce(community_color(F.col("rank")), F.lit(PALETTE[-1]))
@@ -158,19 +162,28 @@ def write_html(g: Graph, path: str, max_nodes: int = HTML_NODES) -> None:
     nodes = [r.asDict() for r in viz_nodes(g).limit(max_nodes + 1).collect()]
     if len(nodes) > max_nodes:
         raise ValueError(f"more than {max_nodes} nodes")
-    edges = [r.asDict() for r in viz_edges(g).collect()]
+    edges = [r.asDict() for r in viz_edges(g).limit(HTML_EDGES + 1).collect()]
+    if len(edges) > HTML_EDGES:
+        raise ValueError(f"more than {HTML_EDGES} edges")
     Path(path).write_text(_PAGE % json.dumps({"nodes": nodes, "edges": edges}).replace("</", "<\\/"))
 
 
 def canvas_cards(g: Graph) -> DataFrame:
     """(id, community, x, y): cards of 200 by 60 in three columns per community, communities beside each other."""
-    cid = F.coalesce("community", F.lit(-1))
-    k = F.row_number().over(Window.partitionBy(cid).orderBy("ord")) - 1
-    cards = g.nodes.select("id", cid.alias("community"), k.alias("k"))
-    sizes = g.nodes.groupBy(cid.alias("community")).agg(F.count(F.lit(1)).alias("n"))
-    place = sizes.withColumn("group", F.row_number().over(Window.orderBy(F.desc("n"), "community")) - 1).select("community", "group")
+    cid = F.coalesce("community", F.lit(-1)).alias("community")
+    sizes = g.nodes.groupBy(cid).agg(F.count(F.lit(1)).alias("n"))
+    group = rank_by_count(sizes, "community").select("community", F.col("rank").alias("group"))
+    # places in a community are counted in ranges of ord, so that a large community is not one task
+    nodes = g.nodes.select("id", "ord", cid)
+    low, high = nodes.agg(F.min("ord"), F.max("ord")).first()
+    width = max(1, ((high or 0) - (low or 0)) // RANGES + 1)
+    ranged = nodes.withColumn("range", F.floor((F.col("ord") - F.lit(low or 0)) / F.lit(width)))
+    counts = ranged.groupBy("community", "range").agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("community").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("community", "range").orderBy("ord")) - 1
+    cards = ranged.withColumn("nth", within).join(counts.select("community", "range", ahead.alias("ahead")), ["community", "range"]).select("id", "community", (F.col("nth") + F.col("ahead")).alias("k"))
     x = F.col("group") * (3 * 220 + 2 * 40) + F.pmod(F.col("k"), F.lit(3)) * 220 + 40
-    return cards.join(place, "community").select("id", "community", x.cast("bigint").alias("x"), (F.floor(F.col("k") / 3) * 80 + 40).cast("bigint").alias("y"))
+    return cards.join(group, "community").select("id", "community", x.cast("bigint").alias("x"), (F.floor(F.col("k") / 3) * 80 + 40).cast("bigint").alias("y"))
 
 
 def canvas_edges(g: Graph, n: int = CANVAS_EDGES) -> DataFrame:
@@ -224,7 +237,8 @@ def hub_neighbors(g: Graph, hubs: DataFrame, n: int = 20) -> DataFrame:
 
 def write_wiki(g: Graph, folder: str, labels: dict[int, str] | None = None, max_articles: int = 10_000) -> int:
     """An article per community and hub and an index; the number of articles.  Old articles are removed."""
-    tops, links, conf = community_top(g), community_links(g), community_confidences(g)
+    name = lambda c: (labels or {}).get(c, f"Community {c}")
+    # at most 25, 12 and a few rows of each article, whose number is checked
     n = g.nodes.where("community is not null").select("community").distinct().limit(max_articles + 1).count()
     if n > max_articles:
         raise ValueError(f"more than {max_articles} communities")
@@ -232,43 +246,34 @@ def write_wiki(g: Graph, folder: str, labels: dict[int, str] | None = None, max_
     out.mkdir(parents=True, exist_ok=True)
     for p in out.glob("*.md"):
         p.unlink()
-    name = lambda c: (labels or {}).get(c, f"Community {c}")
     pages: dict[int, list[str]] = {}
-    for r in tops.orderBy("cid", "place").collect():
+    for r in community_top(g).orderBy("cid", "place").collect():
         pages.setdefault(r.cid, [f"# {name(r.cid)}", "", "## Members", ""]).append(f"- {r.label} ({r.degree})")
-    for r in links.orderBy("cid", F.desc("n_links"), "other").collect():
-        page = pages[r.cid]
-        if "## Links" not in page:
-            page += ["", "## Links", ""]
-        page.append(f"- [[{name(r.other)}]] ({r.n_links})")
-    for r in conf.orderBy("cid", "confidence").collect():
+    for r in community_links(g).orderBy("cid", F.desc("n_links"), "other").collect():
+        if "## Links" not in pages[r.cid]:
+            pages[r.cid] += ["", "## Links", ""]
+        pages[r.cid].append(f"- [[{name(r.other)}]] ({r.n_links})")
+    for r in community_confidences(g).orderBy("cid", "confidence").collect():
         pages[r.cid].append(f"\n{r.confidence}: {r.n}")
-    used: set[str] = set()
-
-    def slug(label: str) -> str:
-        base = label.replace("/", "-").replace(":", "-").replace(" ", "_").strip(". ")[:200] or "unnamed"
-        s, k = base, 2
-        while s.lower() in used:
-            s, k = f"{base}_{k}", k + 1
-        used.add(s.lower())
-        return s
-
+    hubs = god_nodes(g).collect()
+    near: dict[str, dict[str, list[str]]] = {}
+    for r in hub_neighbors(g, g.nodes.where(F.col("id").isin([h.id for h in hubs]))).orderBy("id", "relation", "place").collect():
+        near.setdefault(r.id, {}).setdefault(r.relation, []).append(f"- {r.neighbor}")
+    order = sorted(pages, key=lambda c: (-len(pages[c]), c))
+    titles = list(dict.fromkeys([name(c) for c in order] + [h.label for h in hubs]))
+    slugs = dict(wiki_slugs(g.nodes.sparkSession.createDataFrame([(t,) for t in titles], "name string")).collect()) if titles else {}
     index = ["# Index", ""]
-    for c, lines in sorted(pages.items(), key=lambda x: (-len(x[1]), x[0])):
-        s = slug(name(c))
-        (out / f"{s}.md").write_text("\n".join(lines) + "\n")
-        index.append(f"- [[{s}]]")
-    hubs = god_nodes(g)
-    near: dict[str, list[str]] = {}
-    for r in hub_neighbors(g, hubs).orderBy("id", "relation", "place").collect():
-        near.setdefault(r.id, []).append(f"- {r.relation}: {r.neighbor}")
-    rows = hubs.collect()
-    for h in rows:
-        s = slug(h.label)
-        (out / f"{s}.md").write_text(f"# {h.label}\n\nDegree {h.degree}\n\n" + "\n".join(near.get(h.id, [])) + "\n")
-        index.append(f"- [[{s}]]")
+    for c in order:
+        (out / f"{slugs[name(c)]}.md").write_text("\n".join(pages[c]) + "\n")
+        index.append(f"- [[{slugs[name(c)]}]]")
+    for h in hubs:
+        lines = [f"# {h.label}", "", f"Degree {h.degree}"]
+        for relation, rows in near.get(h.id, {}).items():
+            lines += ["", f"## {relation}", "", *rows]
+        (out / f"{slugs[h.label]}.md").write_text("\n".join(lines) + "\n")
+        index.append(f"- [[{slugs[h.label]}]]")
     (out / "index.md").write_text("\n".join(index) + "\n")
-    return len(pages) + len(rows)
+    return len(pages) + len(hubs)
 
 
 def wiki_slugs(names: DataFrame) -> DataFrame:
@@ -278,8 +283,6 @@ def wiki_slugs(names: DataFrame) -> DataFrame:
     return s.select("name", F.when(k == 1, F.col("s")).otherwise(F.concat("s", F.lit("_"), k.cast("string"))).alias("slug"))
 
 
-
-
 # -- trees
 
 

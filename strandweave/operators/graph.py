@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_id
+from ..sources.session import written
 
 NODE_ATTRS = ("label", "file_type", "source_file", "source_location", "community", "repo")
 EDGE_ATTRS = ("relation", "confidence", "confidence_score", "weight", "context", "source_file", "source_location")
@@ -27,6 +28,10 @@ class Graph:
     directed: bool = False
     hyperedges: DataFrame | None = field(default=None)
 
+    def written(self) -> Graph:
+        """The same graph, its frames written once for what reads them several times."""
+        return Graph(written(self.nodes), written(self.edges), self.directed, self.hyperedges)
+
     @property
     def adjacency(self) -> DataFrame:
         """Every edge from each of its ends (a self-loop once); only out-edges when directed.  One pass over the edges."""
@@ -91,6 +96,18 @@ def upsert_nodes(rows: DataFrame) -> DataFrame:
     return agg.select("ord", "id", "_x.*")
 
 
+def first_statement_wins(rows: DataFrame) -> DataFrame:
+    """One row per id of rows (ord, id, attributes), its first statement as it is: how parsed and judged fragments are merged."""
+    attrs = [c for c in rows.columns if c not in ("ord", "id")]
+    agg = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("ord").alias("ord"), F.min_by(F.struct(*attrs), "ord").alias("_x"))
+    return agg.select("ord", "id", "_x.*")
+
+
+def token_totals(fragments: DataFrame) -> DataFrame:
+    """One row: input_tokens and output_tokens of fragments, missing ones as 0."""
+    return fragments.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("input_tokens", "output_tokens")])
+
+
 def upsert_attributes(rows: DataFrame) -> DataFrame:
     """Per-key upsert of rows (ord, id, attrs map<string,string>): absent keys keep their value, present nulls overwrite.
 
@@ -106,13 +123,15 @@ def upsert_attributes(rows: DataFrame) -> DataFrame:
 def resolve_endpoints(edges: DataFrame, nodes: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """Edges with ``orig_src`` and ``orig_tgt`` set to node ids: the exact id, else the last node of the same normal form.
 
-    Edges with an end that names no node are dropped.  Distinct names are resolved once and joined back.
+    Edges with an end that names no node are dropped.  Distinct names are resolved once, when this is
+    called, and joined back.
     """
     ids = nodes.select("id", "ord")
     normal = ids.groupBy(normalize_id(F.col("id")).alias("_n")).agg(F.max_by("id", "ord").alias("_fuzzy"))
     names = edges.select(F.explode(F.array(source, target)).alias("_name")).where("_name is not null").distinct()
     exact = names.join(ids.select(F.col("id").alias("_exact")), F.col("_name") == F.col("_exact"), "left")
-    found = exact.withColumn("_n", normalize_id(F.col("_name"))).join(normal, "_n", "left").select("_name", F.coalesce("_exact", "_fuzzy").alias("_id")).where("_id is not null")
+    # written, so that its size is known: a small one is sent to the edges, which then aren't shuffled for it
+    found = written(exact.withColumn("_n", normalize_id(F.col("_name"))).join(normal, "_n", "left").select("_name", F.coalesce("_exact", "_fuzzy").alias("_id")).where("_id is not null"))
     one = edges.join(found.select(F.col("_name").alias(source), F.col("_id").alias("orig_src")), source)
     return one.join(found.select(F.col("_name").alias(target), F.col("_id").alias("orig_tgt")), target)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed import BENCHMARK_QUESTIONS, CONTEXT_WORDS
-from ..functions.text import sanitize_label, strip_call
+from ..functions.text import render_label, strip_call
 from ..sources.session import bounded
 from .graph import Graph
 from .traverse import bfs_edges, bfs_levels, dfs_order
@@ -85,25 +85,32 @@ def find_nodes(nodes: DataFrame, term: str) -> DataFrame:
     return with_norm_label(nodes).where(hit).select("ord", "id", "label").orderBy("ord")
 
 
-def render_lines(g: Graph, levels: DataFrame, edges: DataFrame, seeds: DataFrame, budget: int = 2000) -> DataFrame:
-    """(q_id, place, line, kept): the subgraph as lines, seeds first, then by degree, then edges; kept within budget * 3 bytes.
-
-    The running sum of bytes replaces cutting one long string, so lines are cut whole.
-    """
+def subgraph_lines(g: Graph, levels: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(q_id, kind, a, b, c, line): the subgraph as lines; ordered by kind, a, b, c, line: seeds, other nodes by degree, then edges."""
     d = levels.join(g.nodes.join(g.degrees(), "id"), "id").join(seeds.select("q_id", "id", F.col("place").alias("_seed")), ["q_id", "id"], "left")
     none = F.lit("")
-    show = lambda c: sanitize_label(F.coalesce(F.col(c).cast("string"), none))
-    node = F.concat(F.lit("NODE "), sanitize_label(F.coalesce("label", "id")), F.lit(" [src="), show("source_file"), F.lit(" loc="), show("source_location"), F.lit(" community="), show("community"), F.lit("]"))
+    show = lambda c: render_label(F.coalesce(F.col(c).cast("string"), none))
+    node = F.concat(F.lit("NODE "), render_label(F.coalesce("label", "id")), F.lit(" [src="), show("source_file"), F.lit(" loc="), show("source_location"), F.lit(" community="), show("community"), F.lit("]"))
     first = d.select("q_id", F.lit(0).alias("kind"), F.coalesce("_seed", F.lit(1 << 40)).alias("a"), (-F.col("degree")).alias("b"), F.col("ord").alias("c"), node.alias("line"))
-    names = g.nodes.select("id", sanitize_label(F.coalesce("label", "id")).alias("name"))
+    names = g.nodes.select("id", render_label(F.coalesce("label", "id")).alias("name"))
     e = edges.select("q_id", F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt")).distinct().join(g.edges.select("src", "tgt", "relation", "confidence", F.col("ord").alias("c")), ["src", "tgt"])
     e = e.join(names.withColumnsRenamed({"id": "src", "name": "na"}), "src").join(names.withColumnsRenamed({"id": "tgt", "name": "nb"}), "tgt")
     line = F.concat(F.lit("EDGE "), "na", F.lit(" --"), F.coalesce("relation", none), F.lit(" ["), F.coalesce("confidence", none), F.lit("]--> "), "nb")
     second = e.select("q_id", F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), "c", line.alias("line"))
+    return first.unionByName(second)
+
+
+def render_lines(g: Graph, levels: DataFrame, edges: DataFrame, seeds: DataFrame, budget: int = 2000) -> DataFrame:
+    """(q_id, place, line): the ``subgraph_lines`` in order, as many as ``budget`` * 3 bytes hold.
+
+    Lines are cut whole.  A line takes two bytes at least, so only so many of a question can be kept:
+    these are picked in every partition before the rest meet in order.
+    """
+    most = budget * 3
     w = Window.partitionBy("q_id").orderBy("kind", "a", "b", "c", "line")
-    both = first.unionByName(second)
-    used = F.sum(F.octet_length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return both.select("q_id", F.row_number().over(w).cast("bigint").alias("place"), "line", (used <= budget * 3).alias("kept"))
+    near = subgraph_lines(g, levels, edges, seeds).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most // 2 + 1)
+    used = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("q_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("used", used).where(F.col("used") <= most).select("q_id", F.col("place").cast("bigint").alias("place"), "line")
 
 
 def query_text(g: Graph, question: str, mode: str = "bfs", depth: int = 3, budget: int = 2000, contexts: list[str] | None = None) -> str:
@@ -118,21 +125,26 @@ def query_text(g: Graph, question: str, mode: str = "bfs", depth: int = 3, budge
     starts = spark.createDataFrame([(0, r.id) for r in found], "q_id bigint, id string")
     seeds = spark.createDataFrame([(0, r.id, r.place) for r in found], "q_id bigint, id string, place bigint")
     levels = bfs_levels(g, starts, depth, wanted) if mode == "bfs" else dfs_order(g, starts, depth, wanted).select("q_id", "id", "depth")
-    lines = render_lines(g, levels, bfs_edges(g, levels, wanted), seeds, budget)
+    crossed = bfs_edges(g, levels, wanted)
     # the budget bounds what comes to the driver
-    kept = [r.line for r in lines.where("kept").orderBy("place").collect()]
-    n = lines.agg(F.count_if(F.col("line").startswith("NODE ")).alias("n"), F.count(F.lit(1)).alias("all")).first()
+    kept = [r.line for r in render_lines(g, levels, crossed, seeds, budget).orderBy("place").collect()]
+    n = subgraph_lines(g, levels, crossed, seeds).agg(F.count_if(F.col("line").startswith("NODE ")).alias("n"), F.count(F.lit(1)).alias("all")).first()
     head = f"Traversal: {mode} | Start: {', '.join(r.id for r in found)}" + (f" | Context: {', '.join(wanted)}" if wanted else "") + f" | {n['n']} nodes found"
     return "\n".join([head, *kept]) + ("\n... cut at the token budget" if len(kept) < n["all"] else "")
 
 
 def explain_neighbors(g: Graph, ids: DataFrame, top: int = 20) -> DataFrame:
-    """(id, place, neighbor, relation, degree, n_neighbors): the top neighbours of every id by their degree, ties by neighbour id."""
+    """(id, place, neighbor, relation, degree, n_neighbors): the top neighbours of every id by their degree, ties by neighbour id.
+
+    Neighbours are counted by aggregation and ranked by a window of nothing else, so that a hub's are
+    cut to the top in every partition before they meet.
+    """
     near = g.neighbors(ids).select(F.col("src").alias("id"), F.col("tgt").alias("neighbor"), F.coalesce("relation", F.lit("")).alias("relation"))
     d = near.join(g.degrees().withColumnRenamed("id", "neighbor"), "neighbor")
-    w = Window.partitionBy("id")
-    ranked = d.withColumns({"place": F.row_number().over(w.orderBy(F.desc("degree"), "neighbor")).cast("bigint"), "n_neighbors": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("place") <= top).select("id", "place", "neighbor", "relation", "degree", "n_neighbors")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("degree"), "neighbor"))
+    best = d.withColumn("place", place).where(F.col("place") <= top)
+    counts = near.groupBy("id").agg(F.count(F.lit(1)).alias("n_neighbors"))
+    return best.join(counts, "id").select("id", F.col("place").cast("bigint").alias("place"), "neighbor", "relation", "degree", "n_neighbors")
 
 
 def run_benchmark(g: Graph, questions: tuple[str, ...] = BENCHMARK_QUESTIONS, corpus_words: int | None = None) -> DataFrame:
@@ -141,7 +153,7 @@ def run_benchmark(g: Graph, questions: tuple[str, ...] = BENCHMARK_QUESTIONS, co
     q = spark.createDataFrame([(i, query_terms(t)) for i, t in enumerate(questions)], "q_id bigint, terms array<string>")
     seeds = query_seeds(g.nodes, q)
     levels = bfs_levels(g, seeds, 3)
-    lines = render_lines(g, levels, bfs_edges(g, levels), seeds, 1 << 40)
+    lines = subgraph_lines(g, levels, bfs_edges(g, levels), seeds)
     tokens = lines.groupBy("q_id").agg(F.greatest(F.floor((F.sum(F.octet_length("line") + 1) - 1) / 4), F.lit(1)).alias("t"))
     words = F.col("n_nodes") * 50 if corpus_words is None else F.lit(corpus_words)
     out = tokens.agg(F.count(F.lit(1)).alias("n_questions"), F.floor(F.avg("t")).cast("bigint").alias("avg_tokens")).crossJoin(g.nodes.agg(F.count(F.lit(1)).alias("n_nodes")))

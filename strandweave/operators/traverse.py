@@ -75,20 +75,31 @@ def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int = 8) -> DataFrame:
     """(q_id, hops, path) for every pair (q_id, source, target); hops and path are null where no path of at most max_hops exists.
 
     Of equal paths the one whose predecessors are smallest from the target back is taken.  All pairs
-    advance together and stop as soon as their target is reached; a pair of equal ids has 0 hops.
+    advance together and stop as soon as their target is reached; a pair of equal ids has 0 hops.  Every
+    level keeps the nodes that it reached with one predecessor each; paths are walked back at the end, for
+    the pairs that have one.
     """
     adj = checkpoint(filtered_adjacency(g))
     known = g.nodes.select("id")
     asked = pairs.select("q_id", "source", "target").join(known, F.col("source") == F.col("id"), "left_semi").join(known, F.col("target") == F.col("id"), "left_semi")
-    seen = checkpoint(asked.select("q_id", "target", F.col("source").alias("id"), F.lit(0).cast("bigint").alias("hops"), F.array("source").alias("path")))
-    for h in range(max_hops):
-        done = seen.where("id = target").select("q_id").distinct()
-        frontier = seen.where(F.col("hops") == h).join(done, "q_id", "left_anti")
-        if frontier.isEmpty():
+    none = F.lit(None).cast("string")
+    levels = [checkpoint(asked.select("q_id", "target", F.col("source").alias("id"), none.alias("before")))]
+    seen = levels[0].select("q_id", "id")
+    done = levels[0].where("id = target").select("q_id")
+    for _ in range(max_hops):
+        frontier = levels[-1].join(done, "q_id", "left_anti")
+        step = adj.join(frontier.select("q_id", "target", F.col("id").alias("src")), "src").groupBy("q_id", "target", F.col("tgt").alias("id")).agg(F.min("src").alias("before"))
+        fresh = checkpoint(step.join(seen, ["q_id", "id"], "left_anti").select("q_id", "target", "id", "before"))
+        if fresh.isEmpty():
             break
-        step = adj.join(frontier.withColumnRenamed("id", "src"), "src").select("q_id", "target", F.col("tgt").alias("id"), F.struct("src", "path").alias("from"))
-        step = step.join(seen.select("q_id", "id"), ["q_id", "id"], "left_anti").groupBy("q_id", "target", "id").agg(F.min("from").alias("from"))
-        fresh = step.select("q_id", "target", "id", F.lit(h + 1).cast("bigint").alias("hops"), F.concat("from.path", F.array("id")).alias("path"))
-        seen = checkpoint(seen.unionByName(fresh))
-    hit = seen.where("id = target").select("q_id", "hops", "path")
-    return pairs.select("q_id").join(hit, "q_id", "left")
+        levels.append(fresh)
+        seen, done = seen.unionByName(fresh.select("q_id", "id")), done.unionByName(fresh.where("id = target").select("q_id"))
+    # (q_id, hops, id, path): from the target back, joined by those of shorter paths level by level
+    back = None
+    for h in range(len(levels) - 1, -1, -1):
+        begun = levels[h].where("id = target").select("q_id", F.lit(h).cast("bigint").alias("hops"), F.col("id").alias("at"), F.array("id").alias("path"))
+        back = begun if back is None else back.unionByName(begun)
+        if h:
+            here = levels[h].select("q_id", F.col("id").alias("at"), "before")
+            back = back.join(here, ["q_id", "at"]).select("q_id", "hops", F.col("before").alias("at"), F.concat(F.array("before"), "path").alias("path"))
+    return pairs.select("q_id").join(back.select("q_id", "hops", "path"), "q_id", "left")

@@ -16,6 +16,11 @@ def code_graph(spark: SparkSession, d: str, directed: bool = False) -> Graph:
     return build_graph(table(spark, d, "nodes"), table(spark, d, "edges"), directed)
 
 
+def written_graph(spark: SparkSession, d: str) -> Graph:
+    """``code_graph`` for queries that read its edges more than once."""
+    return code_graph(spark, d).written()
+
+
 def place_graph(spark: SparkSession, d: str, customers: bool = False) -> Graph:
     """A forest: suppliers (and customers) refer to nations, regions contain nations."""
     region, nation, supplier = (table(spark, d, t) for t in ("region", "nation", "supplier"))
@@ -43,14 +48,20 @@ pl as (select 'r_' || r_regionkey id, cast(null as varchar) up from region union
 padj as (select id src, up tgt from pl where up is not null union all select up, id from pl where up is not null)
 """
 
-GRAPH_SQL = f"""
-n as (select min(ord) as ord, id, arg_max(struct_pack(label := label, file_type := file_type, source_file := source_file, source_location := source_location, community := community, repo := repo), ord) x
-    from nodes where id is not null group by id),
-nk as (select {KEY.format('id')} k, arg_max(id, ord) fid from n group by 1),
-r as (select e.ord, coalesce(a.id, ka.fid) orig_src, coalesce(b.id, kb.fid) orig_tgt, e.relation, e.confidence, e.confidence_score, e.weight, e.context, e.source_file, e.source_location
-    from edges e left join n a on e.source = a.id left join nk ka on {KEY.format('e.source')} = ka.k left join n b on e.target = b.id left join nk kb on {KEY.format('e.target')} = kb.k),
-e as (select least(orig_src, orig_tgt) src, greatest(orig_src, orig_tgt) tgt, arg_max(struct_pack(ord := ord, orig_src := orig_src, orig_tgt := orig_tgt, relation := relation, confidence := confidence,
-    confidence_score := confidence_score, weight := weight, context := context), ord) y from r where orig_src is not null and orig_tgt is not null group by 1, 2),
+def graph_sql(nodes: str = "nodes", edges: str = "edges", p: str = "") -> str:
+    """Common table expressions {p}n (nodes), {p}nk, {p}r (resolved statements) and {p}e (edges) of statements in two tables."""
+    return f"""
+{p}n as (select min(ord) as ord, id, arg_max(struct_pack(label := label, file_type := file_type, source_file := source_file, source_location := source_location, community := community, repo := repo), ord) x
+    from {nodes} where id is not null group by id),
+{p}nk as (select {KEY.format('id')} k, arg_max(id, ord) fid from {p}n group by 1),
+{p}r as (select e.ord, coalesce(a.id, ka.fid) orig_src, coalesce(b.id, kb.fid) orig_tgt, e.relation, e.confidence, e.confidence_score, e.weight, e.context, e.source_file, e.source_location
+    from {edges} e left join {p}n a on e.source = a.id left join {p}nk ka on {KEY.format('e.source')} = ka.k left join {p}n b on e.target = b.id left join {p}nk kb on {KEY.format('e.target')} = kb.k),
+{p}e as (select least(orig_src, orig_tgt) src, greatest(orig_src, orig_tgt) tgt, arg_max(struct_pack(ord := ord, orig_src := orig_src, orig_tgt := orig_tgt, relation := relation, confidence := confidence,
+    confidence_score := confidence_score, weight := weight, context := context, source_file := source_file, source_location := source_location), ord) y from {p}r where orig_src is not null and orig_tgt is not null group by 1, 2)
+"""
+
+
+GRAPH_SQL = graph_sql() + """,
 adj as (select src, tgt, y from e union all select tgt, src, y from e where src <> tgt),
 deg as (select n.id, coalesce(c, 0) degree from n left join (select src, count(*) c from adj group by 1) a on n.id = a.src),
 d as (select n.ord, n.id, x.label as label, x.source_file sf, x.community com, degree,
@@ -58,7 +69,3 @@ d as (select n.ord, n.id, x.label as label, x.source_file sf, x.community com, d
     coalesce(x.source_file, '') = '' or not contains(split_part(coalesce(x.source_file, ''), '/', -1), '.') is_concept
     from n join deg on n.id = deg.id)
 """
-
-
-def ids_where(df: DataFrame, condition: str) -> DataFrame:
-    return df.where(condition).select("id")

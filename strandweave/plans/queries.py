@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fixed import PAPER_SIGNALS, SENSITIVE_SUFFIXES, SKIPPED_DIRS
 from ..operators import analyze, cluster, detect, export, extraction, incremental, ingest, orphans, report, search, traverse, validate
-from ..operators.graph import build_graph, hyperedge_members as hyperedge_rows, merge_repositories, relativized, update_graph, upsert_attributes
+from ..operators.graph import build_graph, first_statement_wins, hyperedge_members as hyperedge_rows, merge_repositories, relativized, update_graph, upsert_attributes
+from ..sources import sql
+from ..sources.session import bounded
 from ..sources.tables import table
 from ..streaming import watch
-from .graphs import GRAPH_SQL, PLACES_SQL, code_graph, place_graph
+from .graphs import GRAPH_SQL, PLACES_SQL, code_graph, graph_sql, place_graph, written_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,26 +126,58 @@ def remove_nodes(spark: SparkSession, d: str) -> DataFrame:
     return code_graph(spark, d).without(table(spark, d, "nodes").where("deleted_at is not null").select("id")).edges.select("src", "tgt")
 
 
-@query(f"with {GRAPH_SQL} select repo, count(*) n_nodes from (select id, coalesce(x.repo, 'none') repo from n) group by 1")
+@query("""
+with h as (select id, label, coalesce(repo, case when ord % 2 = 0 then 'left' else 'right' end) repo, ord % 2 half, ord from nodes where id is not null)
+select id, arg_max(struct_pack(v := label), half * 1099511627776 + ord).v as label, arg_max(struct_pack(v := repo), half * 1099511627776 + ord).v repo from h group by id
+""")
 def merge_graphs(spark: SparkSession, d: str) -> DataFrame:
-    """Two halves of the table merged again give the nodes of the whole."""
+    """Graphs of two halves of the table as one; the right one's statements come after the left one's."""
     n, e = table(spark, d, "nodes"), table(spark, d, "edges")
     halves = {}
     for name, cond in (("left", "ord % 2 = 0"), ("right", "ord % 2 = 1")):
         halves[name] = build_graph(n.where(cond), e.where(cond))
-    return merge_repositories(halves).nodes.groupBy(F.coalesce("repo", F.lit("none")).alias("repo")).agg(F.count(F.lit(1)).alias("n_nodes"))
+    return merge_repositories(halves).nodes.select("id", "label", "repo")
+
+
+_DAY = "timestamp '2026-04-01'"
+_UPDATED = f"""
+with o_nodes as (select * from nodes where added_at < {_DAY}), o_edges as (select * from edges where seen_at < {_DAY}), {graph_sql('o_nodes', 'o_edges', 'o_')},
+f_nodes as (select * from nodes where added_at >= {_DAY}), f_edges as (select * from edges where seen_at >= {_DAY}), redone as (select distinct source_file from f_nodes where source_file is not null),
+u_nodes as (select ord, id, x.label as label, x.file_type file_type, x.source_file source_file, x.source_location source_location, x.community community, x.repo repo from o_n
+        where (x.source_file is null or x.source_file not in (select source_file from redone)) and id not in (select id from f_nodes where id is not null)
+    union all select ord + 1099511627776, id, label, file_type, source_file, source_location, community, repo from f_nodes),
+u_edges as (select y.ord as ord, y.orig_src source, y.orig_tgt target, y.relation relation, y.confidence confidence, y.confidence_score confidence_score, y.weight weight, y.context context, y.source_file source_file, y.source_location source_location from o_e
+    union all select ord + 1099511627776, source, target, relation, confidence, confidence_score, weight, context, source_file, source_location from f_edges),
+{graph_sql('u_nodes', 'u_edges', 'u_')}
+"""
 
 
-@query(f"""
-with {GRAPH_SQL}, redone as (select distinct source_file from nodes where source_file like '%.py'), fresh as (select id from n where x.source_file like '%.py'),
-kept as (select id from n where x.source_file is null or x.source_file not in (select source_file from redone))
-select id from (select id from kept union select id from fresh)
-""")
+def _updated(spark: SparkSession, d: str):
+    """The graph of what was known before a day, updated by what came later."""
+    n, e = table(spark, d, "nodes"), table(spark, d, "edges")
+    old = build_graph(n.where(f"added_at < {_DAY}"), e.where(f"seen_at < {_DAY}"))
+    fresh = n.where(f"added_at >= {_DAY}")
+    return update_graph(old, fresh, e.where(f"seen_at >= {_DAY}"), fresh.select("source_file").distinct())
+
+
+@query(_UPDATED + "select id, x.label as label, x.source_file source_file from u_n")
 def update_merge(spark: SparkSession, d: str) -> DataFrame:
-    g = code_graph(spark, d)
-    again = g.nodes.where("source_file like '%.py'")
-    none = table(spark, d, "edges").where("ord < 0")
-    return update_graph(g, again, none, again.select("source_file").distinct()).nodes.select("id")
+    return _updated(spark, d).nodes.select("id", "label", "source_file")
+
+
+@query(_UPDATED + "select src, tgt, y.relation relation, y.confidence confidence from u_e")
+def update_merge_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _updated(spark, d).edges.select("src", "tgt", "relation", "confidence")
+
+
+@query("select id, arg_min(struct_pack(v := label), ord).v as label, arg_min(struct_pack(v := source_file), ord).v source_file from nodes where id is not null group by id")
+def merge_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    return first_statement_wins(table(spark, d, "nodes").select("ord", "id", "label", "source_file")).select("id", "label", "source_file")
+
+
+@query("select ord, coalesce(case confidence when 'EXTRACTED' then confidence_score = 1.0 when 'INFERRED' then confidence_score in (0.95, 0.85, 0.75, 0.65, 0.55) when 'AMBIGUOUS' then confidence_score between 0.1 and 0.3 end, true) fits from edges where confidence_score is not null")
+def confidence_rubric(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "edges").where("confidence_score is not null").select("ord", validate.fits_rubric(F.col("confidence"), F.col("confidence_score")).alias("fits"))
 
 
 _RULES = "union all ".join(
@@ -169,7 +204,7 @@ def relativize_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {GRAPH_SQL} select id, coalesce(label, id) as label, degree, ord from d where not is_file and not is_concept order by degree desc, ord limit 10")
 def god_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.god_nodes(code_graph(spark, d))
+    return analyze.god_nodes(written_graph(spark, d))
 
 
 _EXT = "case when contains({0}, '.') then lower(split_part({0}, '.', -1)) else '' end"
@@ -198,12 +233,12 @@ scored as (select src, tgt, confidence, relation, cast(case when relation = 'sem
 
 @query(_SURPRISE + "select * from scored")
 def surprise_scores(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.surprise_scores(code_graph(spark, d)).select("src", "tgt", "confidence", "relation", "score")
+    return analyze.surprise_scores(written_graph(spark, d)).select("src", "tgt", "confidence", "relation", "score")
 
 
 @query(_SURPRISE + "select src, tgt, confidence, relation, score from scored order by score desc, src, tgt limit 5")
 def surprise_cross_file(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.cross_file_surprises(code_graph(spark, d)).select("src", "tgt", "confidence", "relation", "score")
+    return analyze.cross_file_surprises(written_graph(spark, d)).select("src", "tgt", "confidence", "relation", "score")
 
 
 @query(f"""
@@ -213,7 +248,7 @@ select low, high, cast(conf_ord as bigint) conf_ord, src, tgt, 'Bridges communit
 qualify row_number() over (partition by low, high order by conf_ord, src, tgt) = 1 order by conf_ord, src, tgt limit 5
 """)
 def surprise_cross_community(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.cross_community_surprises(code_graph(spark, d))
+    return analyze.cross_community_surprises(written_graph(spark, d))
 
 
 @query("with " + PLACES_SQL.format(customers="") + """
@@ -245,12 +280,22 @@ def graph_diff_nodes(spark: SparkSession, d: str) -> DataFrame:
     return analyze.graph_diff(*_two_states(spark, d))[0]
 
 
-@query()
+_DIFF_EDGES = f"""
+with a_nodes as (select * from nodes where id is not null and added_at < timestamp '2026-02-01'), a_edges as (select * from edges where seen_at < timestamp '2026-02-01'), {graph_sql('a_nodes', 'a_edges', 'a_')},
+b_nodes as (select * from nodes where id is not null and added_at < timestamp '2026-06-01' and (deleted_at is null or deleted_at >= timestamp '2026-06-01')), b_edges as (select * from edges where seen_at < timestamp '2026-06-01'), {graph_sql('b_nodes', 'b_edges', 'b_')},
+o as (select src, tgt, coalesce(y.relation, '') relation from a_e), w as (select src, tgt, coalesce(y.relation, '') relation from b_e),
+x as (select 'new' as change, * from (select * from w except select * from o) union all select 'removed', * from (select * from o except select * from w)),
+c as (select (select count(*) from (select id from b_n except select id from a_n)) new_nodes, (select count(*) from (select id from a_n except select id from b_n)) removed_nodes,
+    (select count(*) from x where change = 'new') new_edges, (select count(*) from x where change = 'removed') removed_edges)
+"""
+
+
+@query(_DIFF_EDGES + "select * from x")
 def graph_diff_edges(spark: SparkSession, d: str) -> DataFrame:
     return analyze.graph_diff(*_two_states(spark, d))[1]
 
 
-@query()
+@query(_DIFF_EDGES + "select *, concat_ws(', ', " + ", ".join(f"case when {c} > 0 then {c} || ' {what}' || case when {c} = 1 then '' else 's' end || '{tail}' end" for c, what, tail in (("new_nodes", "new node", ""), ("new_edges", "new edge", ""), ("removed_nodes", "node", " removed"), ("removed_edges", "edge", " removed"))) + ") summary from c")
 def graph_diff_summary(spark: SparkSession, d: str) -> DataFrame:
     return analyze.diff_summary(*analyze.graph_diff(*_two_states(spark, d)))
 
@@ -261,7 +306,7 @@ i as (select a.cid, count(*) k from e join m a on e.src = a.id join m b on e.tgt
 select s.cid, n, coalesce(k, 0) internal, case when n <= 1 then 1.0 else floor(coalesce(k, 0) / (n * (n - 1) / 2.0) * 100.0 + 0.5) / 100.0 end cohesion from s left join i on s.cid = i.cid
 """)
 def cohesion(spark: SparkSession, d: str) -> DataFrame:
-    g = code_graph(spark, d)
+    g = written_graph(spark, d)
     return cluster.cohesion(g, cluster.stored_communities(g))
 
 
@@ -279,13 +324,7 @@ def louvain_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def louvain_scalable(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.cluster_scalable(code_graph(spark, d))
-
-
-@query(f"with {GRAPH_SQL} select id from n")
-def louvain_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Every node is in one community, whatever the communities are."""
-    return cluster.cluster_scalable(code_graph(spark, d), sweeps=2).select("id")
+    return cluster.cluster_scalable(written_graph(spark, d))
 
 
 @query(f"""
@@ -293,7 +332,7 @@ with {GRAPH_SQL}, t as (select count(*) n from e) select (select count(*) from n
     100 * count(*) filter (where y.confidence = 'EXTRACTED') // count(*) extracted_pct, 100 * count(*) filter (where y.confidence = 'INFERRED') // count(*) inferred_pct, 100 * count(*) filter (where y.confidence = 'AMBIGUOUS') // count(*) ambiguous_pct from e
 """)
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.graph_stats(code_graph(spark, d))
+    return analyze.graph_stats(written_graph(spark, d))
 
 
 @query(f"""
@@ -309,22 +348,88 @@ def confidence_mix(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {GRAPH_SQL} select id, coalesce(label, id) as label, degree, ord from d where degree <= 1 and not is_file and not is_concept")
 def knowledge_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.knowledge_gaps(code_graph(spark, d))
+    return analyze.knowledge_gaps(written_graph(spark, d))
 
 
-@query()
+@query(f"""
+with {GRAPH_SQL}, names as (select id, coalesce(label, id) as label from d),
+a as (select src, tgt from e where y.confidence = 'AMBIGUOUS' order by src, tgt limit 7), h as (select id, coalesce(label, id) as label, degree from d where not is_file and not is_concept order by degree desc, ord limit 7),
+g as (select coalesce(label, id) as label from d where degree <= 1 and not is_file and not is_concept order by ord limit 7)
+select 'ambiguous' kind, 'How is ' || x.label || ' related to ' || y.label || '?' question, 'the edge is marked ambiguous' why from a join names x on a.src = x.id join names y on a.tgt = y.id
+union all select 'hub', 'What depends on ' || label || '?', degree || ' connections' from h union all select 'gap', 'What does ' || label || ' belong to?', 'at most one connection' from g
+""")
 def suggested_questions(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.suggested_questions(code_graph(spark, d))
+    return analyze.suggested_questions(written_graph(spark, d))
+
+
+# -- aggregation over several groupings, and SQL text
+
+
+_BY = "coalesce(repo, 'none') repo, coalesce(relation, 'none') relation, coalesce(confidence, 'none') confidence"
+
+
+def _labelled_edges(spark: SparkSession, d: str) -> DataFrame:
+    none = lambda c: F.coalesce(c, F.lit("none")).alias(c)
+    return table(spark, d, "edges").select(none("repo"), none("relation"), none("confidence"), "weight")
+
+
+@query(f"select repo, relation, confidence, count(*) n, grouping(repo, relation, confidence) level from (select {_BY} from edges) group by cube (repo, relation, confidence)")
+def edge_cube(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled_edges(spark, d).cube("repo", "relation", "confidence").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+
+
+@query(f"select repo, relation, count(*) n, grouping(repo, relation) level from (select {_BY} from edges) group by rollup (repo, relation)")
+def edge_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled_edges(spark, d).rollup("repo", "relation").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+
+
+@query(f"select repo, relation, confidence, count(*) n from (select {_BY} from edges) group by grouping sets ((repo, confidence), (relation), ())")
+def edge_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
+    e = _labelled_edges(spark, d)
+    return e.groupingSets([["repo", "confidence"], ["relation"], []], "repo", "relation", "confidence").agg(F.count(F.lit(1)).alias("n")).select("repo", "relation", "confidence", "n")
+
+
+_SQL_TEXT = """
+select n.repo, count(*) n_nodes, count(distinct n.label) n_labels from nodes n
+where n.id is not null and exists (select 1 from edges e where e.target = n.id and e.relation = 'calls')
+  and n.ord <= (select max(ord) from nodes) group by n.repo having count(*) > (select count(*) / 100 from repos)
+"""
+
+
+@query("with repos as (select distinct repo from nodes)" + _SQL_TEXT)
+def sql_text(spark: SparkSession, d: str) -> DataFrame:
+    """SQL text with subqueries over the tables as views."""
+    return sql.run(spark, d, _SQL_TEXT, {"repos": "select distinct repo from nodes"})
+
+
+@query(f"select distinct id, {_KEY.format('id')} normal, lower(regexp_replace(regexp_replace(regexp_replace(id, '^[_.]+|[_.]+$', '', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) made from nodes where id is not null")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions that are registered for SQL."""
+    return sql.run(spark, d, "select distinct id, normalize_id(id) normal, make_id(id) made from nodes where id is not null")
 
 
 # -- searching
 
 
+def _fold_sql(x: str) -> str:
+    """SQL of ``search.norm_label``: compatibility forms written out, accents off, lower case."""
+    one, many = {}, {}
+    for code in [*range(0xA0, 0xD800), *range(0xF900, 0xFFF0)]:
+        c = chr(code)
+        if unicodedata.decomposition(c).startswith("<") and (to := unicodedata.normalize("NFKD", c)) != c:
+            (one if len(to) == 1 else many)[c] = to
+    for c in (c for c in many if unicodedata.name(c).startswith("LATIN ")):
+        x = f"replace({x}, '{c}', '{many[c]}')"
+    # marks of their own go; a quote is doubled
+    text = lambda cs: "".join(cs).replace("'", "''")
+    return f"lower(strip_accents(regexp_replace(translate({x}, '{text(one)}', '{text(one.values())}'), '\\p{{M}}', '', 'g')))"
+
+
 _ASKED = (("q1", "where does the catalog load its schema"), ("q2", "main()"), ("q3", "render filter module"))
 _TERMS = [(q, search.query_terms(t)) for q, t in _ASKED]
 _SCORES = rf"""
 with {GRAPH_SQL}, q(q_id, terms) as (values {", ".join(f"('{q}', [{', '.join(repr(w) for w in t)}])" for q, t in _TERMS)}),
-l as (select id, ord, lower(strip_accents(coalesce(x.label, ''))) l, lower(coalesce(x.source_file, '')) f from n where regexp_full_match(coalesce(x.label, ''), '[\x00-\x7F]*')),
+l as (select id, ord, {_fold_sql("coalesce(x.label, '')")} l, lower(coalesce(x.source_file, '')) f from n),
 hit as (select q_id, id, ord, list_sum([case when contains(l, t) then 1.0 else 0.0 end + case when contains(f, t) then 0.5 else 0.0 end for t in terms])
     + case when len([t for t in terms if t = l or t = regexp_replace(l, '(\(\))+$', '')]) > 0 then 100.0 else 0.0 end score from l, q)
 """
@@ -336,13 +441,11 @@ def _questions(spark: SparkSession) -> DataFrame:
 
 @query(_SCORES + "select q_id, id, cast(score as double) score, ord from hit where score > 0")
 def score_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Of all nodes; the SQL, which has no Unicode decomposition, gives those with ASCII labels only."""
     return search.score_nodes(code_graph(spark, d).nodes, _questions(spark))
 
 
 @query(_SCORES + "select q_id, row_number() over (partition by q_id order by score desc, ord) place, id, cast(score as double) score from hit where score > 0 qualify place <= 3")
 def query_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Of all nodes; the SQL ranks those with ASCII labels only."""
     return search.query_seeds(code_graph(spark, d).nodes, _questions(spark))
 
 
@@ -351,9 +454,9 @@ def find_nodes(spark: SparkSession, d: str) -> DataFrame:
     return search.find_nodes(code_graph(spark, d).nodes, "Catalog")
 
 
-@query(rf"with {GRAPH_SQL} select id, lower(x.label) norm_label from n where regexp_full_match(x.label, '[\x00-\x7F]*')")
+@query(f"with {GRAPH_SQL} select id, {_fold_sql('x.label')} norm_label from n")
 def norm_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Of all nodes, null for a null label; the SQL gives those with ASCII labels only."""
+    """Null for a null label."""
     return search.with_norm_label(code_graph(spark, d).nodes).select("id", "norm_label")
 
 
@@ -373,7 +476,7 @@ b as (select id, 0 depth from start union select adj.tgt, depth + 1 from b join
 
 
 def _hub_call_levels(spark: SparkSession, d: str):
-    g = code_graph(spark, d)
+    g = written_graph(spark, d)
     start = analyze.god_nodes(g, 1).select(F.lit(0).alias("q_id"), "id")
     return g, traverse.bfs_levels(g, start, 2, ["call"])
 
@@ -411,13 +514,13 @@ select adj.src id, row_number() over (partition by adj.src order by deg.degree d
 from adj join hub on adj.src = hub.id join deg on adj.tgt = deg.id qualify place <= 20
 """)
 def explain_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    g = code_graph(spark, d)
+    g = written_graph(spark, d)
     return search.explain_neighbors(g, analyze.god_nodes(g, 3))
 
 
 @query()
 def query_lines(spark: SparkSession, d: str) -> DataFrame:
-    g = code_graph(spark, d)
+    g = written_graph(spark, d)
     seeds = search.query_seeds(g.nodes, _questions(spark))
     levels = traverse.bfs_levels(g, seeds, 1)
     return search.render_lines(g, levels, traverse.bfs_edges(g, levels), seeds)
@@ -425,15 +528,16 @@ def query_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def token_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    return search.run_benchmark(code_graph(spark, d), ("catalog schema", "render filter"))
+    return search.run_benchmark(written_graph(spark, d), ("catalog schema", "render filter"))
 
 
 # -- texts and files
 
 
-@query("select doc_id, greatest(strlen(text) // 4, 1) tokens from documents where text is not null")
+@query("select doc_id, greatest(strlen(text) // 4, 1) tokens from documents")
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+    """1 for a null text, as for an empty one."""
+    return table(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 _SPACES = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -444,9 +548,14 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"))
 
 
-@query("select doc_id, " + " + ".join(f"case when regexp_matches(substr(text, 1, 3000), '{p}') then 1 else 0 end" for p in PAPER_SIGNALS) + " signals from documents where text is not null")
+#: Unicode's words, digits and white space for an engine whose classes are ASCII; a word's border as a character beside it.
+_UNICODE = lambda p: p.replace(r"\b", r"(?:^|$|[^\p{L}\p{M}\p{N}\p{Pc}])").replace(r"\s", r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]").replace(r"\d", r"\p{Nd}")
+_HEAD = "coalesce(" + ", ".join(f"try(decode(encode(text)[1:{3000 - k}]))" for k in range(4)) + ", '')"
+
+
+@query("select doc_id, " + " + ".join(f"case when regexp_matches(head, '{_UNICODE(p)}') then 1 else 0 end" for p in PAPER_SIGNALS) + f" signals from (select doc_id, {_HEAD} head from documents)")
 def paper_signals(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", detect.paper_signals_of_prefix(F.col("text")).alias("signals"))
+    return table(spark, d, "documents").select("doc_id", detect.paper_signals(F.col("text")).alias("signals"))
 
 
 _NAME = "split_part(replace(rel_path, '\\', '/'), '/', -1)"
@@ -473,23 +582,34 @@ def ignored_files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").select("file_id", detect.IgnoreRules(_RULE_LINES).column(path).alias("ignored"), detect.in_skipped_dir(path).alias("skipped"))
 
 
-@query("select file_id, sha256(body || chr(0) || rel_path) hash from source_files where not contains(body, chr(0))")
+_FILE_HASH = "sha256(encode(body) || '\\x00'::blob || encode(rel_path))"
+
+
+@query(f"select file_id, {_FILE_HASH} hash from source_files")
 def file_hashes(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "source_files").where(~F.contains("body", F.lit("\x00")))
-    return rows.select("file_id", ingest.file_hash(F.col("body"), F.col("rel_path")).alias("hash"))
+    return table(spark, d, "source_files").select("file_id", ingest.file_hash(F.col("body"), F.col("rel_path")).alias("hash"))
 
 
 @query(f"""
-with s as (select distinct repo || '/' || {_PATH} p, {_DIGEST} h, file_type t from scan_entries where run_id = 30), sa as (select p, min(h) h, min(t) t from s group by p),
-m as (select repo || '/' || {_PATH} p, arg_max(struct_pack(h := {_DIGEST}, t := file_type), run_id * 1000000000 + entry_id) x from manifest_entries where run_id < 30 group by 1)
-select coalesce(sa.p, m.p) rel_path, case when sa.p is null then 'deleted' when m.p is null then 'new' when sa.h = x.h then 'unchanged' else 'changed' end status, case when sa.p is null or (m.p is not null and sa.h = x.h) then x.t else sa.t end file_type from sa full join m on sa.p = m.p
+with s as (select run_id, repo || '/' || {_PATH} p, min({_DIGEST}) h, min(file_type) t from scan_entries where rel_path is not null group by 1, 2), runs_of as (select distinct run_id from scan_entries),
+k as (select run_id, repo || '/' || {_PATH} p, {_DIGEST} h, file_type t, entry_id from manifest_entries where rel_path is not null),
+m as (select r.run_id, k.p, arg_max(struct_pack(h := k.h, t := k.t), k.run_id * 1000000000 + k.entry_id) x from runs_of r join k on k.run_id < r.run_id group by 1, 2)
+select coalesce(s.run_id, m.run_id) run_id, coalesce(s.p, m.p) rel_path, case when s.p is null then 'deleted' when m.p is null then 'new' when s.h = x.h then 'unchanged' else 'changed' end status,
+    case when s.p is null or (m.p is not null and s.h = x.h) then x.t else s.t end file_type from s full join m on s.p = m.p and s.run_id = m.run_id
 """)
 def manifest_status(spark: SparkSession, d: str) -> DataFrame:
-    """The scan of a run against everything recorded before it."""
+    """The scan of every run against everything recorded before it; the last record before a run is found by the runs (a fixed few)."""
     path = F.concat("repo", F.lit("/"), T.forward_path(F.col("rel_path"))).alias("rel_path")
-    scan = table(spark, d, "scan_entries").where("run_id = 30").groupBy(path).agg(F.min(T.digest(F.col("hash"))).alias("hash"), F.min("file_type").alias("file_type"))
-    known = table(spark, d, "manifest_entries").where("run_id < 30").groupBy(path).agg(F.max_by(F.struct(T.digest(F.col("hash")).alias("hash"), "file_type"), F.col("run_id") * 1_000_000_000 + F.col("entry_id")).alias("x"))
-    return detect.manifest_status(scan, known.select("rel_path", "x.hash", "x.file_type"))
+    scans = table(spark, d, "scan_entries").where("rel_path is not null")
+    scan = scans.groupBy("run_id", path).agg(F.min(T.digest(F.col("hash"))).alias("hash"), F.min("file_type").alias("file_type"))
+    records = table(spark, d, "manifest_entries").where("rel_path is not null").groupBy(path, "run_id").agg(F.max_by(F.struct(T.digest(F.col("hash")).alias("hash"), "file_type"), "entry_id").alias("x"))
+    # a record counts for the runs after its own up to the one of the next record of its path
+    until = F.lead("run_id").over(Window.partitionBy("rel_path").orderBy("run_id"))
+    kept = records.withColumn("until", until).alias("k")
+    runs = scans.select("run_id").distinct().alias("r")
+    held = (F.col("k.run_id") < F.col("r.run_id")) & (F.col("k.until").isNull() | (F.col("r.run_id") <= F.col("k.until")))
+    known = kept.join(F.broadcast(bounded(runs, 100_000, "runs")), held).select("r.run_id", "k.rel_path", "k.x.hash", "k.x.file_type")
+    return detect.manifest_status(scan, known, ["run_id"])
 
 
 _URL = r"nullif(regexp_replace(regexp_extract(regexp_extract(text, '^---\r?\n((?s:.*?))\r?\n---', 1), '(?m)^source_url: *(.*?)\r?$', 1), '^\x22|\x22$', '', 'g'), '')"
@@ -502,9 +622,8 @@ def url_types(spark: SparkSession, d: str) -> DataFrame:
     return u.select("doc_id", "url", ingest.url_type(F.col("url")).alias("kind"))
 
 
-@query(rf"select doc_id, substr(regexp_replace(regexp_replace(regexp_replace(u, '[^a-zA-Z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) name from (select doc_id, {_URL} u from documents) where u is not null and regexp_full_match(u, '[\x00-\x7F]*')")
+@query(rf"select doc_id, substr(regexp_replace(regexp_replace(regexp_replace(u, '[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) name from (select doc_id, {_URL} u from documents) where u is not null")
 def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
-    """Of all addresses; the SQL gives those in ASCII only."""
     u = table(spark, d, "documents").select("doc_id", ingest.front_matter(F.col("text"), "source_url").alias("url")).where("url is not null")
     return u.select("doc_id", T.safe_filename(F.col("url")).alias("name"))
 
@@ -545,10 +664,10 @@ def extracted_edges(spark: SparkSession, d: str) -> DataFrame:
     return extraction.extract_repositories(table(spark, d, "source_files"))[1]
 
 
-@query("with h as (select file_id, rel_path, sha256(body || chr(0) || rel_path) hash from source_files where not contains(body, chr(0))) select file_id, hash from h where hash not in (select hash from h where file_id % 3 = 0)")
+@query(f"with h as (select file_id, rel_path, {_FILE_HASH} hash from source_files) select file_id, hash from h where hash not in (select hash from h where file_id % 3 = 0)")
 def cache_misses(spark: SparkSession, d: str) -> DataFrame:
     """Of all files, with a cache that holds every third one."""
-    f = table(spark, d, "source_files").where(~F.contains("body", F.lit("\x00"))).select("file_id", "rel_path", "body")
+    f = table(spark, d, "source_files").select("file_id", "rel_path", "body")
     cache = f.where("file_id % 3 = 0").select(ingest.file_hash(F.col("body"), F.col("rel_path")).alias("hash"), F.lit("ast").alias("kind"))
     return extraction.cache_misses(f, cache).select("file_id", "hash")
 
@@ -583,7 +702,7 @@ with {GRAPH_SQL}, rk as (select com, row_number() over (order by count(*) desc,
 select id, coalesce(label, id) as label, case when is_file then 12.0 else least(10 + 3 * sqrt(degree), 50.0) end size, coalesce(['#4E79A7','#F28E2B','#E15759','#76B7B2','#59A14F','#EDC948','#B07AA1','#FF9DA7','#9C755F','#BAB0AC'][r % 10 + 1], '#BAB0AC') color from d left join rk on d.com = rk.com
 """)
 def viz_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return export.viz_nodes(code_graph(spark, d)).drop("border")
+    return export.viz_nodes(written_graph(spark, d)).drop("border")
 
 
 @query(f"with {GRAPH_SQL} select src, tgt, coalesce(y.relation, 'related') relation, coalesce(y.confidence, 'EXTRACTED') in ('INFERRED', 'AMBIGUOUS') dashes, greatest(0.3, least(1.0, coalesce(y.confidence_score, 1.0))) opacity from e")
@@ -606,7 +725,7 @@ def canvas_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {GRAPH_SQL} select com as cid, row_number() over (partition by com order by degree desc, ord) place, id, coalesce(label, id) as label, degree from d where com is not null qualify place <= 25")
 def community_members(spark: SparkSession, d: str) -> DataFrame:
-    return export.community_top(code_graph(spark, d))
+    return export.community_top(written_graph(spark, d))
 
 
 @query(f"with {GRAPH_SQL}, l as (select a.com cid, b.com other, count(*) n_links from adj join d a on adj.src = a.id join d b on adj.tgt = b.id where a.com <> b.com group by 1, 2) select * from l qualify row_number() over (partition by cid order by n_links desc, other) <= 12")
@@ -624,7 +743,7 @@ with {GRAPH_SQL}, hub as (select id from d where not is_file and not is_concept
 select adj.src id, coalesce(adj.y.relation, 'related') relation, row_number() over (partition by adj.src, coalesce(adj.y.relation, 'related') order by deg.degree desc, adj.tgt) place, adj.tgt neighbor from adj join hub on adj.src = hub.id join deg on adj.tgt = deg.id qualify place <= 20
 """)
 def hub_articles(spark: SparkSession, d: str) -> DataFrame:
-    g = code_graph(spark, d)
+    g = written_graph(spark, d)
     return export.hub_neighbors(g, analyze.god_nodes(g))
 
 
@@ -645,9 +764,15 @@ def tree_symbols(spark: SparkSession, d: str) -> DataFrame:
     return export.file_symbols(code_graph(spark, d))
 
 
-@query()
+@query(f"""
+with {GRAPH_SQL}, m as (select com cid, coalesce(label, id) as label, row_number() over (partition by com order by ord) rn, count(*) over (partition by com) n from d where com is not null and not is_file),
+s as (select com cid, count(*) n from d where com is not null group by 1), i as (select a.com cid, count(*) k from e join d a on e.src = a.id join d b on e.tgt = b.id where a.com = b.com and e.src <> e.tgt group by 1)
+select m.cid, max(m.n) n_members, list(label order by rn) filter (where rn <= 8) labels, greatest(max(m.n) - 8, 0) n_more,
+    any_value(case when s.n <= 1 then 1.0 else floor(coalesce(k, 0) / (s.n * (s.n - 1) / 2.0) * 100.0 + 0.5) / 100.0 end) cohesion
+from m join s on m.cid = s.cid left join i on m.cid = i.cid group by m.cid having max(m.n) >= 3
+""")
 def report_communities(spark: SparkSession, d: str) -> DataFrame:
-    return report.community_sections(code_graph(spark, d))
+    return report.community_sections(written_graph(spark, d))
 
 
 @query(f"with {GRAPH_SQL} select src, tgt, coalesce(y.relation, 'unknown') relation from e where y.confidence = 'AMBIGUOUS'")
