@@ -1,10 +1,9 @@
 """Problem 4: references to records that do not exist.
 
-Distinct non-null foreign keys are anti-joined with the parents' keys: what is left
-never existed.  Of the other keys those are kept whose parents' lifetimes don't cover
-all of their references.  Both are joined back to the references, of which the rest
-need not be looked at again.  Keys that hold a large part of all references are
-salted for that join.
+Distinct non-null foreign keys are anti-joined with the parents' keys: those left never
+existed, or no lifetime of theirs covers all references.  These keys are joined back to
+the references, of which the rest are passed over by a mark of a fixed size and aren't
+shuffled again.  Keys that hold a large part of all references are salted for that join.
 """
 
 from __future__ import annotations
@@ -53,14 +52,28 @@ HOT_ONE_IN, SALTS = 1000, 64
 def suspect_keys(refs: DataFrame, parents: DataFrame, key: Column) -> DataFrame:
     """(key, n, spans): the distinct keys of ``refs`` that may have orphans, with the number of their references.
 
-    spans is null for keys that no parent ever had (left anti-join); other keys are left out if one of
-    their lifetimes holds all their references, from the first seen_at to the last.
+    They are the left anti-join of all keys with the parents one of whose lifetimes holds all references of
+    the key, from the first seen_at to the last.  spans is null for keys that no parent ever had.
     """
     keys = refs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count("seen_at").alias("n_seen"), F.min("seen_at").alias("first"), F.max("seen_at").alias("last"))
     known = lifetimes(parents.where(F.col("id").isNotNull()), key)
-    never = keys.join(known, "key", "left_anti").select("key", "n", F.lit(None).cast("array<struct<begin:timestamp,end:timestamp>>").alias("spans"))
-    covered = (F.col("n") == F.col("n_seen")) & F.exists("spans", lambda s: (s["begin"] <= F.col("first")) & (F.col("last") < s["end"]))
-    return never.unionByName(keys.join(known, "key").where(~covered).select("key", "n", "spans"))
+    k, p = keys.alias("k"), known.alias("p")
+    covered = (F.col("k.n") == F.col("k.n_seen")) & F.exists("p.spans", lambda s: (s["begin"] <= F.col("k.first")) & (F.col("k.last") < s["end"]))
+    return k.join(p, (F.col("k.key") == F.col("p.key")) & covered, "left_anti").select("key", "n").join(known, "key", "left")
+
+
+#: Bits of the mark that most references of other keys are told by; a broadcast of this size at most, whatever the data.
+MARK_BITS = 1 << 26
+
+
+def _marked(refs: DataFrame, suspects: DataFrame) -> DataFrame:
+    """The rows of ``refs`` whose key's bit is set: all of suspect keys, and by chance some of others."""
+    bit = F.pmod(F.xxhash64("key"), F.lit(MARK_BITS))
+    # at most MARK_BITS / 32768 rows of 4 KB
+    marks = suspects.select(F.shiftright(bit, 15).alias("_page"), bit.bitwiseAND(F.lit(32767)).alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    placed = refs.select("*", F.shiftright(bit, 15).alias("_page"), bit.bitwiseAND(F.lit(32767)).alias("_bit")).join(F.broadcast(marks), "_page")
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.where(F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1).drop("_page", "_bit", "_bits")
 
 
 def judged_suspects(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -70,8 +83,9 @@ def judged_suspects(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     references are orphans.  Edges delivered twice count each.
     """
     refs = references(edges)
-    # written, so that its true size decides whether it is sent to the references or these are shuffled
+    # written, since it is read three times
     suspects = written(suspect_keys(refs, nodes, normalize_id(F.col("id"))))
+    refs = _marked(refs, suspects)
     hot = F.col("n") * HOT_ONE_IN > 2 * edges.count()
     # fewer than HOT_ONE_IN rows
     marked = refs.join(F.broadcast(suspects.where(hot).select("key", F.lit(True).alias("hot"))), "key", "left")
