@@ -191,7 +191,7 @@ def pack_documents(sizes: DataFrame, windows: DataFrame) -> DataFrame:
     each, and a rest.  Documents of size 0 go to the containers in turn (container 0 if there are no
     others); a null size counts as 0.  Windows without a name or a positive capacity are left out,
     repeated windows count once; repeated doc_ids are items of their own.  ``sizes`` is read several
-    times, so it should be written before; the places of sizes are written when this is called.
+    times, so it should be written before; groups and places of sizes are written when this is called.
     """
     w = ["window_name", "capacity"]
     salts = max(SALTS, sizes.count() // GROUP)
@@ -201,7 +201,7 @@ def pack_documents(sizes: DataFrame, windows: DataFrame) -> DataFrame:
     start = lambda part: (part * F.col("capacity")).alias("start_token")
 
     # where every group's ranks begin, and the places that they meet
-    groups = rests.groupBy(*w, "size", "salt").agg(F.count(F.lit(1)).alias("n"))
+    groups = written(rests.groupBy(*w, "size", "salt").agg(F.count(F.lit(1)).alias("n")))
     before = lambda *by: Window.partitionBy(*by).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.withColumn("offset", F.coalesce(F.sum("n").over(before(*w, "size")), F.lit(0)))
     histogram = groups.where("size > 0").groupBy(*w, "size").agg(F.sum("n").alias("n"))
