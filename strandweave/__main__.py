@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from . import pipeline
 from .functions.text import safe_filename
 from .operators import export, ingest, report, search, traverse
+from .operators.incremental import VersionedTable
 from .server import ToolServer
+from .sources import files
 from .sources.session import local_session
 
 
 def _graph(spark: SparkSession, path: str):
     """A graph from its native folder or a node-link document."""
-    return export.read_node_link(spark, path) if path.endswith(".json") else export.read_graph(spark, path)
+    if path.endswith(".json"):
+        return export.read_node_link(spark, path)
+    return export.saved_graph(spark, path) or export.read_graph(spark, path)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -51,6 +55,9 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("answer")
     c.add_argument("--nodes", nargs="*", default=[])
     c.add_argument("--out", default="graph-out/memory")
+    c = sub.add_parser("cost")
+    c.add_argument("ledger")
+    c.add_argument("--add", nargs=3, metavar=("RUN", "IN", "OUT"))
     c = sub.add_parser("check-update")
     c.add_argument("path")
     a = p.parse_args(argv)
@@ -63,7 +70,13 @@ def main(argv: list[str] | None = None) -> int:
         pipeline.watch(spark, a.path, once=a.once).awaitTermination()
         return 0
     if a.command == "check-update":
-        print("update needed" if pipeline.update_flag(a.path).exists() else "up to date")
+        print("update needed" if files.exists(spark, pipeline.update_flag(a.path)) else "up to date")
+        return 0
+    if a.command == "cost":
+        ledger = VersionedTable(spark, a.ledger)
+        if a.add:
+            report.add_cost(ledger, a.add[0], int(a.add[1]), int(a.add[2]))
+        print(report.cost_totals(ledger.read()).first() if ledger.latest() else "no runs")
         return 0
     if a.command in ("add", "save-result"):
         if a.command == "add":
@@ -72,7 +85,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             rows = spark.createDataFrame([(a.question, a.answer, "query", a.nodes)], "question string, answer string, kind string, nodes array<string>")
             found = ingest.answer_documents(rows).select(F.col("slug").alias("name"), "document").first()
-        print(pipeline.write_new(Path(a.out), found["name"], found["document"]))
+        print(pipeline.write_new(spark, a.out, found["name"], found["document"]))
         return 0
     if a.command == "merge-graphs":
         from .operators.graph import merge_repositories
@@ -90,15 +103,16 @@ def main(argv: list[str] | None = None) -> int:
         if len(ends) < 2:
             print("No matching nodes found.")
             return 1
-        hit = traverse.shortest_paths(g, spark.createDataFrame([(0, ends[0], ends[1])], "q_id int, source string, target string"), 64).first()
+        hit = traverse.shortest_paths(g, spark.createDataFrame([(0, ends[0], ends[1])], "q_id int, source string, target string"), None).first()
         print("no path" if hit.path is None else " -> ".join(hit.path))
     elif a.command == "explain":
-        found = search.find_nodes(g.nodes, a.term).limit(1)
-        search.explain_neighbors(g, found).orderBy("place").show(20, truncate=False)
+        print(search.explanation(g, a.term))
     elif a.command == "benchmark":
         search.run_benchmark(g).show(truncate=False)
     elif a.command == "cluster-only":
-        g = pipeline.with_communities(g)
+        g = pipeline.with_communities(g).written()
+        out = a.graph.rsplit("/", 1)[0] if "/" in a.graph else "."
+        pipeline.write_outputs(g, out)
         print(report.report_text(g))
     elif a.command == "serve":
         ToolServer(g).serve()

@@ -118,7 +118,9 @@ def sanitize_label(label: Column, chars: int = 256) -> Column:
 def byte_prefix(s: Column, n: int) -> Column:
     """The characters that fit into the first n bytes of UTF-8; one that would be cut is left out."""
     cut = F.make_valid_utf8(F.substring(F.encode(s, "UTF-8"), 1, n).cast("string"))
-    return F.when(F.octet_length(s) <= n, s).otherwise(F.when(F.startswith(s, cut), cut).otherwise(F.regexp_replace(cut, r"\x{FFFD}+$", "")))
+    # what is left of a cut character became a replacement character, which is longer or isn't in the text
+    whole = F.startswith(s, cut) & (F.octet_length(cut) <= n)
+    return F.when(F.octet_length(s) <= n, s).otherwise(F.when(whole, cut).otherwise(F.regexp_replace(cut, r"\x{FFFD}$", "")))
 
 
 def render_label(label: Column, n: int = 256) -> Column:

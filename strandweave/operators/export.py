@@ -7,17 +7,19 @@ written in parallel; only the bounded ones (pages for a browser) go through the
 from __future__ import annotations
 
 import json
-from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import PALETTE
 from ..functions.text import basename, capitalise, cypher_escape, wiki_filename, xml_escape
+from ..sources import files
 from ..sources.session import checkpoint
 from .analyze import described_nodes, god_nodes, top_per_group
 from .cluster import rank_by_count
 from .graph import Graph, build_graph
+from .incremental import VersionedTable
 from .search import with_norm_label
 
 #: A page for a browser holds at most so many nodes.
@@ -71,10 +73,34 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(spark.read.parquet(f"{path}/nodes"), edges.drop("directed"), bool(first and first[0]))
 
 
+def save_graph(g: Graph, path: str) -> int:
+    """The graph as the next version of a folder of graphs; readers see it when its manifest is published.
+
+    The folder keeps the last version besides, for those who are reading it.
+    """
+    spark = g.nodes.sparkSession
+    log = VersionedTable(spark, path)
+    folder, version = f"graph-{uuid4()}", log.latest()
+    write_graph(g, f"{path}/{folder}")
+    before = log.manifest(version)["info"].get("folder")
+    log._publish(version + 1, {"files": {}, "info": {"folder": folder, "before": before}})
+    for name in files.children(spark, path):
+        if name.startswith("graph-") and name not in (folder, before):
+            files.remove(spark, f"{path}/{name}")
+    return version + 1
+
+
+def saved_graph(spark: SparkSession, path: str) -> Graph | None:
+    """The graph saved last, None without any."""
+    log = VersionedTable(spark, path)
+    folder = log.manifest(log.latest())["info"].get("folder")
+    return read_graph(spark, f"{path}/{folder}") if folder else None
+
+
 def node_link_records(g: Graph) -> DataFrame:
     """(part, ord, json): nodes with norm_label and links as JSON objects."""
     n = with_norm_label(g.nodes).withColumn("norm_label", F.coalesce("norm_label", F.lower("id")))
-    nodes = n.select(F.lit("nodes").alias("part"), "ord", F.to_json(F.struct("id", "label", "file_type", "source_file", "source_location", "community", "norm_label")).alias("json"))
+    nodes = n.select(F.lit("nodes").alias("part"), "ord", F.to_json(F.struct("id", "label", "file_type", "source_file", "source_location", "community", "repo", "norm_label")).alias("json"))
     cols = [c for c in ("relation", "confidence", "confidence_score", "weight", "context", "source_location") if c in g.edges.columns]
     links = g.edges.select(F.lit("links").alias("part"), "ord", F.to_json(F.struct(F.col("orig_src").alias("source"), F.col("orig_tgt").alias("target"), *cols)).alias("json"))
     return nodes.unionByName(links)
@@ -88,13 +114,12 @@ def write_node_link(g: Graph, path: str, force: bool = False, max_rows: int = 2_
         raise ValueError("too large for one document; use write_graph")
     nodes = [json.loads(r.json) for r in sorted((r for r in rows if r.part == "nodes"), key=lambda r: r.ord)]
     links = [json.loads(r.json) for r in sorted((r for r in rows if r.part == "links"), key=lambda r: r.ord)]
-    target = Path(path)
-    if target.exists() and not force and len(json.loads(target.read_text())["nodes"]) > len(nodes):
+    spark = g.nodes.sparkSession
+    old = None if force else files.read_text(spark, path)
+    if old is not None and len(json.loads(old)["nodes"]) > len(nodes):
         return False
     hyper = [r.asDict(True) for r in g.hyperedges.collect()] if g.hyperedges is not None else []
-    aside = target.with_suffix(".part")
-    aside.write_text(json.dumps({"directed": g.directed, "nodes": nodes, "links": links, "hyperedges": hyper}, ensure_ascii=False))
-    aside.replace(target)
+    files.write_text(spark, path, json.dumps({"directed": g.directed, "nodes": nodes, "links": links, "hyperedges": hyper}, ensure_ascii=False))
     return True
 
 
@@ -165,7 +190,7 @@ def write_html(g: Graph, path: str, max_nodes: int = HTML_NODES) -> None:
     edges = [r.asDict() for r in viz_edges(g).limit(HTML_EDGES + 1).collect()]
     if len(edges) > HTML_EDGES:
         raise ValueError(f"more than {HTML_EDGES} edges")
-    Path(path).write_text(_PAGE % json.dumps({"nodes": nodes, "edges": edges}).replace("</", "<\\/"))
+    files.write_text(g.nodes.sparkSession, path, _PAGE % json.dumps({"nodes": nodes, "edges": edges}).replace("</", "<\\/"))
 
 
 def canvas_cards(g: Graph) -> DataFrame:
@@ -199,7 +224,7 @@ def write_canvas(g: Graph, path: str, max_nodes: int = HTML_NODES) -> None:
     here = {c.id for c in cards}
     nodes = [{"id": c.id, "type": "text", "text": c.label, "x": c.x, "y": c.y, "width": 200, "height": 60} for c in cards]
     edges = [{"id": f"e{i}", "fromNode": e.src, "toNode": e.tgt, "label": e.relation} for i, e in enumerate(canvas_edges(g).collect()) if e.src in here and e.tgt in here]
-    Path(path).write_text(json.dumps({"nodes": nodes, "edges": edges}))
+    files.write_text(g.nodes.sparkSession, path, json.dumps({"nodes": nodes, "edges": edges}))
 
 
 # -- articles
@@ -242,10 +267,11 @@ def write_wiki(g: Graph, folder: str, labels: dict[int, str] | None = None, max_
     n = g.nodes.where("community is not null").select("community").distinct().limit(max_articles + 1).count()
     if n > max_articles:
         raise ValueError(f"more than {max_articles} communities")
-    out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
-    for p in out.glob("*.md"):
-        p.unlink()
+    spark = g.nodes.sparkSession
+    for old in files.children(spark, folder):
+        if old.endswith(".md"):
+            files.remove(spark, f"{folder}/{old}")
+    write = lambda slug, lines: files.write_text(spark, f"{folder}/{slug}.md", "\n".join(lines) + "\n")
     pages: dict[int, list[str]] = {}
     for r in community_top(g).orderBy("cid", "place").collect():
         pages.setdefault(r.cid, [f"# {name(r.cid)}", "", "## Members", ""]).append(f"- {r.label} ({r.degree})")
@@ -261,18 +287,18 @@ def write_wiki(g: Graph, folder: str, labels: dict[int, str] | None = None, max_
         near.setdefault(r.id, {}).setdefault(r.relation, []).append(f"- {r.neighbor}")
     order = sorted(pages, key=lambda c: (-len(pages[c]), c))
     titles = list(dict.fromkeys([name(c) for c in order] + [h.label for h in hubs]))
-    slugs = dict(wiki_slugs(g.nodes.sparkSession.createDataFrame([(t,) for t in titles], "name string")).collect()) if titles else {}
+    slugs = dict(wiki_slugs(spark.createDataFrame([(t,) for t in titles], "name string")).collect()) if titles else {}
     index = ["# Index", ""]
     for c in order:
-        (out / f"{slugs[name(c)]}.md").write_text("\n".join(pages[c]) + "\n")
+        write(slugs[name(c)], pages[c])
         index.append(f"- [[{slugs[name(c)]}]]")
     for h in hubs:
         lines = [f"# {h.label}", "", f"Degree {h.degree}"]
         for relation, rows in near.get(h.id, {}).items():
             lines += ["", f"## {relation}", "", *rows]
-        (out / f"{slugs[h.label]}.md").write_text("\n".join(lines) + "\n")
+        write(slugs[h.label], lines)
         index.append(f"- [[{slugs[h.label]}]]")
-    (out / "index.md").write_text("\n".join(index) + "\n")
+    write("index", index)
     return len(pages) + len(hubs)
 
 
@@ -334,4 +360,4 @@ def write_tree(g: Graph, path: str, max_children: int = 200, max_rows: int = 500
         if r.hidden and r.place == max_children:
             at["children"]["more"] = {"name": f"(+{r.hidden} more)", "count": r.hidden, "children": {}}
     flat = lambda n: {"name": n["name"], "count": n["count"], "children": [flat(c) for c in n["children"].values()]}
-    Path(path).write_text(json.dumps(flat(root)))
+    files.write_text(g.nodes.sparkSession, path, json.dumps(flat(root)))

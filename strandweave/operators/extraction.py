@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_call
@@ -68,14 +69,20 @@ def resolve_calls(nodes: DataFrame, stubs: DataFrame, by: list[str] = []) -> Dat
     return s.select(*by, "source", "source_file", "line", F.inline(hit)).select(*by, "source", "target", "confidence", "source_file", "line")
 
 
-def extract_repositories(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Node and edge statements (with ord) of files (repo, rel_path, body): symbols, relations and resolved calls."""
+def extract_repositories(files: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Node and edge statements (with ord) of files (repo, rel_path, body): symbols, relations and resolved calls.
+
+    known: nodes (repo, id, label, source_file) of other files, which calls of these may mean too.
+    """
     # three things are made of the fragments; files are read and parsed once
     f = checkpoint(extract_fragments(files))
     nodes = merged_nodes(f)
     e = f.where("kind = 'edge'").select("repo", F.col("id").alias("source"), "target", "relation", F.lit("EXTRACTED").alias("confidence"), F.lit(None).cast("string").alias("context"), "source_file", "line")
     stubs = f.where("kind = 'stub'").select("repo", F.col("id").alias("source"), F.col("target").alias("name"), "source_file", "line")
-    c = resolve_calls(nodes, stubs, ["repo"]).select("repo", "source", "target", F.lit("calls").alias("relation"), "confidence", F.lit("call").alias("context"), "source_file", "line")
+    named = nodes.select("repo", "id", "label", "source_file")
+    if known is not None:
+        named = named.unionByName(known.select("repo", "id", "label", "source_file").join(files.select(F.col("rel_path").alias("source_file")).distinct(), "source_file", "left_anti"))
+    c = resolve_calls(named, stubs, ["repo"]).select("repo", "source", "target", F.lit("calls").alias("relation"), "confidence", F.lit("call").alias("context"), "source_file", "line")
     both = e.unionByName(c).withColumn("source_location", F.concat(F.lit("L"), F.col("line").cast("string"))).withColumn("weight", F.lit(1.0))
     # a place that depends on content only, so that runs agree
     return nodes.withColumn("ord", F.xxhash64("repo", "id")), both.withColumn("ord", F.xxhash64("repo", "source", "target", "relation", "source_file", "line")).drop("line")
@@ -96,3 +103,18 @@ def cache_hits(files: DataFrame, cache: DataFrame, kind: str = "ast") -> DataFra
 def save_cache(fragments: DataFrame, path: str) -> None:
     """Adds fragments (hash, kind, fragment) to the cache; the writer's commit makes them appear at once."""
     fragments.write.mode("append").partitionBy("kind").parquet(path)
+
+
+def cached_files(spark: SparkSession, path: str) -> DataFrame:
+    """(hash, kind) of everything in the cache, once each; no rows without a cache."""
+    try:
+        return spark.read.parquet(path).select("hash", F.col("kind").cast("string").alias("kind")).distinct()
+    except AnalysisException:
+        return spark.createDataFrame([], "hash string, kind string")
+
+
+def clear_cache(spark: SparkSession, path: str, kind: str | None = None) -> bool:
+    """Removes the cache, or one kind of it; False if there was nothing."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path if kind is None else f"{path}/kind={kind}")
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

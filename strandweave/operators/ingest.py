@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import BLOCKED_HOSTS, URL_SCHEMES
-from ..functions.text import yaml_string
+from ..functions.fixed import BLOCKED_HOSTS, SPEECH_HINT, URL_SCHEMES
+from ..functions.text import safe_filename, yaml_string
 
 
 def url_path(url: Column) -> Column:
@@ -84,6 +84,44 @@ def page_documents(pages: DataFrame, contributor: str = "unknown") -> DataFrame:
     return pages.select("url", F.concat(head, F.substring(html_to_text(F.col("html"), 12_000), 1, 12_000), F.lit("\n")).alias("document"))
 
 
+def _document(fields: list[tuple[str, Column]], body: list[Column]) -> Column:
+    """Front matter of quoted values, then a Markdown body."""
+    head = [F.concat(F.lit(f'{k}: "'), yaml_string(F.coalesce(v, F.lit(""))), F.lit('"\n')) for k, v in fields]
+    return F.concat(F.lit("---\n"), *head, F.lit("---\n\n"), *[F.coalesce(c, F.lit("")) for c in body])
+
+
+def post_documents(posts: DataFrame, contributor: str = "unknown") -> DataFrame:
+    """(url, document) of short posts (url, answer): ``answer`` is the embedding service's JSON with html and author_name.
+
+    An answer that is no such JSON, or null, gives a document that says so; its author is 'unknown'.
+    """
+    a = F.from_json("answer", "html string, author_name string")
+    known = F.try_parse_json("answer").isNotNull()
+    text = F.trim(F.regexp_replace(F.coalesce(a["html"], F.lit("")), r"<[^>]+>", ""))
+    said = F.when(F.col("answer").isNull(), F.concat(F.lit("Post at "), "url", F.lit(" (not fetched)"))).when(~known, F.concat(F.lit("Post at "), "url", F.lit(" (answer not understood)"))).otherwise(text)
+    author = F.coalesce(a["author_name"], F.lit("unknown"))
+    fields = [("source_url", F.col("url")), ("type", F.lit("tweet")), ("author", author), ("contributor", F.lit(contributor))]
+    return posts.select("url", _document(fields, [F.lit("# Post by @"), author, F.lit("\n\n"), said, F.lit("\n\nSource: "), F.col("url"), F.lit("\n")]).alias("document"))
+
+
+def paper_documents(pages: DataFrame, contributor: str = "unknown") -> DataFrame:
+    """(url, name, document) of a paper server's abstract pages (url, html): title, authors and abstract by their elements' classes.
+
+    A page without a title gets the paper's number as one.  Addresses without a number are documents of
+    ``page_documents``, named by their address.
+    """
+    inner = lambda pattern, gap: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", "(?si)" + pattern, 1), r"<[^>]+>", gap), r"\s+", " "))
+    number = arxiv_id(F.col("url"))
+    title, authors = inner(r'class="title[^"]*"[^>]*>(.*?)</h1>', " "), inner(r'class="authors"[^>]*>(.*?)</div>', "")
+    abstract = F.trim(F.regexp_replace(F.regexp_extract("html", r'(?si)class="abstract[^"]*"[^>]*>(.*?)</blockquote>', 1), r"<[^>]+>", ""))
+    named = F.when(F.coalesce(title, F.lit("")) == "", number).otherwise(title)
+    fields = [("source_url", F.col("url")), ("arxiv_id", number), ("type", F.lit("paper")), ("title", named), ("paper_authors", authors), ("contributor", F.lit(contributor))]
+    body = [F.lit("# "), named, F.lit("\n\n**Authors:** "), authors, F.lit("\n**arXiv:** "), number, F.lit("\n\n## Abstract\n\n"), abstract, F.lit("\n\nSource: "), F.col("url"), F.lit("\n")]
+    papers = pages.where(number.isNotNull()).select("url", F.concat(F.lit("arxiv_"), F.replace(number, F.lit("."), F.lit("_"))).alias("name"), _document(fields, body).alias("document"))
+    others = page_documents(pages.where(number.isNull()), contributor).select("url", safe_filename(F.col("url")).alias("name"), "document")
+    return papers.unionByName(others)
+
+
 def front_matter(text: Column, key: str) -> Column:
     """A value of a document's front matter, without quotes; null if it has none."""
     v = F.regexp_extract(F.regexp_extract(text, r"^---\r?\n(?s:(.*?))\r?\n---", 1), rf"(?m)^{key}: *(.*?)\r?$", 1)
@@ -101,11 +139,13 @@ def file_hash(content: Column, rel_path: Column) -> Column:
     return F.sha2(F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("00")), F.encode(rel_path, "UTF-8")), 256)
 
 
-def transcript_prompt(hubs: DataFrame) -> DataFrame:
-    """One row: a hint for speech recognition from the first five hub labels."""
+def transcript_prompt(hubs: DataFrame, override: str | None = None) -> DataFrame:
+    """One row: a hint for speech recognition from the first five hub labels, or ``override`` as it is; without hubs the general part."""
+    if override:
+        return hubs.sparkSession.createDataFrame([(override,)], "prompt string")
     first = hubs.where("label <> ''").orderBy("ord").limit(5)
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label"))), lambda x: x["label"]), ", ")
-    return first.agg(F.concat(F.lit("Technical discussion about "), names, F.lit(". Use proper punctuation and paragraph breaks.")).alias("prompt"))
+    return first.agg(F.when(names == "", SPEECH_HINT[1]).otherwise(F.concat(F.lit(SPEECH_HINT[0]), names, F.lit(". "), F.lit(SPEECH_HINT[1]))).alias("prompt"))
 
 
 def answer_documents(answers: DataFrame) -> DataFrame:

@@ -85,6 +85,20 @@ def find_nodes(nodes: DataFrame, term: str) -> DataFrame:
     return with_norm_label(nodes).where(hit).select("ord", "id", "label").orderBy("ord")
 
 
+def node_details(g: Graph, term: str) -> DataFrame:
+    """The node that a term means, at most one row (id, label, file_type, source_file, source_location, community, degree).
+
+    Its lower-case label contains the term or the term contains it, or its lower-case id is the term; a
+    node without a label is in every term.  The first by ord counts.
+    """
+    t = F.lit(term.lower())
+    label = F.lower(F.coalesce("label", F.lit("")))
+    first = g.nodes.where(F.contains(label, t) | F.contains(t, label) | (F.lower("id") == t)).orderBy("ord").limit(1)
+    degree = g.neighbors(first.select("id")).agg(F.count(F.lit(1)).alias("degree"))
+    # one row each
+    return first.select("id", F.coalesce("label", "id").alias("label"), "file_type", "source_file", "source_location", "community").crossJoin(degree)
+
+
 def subgraph_lines(g: Graph, levels: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(q_id, kind, a, b, c, line): the subgraph as lines; ordered by kind, a, b, c, line: seeds, other nodes by degree, then edges."""
     d = levels.join(g.nodes.join(g.degrees(), "id"), "id").join(seeds.select("q_id", "id", F.col("place").alias("_seed")), ["q_id", "id"], "left")
@@ -147,6 +161,22 @@ def explain_neighbors(g: Graph, ids: DataFrame, top: int = 20) -> DataFrame:
     return best.join(counts, "id").select("id", F.col("place").cast("bigint").alias("place"), "neighbor", "relation", "degree", "n_neighbors")
 
 
+def explanation(g: Graph, term: str, top: int = 20) -> str:
+    """A node's details and its first neighbours, for the command line."""
+    found = find_nodes(g.nodes, term).limit(1).collect()
+    if not found:
+        return f"no node matches '{term}'"
+    node = g.nodes.where(F.col("id") == found[0].id)
+    row = node.select("id", F.coalesce("label", "id").alias("label"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("file_type", "source_file", "source_location", "community")]).first()
+    near = explain_neighbors(g, node.select("id"), top)
+    named = near.join(g.nodes.select(F.col("id").alias("neighbor"), F.coalesce("label", "id").alias("label")), "neighbor").join(g.neighbors(node.select("id")).select(F.col("tgt").alias("neighbor"), F.coalesce("confidence", F.lit("")).alias("confidence")), "neighbor")
+    rows = named.orderBy("place").collect()
+    n = rows[0].n_neighbors if rows else 0
+    out = [f"Node: {row.label}", f"  Id: {row.id}", f"  Source: {row.source_file} {row.source_location}", f"  Type: {row.file_type}", f"  Community: {row.community}", f"  Degree: {n}"]
+    out += [f"  -> {r.label} [{r.relation}] [{r.confidence}]" for r in rows] + ([f"  ... and {n - top} more"] if n > top else [])
+    return "\n".join(out)
+
+
 def run_benchmark(g: Graph, questions: tuple[str, ...] = BENCHMARK_QUESTIONS, corpus_words: int | None = None) -> DataFrame:
     """One row: corpus_tokens, questions answered, their average tokens and the reduction ratio to one decimal (null without any)."""
     spark = g.nodes.sparkSession

@@ -71,8 +71,9 @@ def dfs_order(g: Graph, starts: DataFrame, depth: int = 3, contexts: list[str] |
     return rows.groupBy("q_id").applyInPandas(walk, f"q_id {kind}, place bigint, id string, depth bigint")
 
 
-def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int = 8) -> DataFrame:
-    """(q_id, hops, path) for every pair (q_id, source, target); hops and path are null where no path of at most max_hops exists.
+def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int | None = 8) -> DataFrame:
+    """(q_id, hops, path) for every pair (q_id, source, target); hops and path are null where no path of at most max_hops exists
+    (None: of any length).
 
     Of equal paths the one whose predecessors are smallest from the target back is taken.  All pairs
     advance together and stop as soon as their target is reached; a pair of equal ids has 0 hops.  Every
@@ -86,7 +87,7 @@ def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int = 8) -> DataFrame:
     levels = [checkpoint(asked.select("q_id", "target", F.col("source").alias("id"), none.alias("before")))]
     seen = levels[0].select("q_id", "id")
     done = levels[0].where("id = target").select("q_id")
-    for _ in range(max_hops):
+    while max_hops is None or len(levels) <= max_hops:
         frontier = levels[-1].join(done, "q_id", "left_anti")
         step = adj.join(frontier.select("q_id", "target", F.col("id").alias("src")), "src").groupBy("q_id", "target", F.col("tgt").alias("id")).agg(F.min("src").alias("before"))
         fresh = checkpoint(step.join(seen, ["q_id", "id"], "left_anti").select("q_id", "target", "id", "before"))

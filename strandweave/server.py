@@ -6,11 +6,12 @@ import json
 import sys
 from typing import IO
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators.analyze import god_nodes, graph_stats
 from .operators.graph import Graph
-from .operators.search import find_nodes, query_text
+from .operators.search import find_nodes, node_details, query_text
 from .operators.traverse import shortest_paths
 
 TOOLS = {
@@ -40,24 +41,31 @@ class ToolServer:
             raise LookupError(f"no node matches '{term}'")
         return found[0]
 
+    @staticmethod
+    def _page(rows: DataFrame, line) -> str:
+        """The first MAX_ROWS rows as lines; the last line says how many more there are."""
+        found = rows.limit(MAX_ROWS + 1).collect()
+        more = [f"... and {rows.count() - MAX_ROWS} more"] if len(found) > MAX_ROWS else []
+        return "\n".join([line(r) for r in found[:MAX_ROWS]] + more)
+
     def call(self, name: str, a: dict) -> str:
         g = self.g
         if name == "query_graph":
             return query_text(g, a["question"], a.get("mode", "bfs"), min(int(a.get("depth", 3)), MAX_DEPTH), int(a.get("token_budget", 2000)))
         if name == "get_node":
-            n = self._first(a["label"])
-            row = g.nodes.where(F.col("id") == n.id).first()
-            k = g.adjacency.where(F.col("src") == n.id).count()
-            return f"{row.label} [{row.id}] {row.file_type} {row.source_file} {row.source_location} community={row.community} degree={k}"
+            row = node_details(g, a["label"]).first()
+            if row is None:
+                raise LookupError(f"no node matches '{a['label']}'")
+            show = lambda x: "" if x is None else x
+            return f"Node: {row.label}\n  Id: {row.id}\n  Source: {show(row.source_file)} {show(row.source_location)}\n  Type: {show(row.file_type)}\n  Community: {show(row.community)}\n  Degree: {row.degree}"
         if name == "get_neighbors":
             n = self._first(a["label"])
             near = g.adjacency.where(F.col("src") == n.id)
             if a.get("relation_filter"):
                 near = near.where(F.lower(F.coalesce("relation", F.lit(""))).contains(a["relation_filter"].lower()))
-            return "\n".join(f"{r.relation} -> {r.tgt}" for r in near.orderBy("tgt").limit(MAX_ROWS).collect())
+            return self._page(near.orderBy("tgt"), lambda r: f"{r.relation} -> {r.tgt}")
         if name == "get_community":
-            rows = g.nodes.where(F.col("community") == int(a["community_id"])).orderBy("ord").limit(MAX_ROWS).collect()
-            return "\n".join(f"{r.label} ({r.source_file})" for r in rows)
+            return self._page(g.nodes.where(F.col("community") == int(a["community_id"])).orderBy("ord"), lambda r: f"{r.label} ({r.source_file})")
         if name == "god_nodes":
             return "\n".join(f"{r.label}: {r.degree}" for r in god_nodes(g, int(a.get("top_n", 10))).collect())
         if name == "graph_stats":
