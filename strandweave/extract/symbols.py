@@ -1,8 +1,7 @@
 """Symbols, imports, bases and calls of one file.
 
-Python is read by its own parser; the other languages by rules over lines without
-comments and strings, with the braces (or ``end``s) giving what encloses what.  Ids
-are built from relative paths, so they are the same on every machine.
+Python is read by its own parser, Ruby by its ``end``s, and the languages with braces by
+``declarations``.  Ids are built from relative paths, so they are the same on every machine.
 """
 
 from __future__ import annotations
@@ -10,44 +9,9 @@ from __future__ import annotations
 import ast
 import re
 import warnings
-from dataclasses import dataclass, field
 
-
-def make_id(*parts: str) -> str:
-    """'_' and '.' trimmed from each part, joined by '_', other runs '_', lower case."""
-    joined = "_".join(q for p in parts if (q := p.strip("_.")))
-    return re.sub(r"[^A-Za-z0-9]+", "_", joined).strip("_").lower()
-
-
-def file_stem(path: str) -> str:
-    """parent.stem, or the stem at the root."""
-    *folders, name = path.split("/")
-    stem = name.rsplit(".", 1)[0] if "." in name[1:] else name
-    return f"{folders[-1]}.{stem}" if folders and folders[-1] else stem
-
-
-@dataclass
-class Found:
-    """Rows of one file: nodes (id, label, line), edges (source, target, relation, line), stubs (source, name, line)."""
-
-    path: str
-    nodes: list[tuple[str, str, int]] = field(default_factory=list)
-    edges: list[tuple[str, str, str, int]] = field(default_factory=list)
-    stubs: list[tuple[str, str, int]] = field(default_factory=list)
-    error: str | None = None
-
-    def __post_init__(self):
-        self.file_id = make_id(self.path)
-        self.stem = file_stem(self.path)
-        self.nodes.append((self.file_id, self.path.split("/")[-1], 1))
-
-    def symbol(self, name: str, line: int, owner: str | None = None, container: str | None = None, call: bool = True) -> str:
-        """A class-like or callable symbol; methods carry their class in the id once."""
-        sid = make_id(self.stem, container or "", name)
-        label = f".{name}()" if container and call else f"{name}()" if call else name
-        self.nodes.append((sid, label, line))
-        self.edges.append((owner or self.file_id, sid, "method" if container and call else "contains", line))
-        return sid
+from .declarations import NOT_CALLED, Declarations
+from .found import Found, file_stem, make_id  # noqa: F401
 
 
 def extract_python(path: str, text: str) -> Found:
@@ -86,94 +50,13 @@ def extract_python(path: str, text: str) -> Found:
     return out
 
 
-_NAME = r"[A-Za-z_$][\w$]*"
-_BLANK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _RUBY_BLANK = re.compile(r"#[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
-_NOT_CALLED = frozenset("""if for while switch match return catch function fn func def sizeof typeof new await yield else do in of let const var loop unsafe
-defer select case throw assert super this synchronized using lock foreach elif unless until""".split())
-
-_NOT_DECLARED = frozenset("if for while switch match return catch function new else do lock using foreach synchronized".split())
-
-#: language -> rules of (what, pattern); what is 'class', 'function', 'method' (receiver, name), 'import', 'bases' or 'implements'.
-RULES: dict[str, list[tuple[str, str]]] = {
-    "js": [("class", rf"\bclass\s+({_NAME})"), ("function", rf"\bfunction\s*\*?\s*({_NAME})\s*\("), ("function", rf"\b(?:const|let|var)\s+({_NAME})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^=]+)?=>|{_NAME}\s*=>)"),
-           ("member", rf"^\s*(?:(?:public|private|protected|static|async|get|set|readonly|override)\s+)*({_NAME})\s*\([^;{{}}]*\)\s*(?::[^{{}}=]+)?\{{"), ("bases", rf"\bclass\s+({_NAME})\s+extends\s+([\w$.]+)")],
-    "go": [("method", rf"^func\s*\(\s*(?:{_NAME}\s+)?\*?\s*({_NAME})[^)]*\)\s*({_NAME})\s*[\[(]"), ("function", rf"^func\s+({_NAME})\s*[\[(]"), ("class", rf"^type\s+({_NAME})\s+(?:struct|interface)\b"), ("class", rf"^\s+({_NAME})\s+(?:struct|interface)\s*\{{")],
-    "rs": [("impl", rf"^\s*(?:unsafe\s+)?impl\b(?:<[^{{}}]*?>)?\s+(?:[\w:<>', ]+\s+for\s+)?({_NAME})"), ("class", rf"\b(?:struct|enum|trait|union)\s+({_NAME})"), ("module", rf"\bmod\s+({_NAME})\s*\{{"), ("function", rf"\bfn\s+({_NAME})\s*[<(]"), ("implements", rf"^\s*(?:unsafe\s+)?impl\b(?:<[^{{}}]*?>)?\s+([\w:]+)(?:<[^{{}}]*?>)?\s+for\s+({_NAME})"), ("import", r"^\s*(?:pub\s+)?use\s+([^;]+);")],
-    "java": [("class", rf"\b(?:class|interface|enum|record)\s+({_NAME})"), ("member", rf"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s+)?[\w.<>\[\], ?]+\s+({_NAME})\s*\([^;{{}}]*\)\s*(?:throws\s+[\w., ]+)?\s*\{{"), ("constructor", rf"^\s*(?:public|private|protected)\s+({_NAME})\s*\([^;{{}}]*\)\s*\{{"), ("bases", rf"\bclass\s+({_NAME})(?:<[^{{}}]*?>)?\s+extends\s+([\w.]+)"), ("implements2", rf"\b(?:class|record|enum)\s+({_NAME})[^{{}}]*?\bimplements\s+([\w., <>]+)"), ("import", r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;")],
-    "c": [("class", rf"^\s*(?:typedef\s+)?struct\s+({_NAME})\s*\{{"), ("function", rf"^[A-Za-z_][\w\s*]*?[\s*]({_NAME})\s*\([^;{{}}]*\)\s*\{{")],
-    "cpp": [("class", rf"\b(?:class|struct)\s+({_NAME})\s*(?:final\s*)?(?::[^{{;]*)?\{{"), ("function", rf"^[A-Za-z_][\w\s*&:<>,]*?[\s*&:]({_NAME})\s*\([^;{{}}]*\)\s*(?:const\s*)?(?:noexcept\s*)?\{{"), ("member", rf"^\s+(?:virtual\s+|static\s+|inline\s+|explicit\s+)*[\w:<>&* ]*?({_NAME})\s*\([^;{{}}]*\)\s*(?:const\s*)?(?:override\s*)?(?::[^{{}}]*)?\{{"), ("bases", rf"\b(?:class|struct)\s+({_NAME})\s*(?:final\s*)?:\s*(?:public|private|protected)?\s*([\w:]+)")],
-    "cs": [("module", r"\bnamespace\s+([\w.]+)"), ("class", rf"\b(?:class|interface|struct|record)\s+({_NAME})"), ("member", rf"^\s*(?:(?:public|private|protected|internal|static|virtual|override|async|sealed|abstract|partial)\s+)+(?:[\w.<>\[\], ?]+\s+)?({_NAME})\s*\([^;{{}}]*\)\s*(?::\s*(?:base|this)\([^)]*\)\s*)?\{{"), ("bases", rf"\bclass\s+({_NAME})(?:<[^{{}}]*?>)?\s*:\s*([\w.]+)"), ("import", r"^\s*using\s+([\w.]+)\s*;")],
-}
-_RAW_IMPORTS = {
-    "js": (r"\bfrom\s*[\"']([^\"']+)[\"']|\bimport\s*[\"']([^\"']+)[\"']|\brequire\(\s*[\"']([^\"']+)[\"']\s*\)", "imports_from"),
-    "go": (r"(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"\s*$", "imports"),
-    "c": (r"(?m)^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]", "imports"),
-    "cpp": (r"(?m)^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]", "imports"),
-    "rb": (r"(?m)^\s*require(?:_relative)?\s+[\"']([^\"']+)[\"']", "imports"),
-}
-
-
-def extract_by_rules(path: str, text: str, kind: str) -> Found:
-    """Symbols of a language with braces."""
-    out = Found(path)
-    raw = _RAW_IMPORTS.get(kind)
-    if raw:
-        for m in re.finditer(raw[0], text):
-            name = next(g for g in m.groups() if g)
-            out.edges.append((out.file_id, make_id(name), raw[1], text.count("\n", 0, m.start()) + 1))
-    bare = _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    rules = [(what, re.compile(p)) for what, p in RULES[kind]]
-    depth = 0
-    scopes: list[tuple[int, str, str, str]] = []  # depth, kind, name, id
-    for number, line in enumerate(bare.split("\n"), 1):
-        container = next((s for s in reversed(scopes) if s[1] == "class"), None)
-        opened = None
-        for what, rx in rules:
-            m = rx.search(line)
-            if not m:
-                continue
-            name = m[1]
-            if what in ("class", "module"):
-                opened = ("class" if what == "class" else "module", name, out.symbol(name, number, call=False))
-            elif what == "impl":
-                opened = ("class", name, make_id(out.stem, name))
-            elif what == "method":
-                opened = ("function", m[2], out.symbol(m[2], number, make_id(out.stem, name), name))
-            elif what in ("function", "member", "constructor"):
-                if name in _NOT_DECLARED or what == "member" and (container is None or container[0] != depth - 1 and kind != "c") or opened and opened[0] == "function":
-                    continue
-                inside = container if container and container[0] == depth - 1 else None
-                opened = ("function", name, out.symbol(name, number, inside[3] if inside else None, inside[2] if inside else None))
-            elif what == "bases":
-                out.edges.append((make_id(out.stem, name), make_id(m[2].split(".")[-1]), "inherits", number))
-            elif what == "implements":
-                out.edges.append((make_id(out.stem, m[2]), make_id(name.split("::")[-1]), "implements", number))
-            elif what == "implements2":
-                out.edges += [(make_id(out.stem, name), make_id(re.sub(r"<.*", "", b).strip()), "implements", number) for b in m[2].split(",") if b.strip()]
-            elif what == "import":
-                out.edges.append((out.file_id, make_id(m[1]), "imports", number))
-        owner = opened[2] if opened and opened[0] == "function" else next((s[3] for s in reversed(scopes) if s[1] == "function"), None)
-        if owner:
-            for m in re.finditer(rf"(?<![\w$])({_NAME})\s*(!?)\(", line):
-                if m[1] not in _NOT_CALLED and not m[2] and not (opened and m[1] == opened[1]):
-                    out.stubs.append((owner, m[1], number))
-        for c in line:
-            if c == "{":
-                if opened:
-                    scopes.append((depth, *opened))
-                    opened = None
-                depth += 1
-            elif c == "}":
-                depth = max(0, depth - 1)
-                while scopes and scopes[-1][0] >= depth:
-                    scopes.pop()
-    return out
+_RUBY_REQUIRE = re.compile(r"(?m)^\s*require(?:_relative)?\s+[\"']([^\"']+)[\"']")
 
 
 def extract_ruby(path: str, text: str) -> Found:
     out = Found(path)
-    for m in re.finditer(_RAW_IMPORTS["rb"][0], text):
+    for m in _RUBY_REQUIRE.finditer(text):
         out.edges.append((out.file_id, make_id(m[1]), "imports", text.count("\n", 0, m.start()) + 1))
     bare = _RUBY_BLANK.sub(lambda m: " " * len(m[0]), text)
     scopes: list[tuple[str, str, str]] = []
@@ -194,7 +77,7 @@ def extract_ruby(path: str, text: str) -> Found:
             continue
         owner = next((s[2] for s in reversed(scopes) if s[0] == "function"), None)
         if owner and not re.match(r"\s*def\b", line):
-            out.stubs += [(owner, m[1], number) for m in re.finditer(r"([a-z_]\w*[?!]?)\s*\(", line) if m[1] not in _NOT_CALLED]
+            out.stubs += [(owner, m[1], number) for m in re.finditer(r"([a-z_]\w*[?!]?)\s*\(", line) if m[1] not in NOT_CALLED]
     return out
 
 
@@ -210,7 +93,7 @@ def extract_text(path: str, text: str | None) -> Found | None:
     if kind is None:
         return None
     try:
-        return extract_python(path, text or "") if kind == "py" else extract_ruby(path, text or "") if kind == "rb" else extract_by_rules(path, text or "", kind)
+        return extract_python(path, text or "") if kind == "py" else extract_ruby(path, text or "") if kind == "rb" else Declarations(Found(path), text or "", kind).read()
     except (SyntaxError, ValueError, RecursionError) as e:
         found = Found(path)
         found.error = f"{type(e).__name__}: {str(e)[:200]}"
