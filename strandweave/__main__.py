@@ -40,6 +40,8 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--dfs", action="store_true")
             c.add_argument("--context", action="append")
             c.add_argument("--budget", type=int, default=2000)
+            c.add_argument("--depth", type=int)
+            c.add_argument("--min-chars", type=int)
     c = sub.add_parser("merge-graphs")
     c.add_argument("paths", nargs="+")
     c.add_argument("--out", required=True)
@@ -96,7 +98,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     g = _graph(spark, a.graph)
     if a.command == "query":
-        print(search.query_text(g, a.question, "dfs" if a.dfs else "bfs", 3, a.budget, a.context))
+        print(search.query_text(g, a.question, "dfs" if a.dfs else "bfs", a.depth, a.budget, a.context, a.min_chars))
     elif a.command == "path":
         q = spark.createDataFrame([(i, search.query_terms(t, 1)) for i, t in enumerate((a.source, a.target))], "q_id bigint, terms array<string>")
         ends = {r.q_id: r.id for r in search.query_seeds(g.nodes, q, 1).collect()}

@@ -114,23 +114,28 @@ def subgraph_lines(g: Graph, levels: DataFrame, edges: DataFrame, seeds: DataFra
     return first.unionByName(second)
 
 
-def render_lines(g: Graph, levels: DataFrame, edges: DataFrame, seeds: DataFrame, budget: int = 2000) -> DataFrame:
-    """(q_id, place, line): the ``subgraph_lines`` in order, as many as ``budget`` * 3 bytes hold.
+def render_lines(g: Graph, levels: DataFrame, edges: DataFrame, seeds: DataFrame, budget: int = 2000, bytes_per_token: int = 3) -> DataFrame:
+    """(q_id, place, line): the ``subgraph_lines`` in order, as many as ``budget`` * ``bytes_per_token`` bytes hold.
 
     Lines are cut whole.  A line takes two bytes at least, so only so many of a question can be kept:
     these are picked in every partition before the rest meet in order.
     """
-    most = budget * 3
+    most = budget * bytes_per_token
     w = Window.partitionBy("q_id").orderBy("kind", "a", "b", "c", "line")
     near = subgraph_lines(g, levels, edges, seeds).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most // 2 + 1)
     used = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("q_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     return near.withColumn("used", used).where(F.col("used") <= most).select("q_id", F.col("place").cast("bigint").alias("place"), "line")
 
 
-def query_text(g: Graph, question: str, mode: str = "bfs", depth: int = 3, budget: int = 2000, contexts: list[str] | None = None) -> str:
-    """The answer's subgraph as text, for the command line and the tool server."""
-    spark = g.nodes.sparkSession
-    q = spark.createDataFrame([(0, query_terms(question))], "q_id bigint, terms array<string>")
+def query_text(g: Graph, question: str, mode: str = "bfs", depth: int | None = None, budget: int = 2000, contexts: list[str] | None = None, min_chars: int | None = None, bytes_per_token: int = 3) -> str:
+    """The answer's subgraph as text, for the command line and the tool server.
+
+    depth: 3 if it isn't given.  min_chars: least length of a term in characters instead of three bytes;
+    bytes_per_token: what the budget counts as a token.
+    """
+    spark, depth = g.nodes.sparkSession, 3 if depth is None else depth
+    words = query_terms(question) if min_chars is None else [t for w in question.split() if len(w) >= min_chars for t in query_terms(w, 1)]
+    q = spark.createDataFrame([(0, words)], "q_id bigint, terms array<string>")
     seeds = query_seeds(g.nodes, q)
     found = seeds.orderBy("place").collect()
     if not found:
@@ -141,7 +146,7 @@ def query_text(g: Graph, question: str, mode: str = "bfs", depth: int = 3, budge
     levels = bfs_levels(g, starts, depth, wanted) if mode == "bfs" else dfs_order(g, starts, depth, wanted).select("q_id", "id", "depth")
     crossed = bfs_edges(g, levels, wanted)
     # the budget bounds what comes to the driver
-    kept = [r.line for r in render_lines(g, levels, crossed, seeds, budget).orderBy("place").collect()]
+    kept = [r.line for r in render_lines(g, levels, crossed, seeds, budget, bytes_per_token).orderBy("place").collect()]
     n = subgraph_lines(g, levels, crossed, seeds).agg(F.count_if(F.col("line").startswith("NODE ")).alias("n"), F.count(F.lit(1)).alias("all")).first()
     head = f"Traversal: {mode} | Start: {', '.join(r.id for r in found)}" + (f" | Context: {', '.join(wanted)}" if wanted else "") + f" | {n['n']} nodes found"
     return "\n".join([head, *kept]) + ("\n... cut at the token budget" if len(kept) < n["all"] else "")
@@ -177,15 +182,40 @@ def explanation(g: Graph, term: str, top: int = 20) -> str:
     return "\n".join(out)
 
 
+def benchmark_seeds(nodes: DataFrame, questions: DataFrame, n: int = 3) -> DataFrame:
+    """(q_id, id, place) of the n nodes whose lower-case label contains most of a question's terms; ties by ord."""
+    q = bounded(questions.select("q_id", "terms"), MAX_QUESTIONS, "questions at once")
+    label = nodes.select("id", "ord", F.lower(F.coalesce("label", F.lit(""))).alias("l"))
+    hits = F.size(F.filter("terms", lambda t: F.contains(F.col("l"), t)))
+    scored = label.crossJoin(q).select("q_id", "id", "ord", hits.alias("hits")).where("hits > 0")
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("hits"), "ord"))
+    return scored.withColumn("place", place).where(F.col("place") <= n).select("q_id", "id", "place")
+
+
+def query_subgraph_tokens(g: Graph, questions: DataFrame, depth: int = 3) -> DataFrame:
+    """(q_id, tokens) of the plain text of each question's subgraph; questions (q_id, terms) without a seed are left out.
+
+    The text has a line for every node within ``depth`` of the seeds and for every edge between one level
+    and the next; its bytes are summed, it isn't put together.
+    """
+    levels = bfs_levels(g, benchmark_seeds(g.nodes, questions), depth)
+    none = F.lit("")
+    names = g.nodes.select("id", F.coalesce("label", "id").alias("name"), F.coalesce("source_file", none).alias("f"), F.coalesce("source_location", none).alias("at"))
+    nodes = levels.join(names, "id").select("q_id", F.concat(F.lit("NODE "), "name", F.lit(" src="), "f", F.lit(" loc="), "at").alias("line"))
+    crossed = bfs_edges(g, levels).join(g.edges.select(F.col("src").alias("low"), F.col("tgt").alias("high"), F.coalesce("relation", none).alias("relation")), (F.least("src", "tgt") == F.col("low")) & (F.greatest("src", "tgt") == F.col("high")))
+    named = lambda end, name: names.select(F.col("id").alias(end), F.col("name").alias(name))
+    lines = crossed.join(named("src", "na"), "src").join(named("tgt", "nb"), "tgt").select("q_id", F.concat(F.lit("EDGE "), "na", F.lit(" --"), "relation", F.lit("--> "), "nb").alias("line"))
+    both = nodes.unionByName(lines).groupBy("q_id").agg(F.sum(F.octet_length("line") + 1).alias("bytes"))
+    return both.select("q_id", F.greatest(F.floor((F.col("bytes") - 1) / 4), F.lit(1)).cast("bigint").alias("tokens"))
+
+
 def run_benchmark(g: Graph, questions: tuple[str, ...] = BENCHMARK_QUESTIONS, corpus_words: int | None = None) -> DataFrame:
     """One row: corpus_tokens, questions answered, their average tokens and the reduction ratio to one decimal (null without any)."""
     spark = g.nodes.sparkSession
-    q = spark.createDataFrame([(i, query_terms(t)) for i, t in enumerate(questions)], "q_id bigint, terms array<string>")
-    seeds = query_seeds(g.nodes, q)
-    levels = bfs_levels(g, seeds, 3)
-    lines = subgraph_lines(g, levels, bfs_edges(g, levels), seeds)
-    tokens = lines.groupBy("q_id").agg(F.greatest(F.floor((F.sum(F.octet_length("line") + 1) - 1) / 4), F.lit(1)).alias("t"))
+    terms = lambda t: [w.lower() for w in t.split() if len(w.encode()) > 2]
+    q = spark.createDataFrame([(i, terms(t)) for i, t in enumerate(questions)], "q_id bigint, terms array<string>")
+    tokens = query_subgraph_tokens(g, q)
     words = F.col("n_nodes") * 50 if corpus_words is None else F.lit(corpus_words)
-    out = tokens.agg(F.count(F.lit(1)).alias("n_questions"), F.floor(F.avg("t")).cast("bigint").alias("avg_tokens")).crossJoin(g.nodes.agg(F.count(F.lit(1)).alias("n_nodes")))
+    out = tokens.agg(F.count(F.lit(1)).alias("n_questions"), F.floor(F.avg("tokens")).cast("bigint").alias("avg_tokens")).crossJoin(g.nodes.agg(F.count(F.lit(1)).alias("n_nodes")))
     corpus = F.floor(words * 100 / 75).cast("bigint")
     return out.select(corpus.alias("corpus_tokens"), "n_questions", "avg_tokens", (F.floor(corpus / F.col("avg_tokens") * 10 + 0.5) / 10).alias("ratio"))

@@ -526,9 +526,22 @@ def query_lines(spark: SparkSession, d: str) -> DataFrame:
     return search.render_lines(g, levels, traverse.bfs_edges(g, levels), seeds)
 
 
-@query()
+_BENCHMARK = ("catalog schema", "render filter", "no such words anywhere")
+
+
+@query(f"""
+with recursive {GRAPH_SQL}, q(q_id, terms) as (values {", ".join(f"({i}, [{', '.join(repr(w.lower()) for w in t.split() if len(w) > 2)}])" for i, t in enumerate(_BENCHMARK))}),
+hit as (select q_id, id, ord, len(list_filter(terms, lambda t: contains(lower(coalesce(x.label, '')), t))) hits from n, q),
+seed as (select q_id, id from hit where hits > 0 qualify row_number() over (partition by q_id order by hits desc, ord) <= 3),
+b as (select q_id, id, 0 depth from seed union select b.q_id, adj.tgt, depth + 1 from b join adj on b.id = adj.src where depth < 3), lv as (select q_id, id, min(depth) depth from b group by 1, 2),
+nm as (select id, coalesce(x.label, id) as label, coalesce(x.source_file, '') f, coalesce(x.source_location, '') l from n),
+line as (select q_id, 'NODE ' || label || ' src=' || f || ' loc=' || l t from lv join nm on lv.id = nm.id
+    union all select a.q_id, 'EDGE ' || na.label || ' --' || coalesce(adj.y.relation, '') || '--> ' || nb.label from adj join lv a on adj.src = a.id join lv z on adj.tgt = z.id and z.q_id = a.q_id and z.depth = a.depth + 1 join nm na on na.id = adj.src join nm nb on nb.id = adj.tgt),
+tok as (select q_id, greatest((sum(strlen(t) + 1) - 1) // 4, 1) tokens from line group by 1), c as (select count(*) * 50 * 100 // 75 corpus_tokens from n)
+select corpus_tokens, count(*) n_questions, cast(floor(avg(tokens)) as bigint) avg_tokens, floor(corpus_tokens / cast(floor(avg(tokens)) as bigint) * 10 + 0.5) / 10 ratio from tok, c group by corpus_tokens
+""")
 def token_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    return search.run_benchmark(written_graph(spark, d), ("catalog schema", "render filter"))
+    return search.run_benchmark(written_graph(spark, d), _BENCHMARK)
 
 
 # -- texts and files
@@ -804,6 +817,16 @@ def debounce_sessions(spark: SparkSession, d: str) -> DataFrame:
     return watch.debounced(table(spark, d, "events").where("ts is not null"), "ts", ["user_id"], "6 hours")
 
 
+@query("""
+select distinct a.user_id, a.event_id, a.ts from events a join events b on a.user_id = b.user_id and a.event_type = 'purchase' and b.event_type = 'click' and b.ts <= a.ts and b.ts >= a.ts - interval 1 day
+""")
+def joined_within(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases that a click of the same user came before within a day."""
+    e = table(spark, d, "events")
+    bought, clicked = e.where("event_type = 'purchase'").select("user_id", "event_id", "ts"), e.where("event_type = 'click'").select("user_id", "ts")
+    return watch.joined_within(bought, clicked, ["user_id"], "ts", "1 day").select("user_id", "event_id", "ts").distinct()
+
+
 @query("select event_type, time_bucket(interval 1 hour, ts) as begin, count(*) n from events where ts is not null group by 1, 2")
 def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     return watch.windowed_counts(table(spark, d, "events").where("ts is not null"), "ts", ["event_type"], "1 hour")

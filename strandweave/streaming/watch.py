@@ -33,6 +33,21 @@ def windowed_counts(events: DataFrame, time: str, by: list[str], size: str, slid
     return e.groupBy(*by, w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(*by, F.col("w.start").alias("begin"), "n")
 
 
+def joined_within(later: DataFrame, earlier: DataFrame, keys: list[str], time: str, gap: str, watermark: str | None = None) -> DataFrame:
+    """Rows of ``later`` with each row of ``earlier`` of the same keys, not null, that came at most ``gap`` before; its time is ``earlier_<time>``.
+
+    Tables and streams alike; two streams need a watermark, which lets the join forget what can't meet any more.
+    """
+    then = f"earlier_{time}"
+    a, b = later, earlier.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(time).alias(then))
+    if watermark:
+        a, b = a.withWatermark(time, watermark), b.withWatermark(then, watermark)
+    on = (F.col(then) <= F.col(time)) & (F.col(then) >= F.col(time) - F.expr(f"interval {gap}"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    return a.join(b, on).drop(*[f"_{k}" for k in keys])
+
+
 def without_repeats(events: DataFrame, keys: list[str], time: str, watermark: str = "1 hour") -> DataFrame:
     """A stream's events once per key, as far as repeats come within the watermark."""
     return events.withWatermark(time, watermark).dropDuplicatesWithinWatermark(keys)

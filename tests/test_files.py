@@ -123,3 +123,15 @@ def test_streams(spark, tmp_path):
     out = watch.debounced(rate, "ts", ["k"], "3 seconds", "10 minutes").writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     out.awaitTermination()
     assert sorted(r.n for r in spark.sql("select n from bursts").collect())[-1] == 2
+
+
+def test_two_streams_meet_within_a_gap(spark, tmp_path):
+    for name, rows in (("a", '{"k":"x","ts":"2026-01-01T00:00:05","v":1}\n{"k":"y","ts":"2026-01-01T00:00:05","v":2}\n{"k":null,"ts":"2026-01-01T00:00:05","v":3}\n'), ("b", '{"k":"x","ts":"2026-01-01T00:00:01"}\n{"k":"y","ts":"2025-12-31T23:00:00"}\n{"k":"x","ts":"2026-01-01T00:00:06"}\n{"k":null,"ts":"2026-01-01T00:00:04"}\n')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "1.json").write_text(rows)
+    a, b = spark.readStream.schema("k string, ts timestamp, v int").json(str(tmp_path / "a")), spark.readStream.schema("k string, ts timestamp").json(str(tmp_path / "b"))
+    out = watch.joined_within(a, b, ["k"], "ts", "10 seconds", "1 hour").writeStream.format("memory").queryName("met").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    out.awaitTermination()
+    assert [r.v for r in spark.sql("select v from met").collect()] == [1]
+    a, b = (spark.read.schema("k string, ts timestamp, v int").json(str(tmp_path / x)) for x in "ab")
+    assert [r.v for r in watch.joined_within(a, b.select("k", "ts"), ["k"], "ts", "10 seconds").collect()] == [1]
