@@ -41,7 +41,7 @@ COLLATION = "UNICODE"
 
 
 @functools.cache
-def _character_map() -> tuple[dict[str, str], dict[str, str]]:
+def character_map() -> tuple[dict[str, str], dict[str, str]]:
     """What one character becomes: a character, or several."""
     one: dict[str, str] = {}
     for letters, latin in LOOKALIKES.values():
@@ -78,13 +78,13 @@ def _character_map() -> tuple[dict[str, str], dict[str, str]]:
 @F.pandas_udf(T.StringType())
 def _composed(labels: pd.Series) -> pd.Series:
     """Characters that become several, and canonical composition; the collation alone needs marks in canonical order."""
-    many = str.maketrans(_character_map()[1])
+    many = str.maketrans(character_map()[1])
     return labels.map(lambda x: unicodedata.normalize("NFC", x.translate(many)), na_action="ignore")
 
 
 def looks(label: Column) -> Column:
     """The label with every character replaced by the plain one that it looks like."""
-    one, _ = _character_map()
+    one, _ = character_map()
     return _composed(F.translate(F.regexp_replace(label, INVISIBLE, ""), "".join(one), "".join(one.values())))
 
 

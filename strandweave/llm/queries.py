@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,4 +68,26 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p3_found, p3_classes, p3_shared, p5_found, p5_canonical, p6_ids, p7_pack, p7_fill, p8_found, p8_shares)}
-ORACLES: dict[str, str] = {}
+
+
+def _looks_sql() -> str:
+    """SQL of what ``lookalike.looks`` and its collation take as equal: the same fixed tables, with canonical composition."""
+    one, many = lookalike.character_map()
+    text = lambda cs: "".join(cs).replace("'", "''")
+    gone = r"[\p{Cf}\p{Cc}\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{FFF0}-\x{FFF8}]"
+    # kinds of space and visible formats are mapped before what is invisible goes
+    x = f"regexp_replace(translate(label, '{text(one)}', '{text(one.values())}'), '{gone}', '', 'g')"
+    for c, to in many.items():
+        if unicodedata.category(c).startswith("L"):
+            x = f"replace({x}, '{c}', '{to}')"
+    return f"nfc_normalize({x})"
+
+
+_LOOKS = f"l as (select ord, repo, id, label, {_looks_sql()} looks from nodes where label is not null)"
+ORACLES: dict[str, str] = {
+    "p5_found": f"with {_LOOKS} select distinct a.id id_a, b.id id_b from l a join l b on a.repo = b.repo and a.looks = b.looks and a.id < b.id and a.label <> b.label",
+    "p5_canonical": f"""
+with {_LOOKS}, c as (select repo, looks, arg_min(label, struct_pack(odd := label <> looks, label := label)) canonical from l group by repo, looks)
+select n.ord, n.repo, n.id, n.label, c.canonical from nodes n left join l on n.ord = l.ord left join c on l.repo is not distinct from c.repo and l.looks = c.looks
+""",
+}
