@@ -110,7 +110,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "explain":
         print(search.explanation(g, a.term))
     elif a.command == "benchmark":
-        search.run_benchmark(g).show(truncate=False)
+        print(search.benchmark_text(search.run_benchmark(g)))
     elif a.command == "cluster-only":
         g = pipeline.with_communities(g).written()
         out = a.graph.rsplit("/", 1)[0] if "/" in a.graph else "."

@@ -230,14 +230,34 @@ def knowledge_gaps(g: Graph) -> DataFrame:
     return described_nodes(g).where("degree <= 1 and not is_file and not is_concept").select("id", F.coalesce("label", "id").alias("label"), "degree", "ord")
 
 
+def bridges(g: Graph, top_n: int = 7) -> DataFrame:
+    """(id, label, n_communities, degree, ord) of the nodes whose neighbours lie in most communities besides their own; ties by degree, then ord."""
+    c = g.nodes.where("community is not null").select("id", "community")
+    near = g.adjacency.select("src", "tgt").join(c.select(F.col("id").alias("src"), F.col("community").alias("own")), "src").join(c.select(F.col("id").alias("tgt"), F.col("community").alias("other")), "tgt")
+    n = near.where("own <> other").groupBy(F.col("src").alias("id")).agg(F.count_distinct("other").alias("n_communities"))
+    d = described_nodes(g).where("not is_file and not is_concept").join(n, "id")
+    return d.select("id", F.coalesce("label", "id").alias("label"), "n_communities", "degree", "ord").orderBy(F.desc("n_communities"), F.desc("degree"), "ord").limit(top_n)
+
+
+#: A community of at least so many members with a smaller cohesion is loose.
+LOOSE_SIZE, LOOSE = 5, 0.15
+
+
 def suggested_questions(g: Graph, top_n: int = 7) -> DataFrame:
-    """(kind, question, why): on ambiguous edges, hubs between communities and unconnected nodes, top_n of each kind."""
+    """(kind, question, why): on ambiguous edges, bridges between communities, hubs, loose communities and unconnected nodes, top_n of each kind."""
+    from .cluster import cohesion, stored_communities
+
     names = g.nodes.select("id", F.coalesce("label", "id").alias("label"))
     a = g.edges.where("confidence = 'AMBIGUOUS'").orderBy("src", "tgt").limit(top_n).join(names.withColumnsRenamed({"id": "src", "label": "la"}), "src").join(names.withColumnsRenamed({"id": "tgt", "label": "lb"}), "tgt")
-    ambiguous = a.select(F.lit("ambiguous").alias("kind"), F.concat(F.lit("How is "), "la", F.lit(" related to "), "lb", F.lit("?")).alias("question"), F.lit("the edge is marked ambiguous").alias("why"))
-    hubs = god_nodes(g, top_n).select(F.lit("hub").alias("kind"), F.concat(F.lit("What depends on "), "label", F.lit("?")).alias("question"), F.concat("degree", F.lit(" connections")).alias("why"))
-    gaps = knowledge_gaps(g).orderBy("ord").limit(top_n).select(F.lit("gap").alias("kind"), F.concat(F.lit("What does "), "label", F.lit(" belong to?")).alias("question"), F.lit("at most one connection").alias("why"))
-    return ambiguous.unionByName(hubs).unionByName(gaps)
+    ask = lambda df, kind, question, why: df.select(F.lit(kind).alias("kind"), question.alias("question"), why.alias("why"))
+    around = lambda before, what, after: F.concat(F.lit(before), what, F.lit(after))
+    ambiguous = ask(a, "ambiguous", F.concat(F.lit("How is "), "la", F.lit(" related to "), "lb", F.lit("?")), F.lit("the edge is marked ambiguous"))
+    crossing = ask(bridges(g, top_n), "bridge", around("Why does ", F.col("label"), " connect different communities?"), F.concat(F.lit("neighbours in "), "n_communities", F.lit(" other communities")))
+    hubs = ask(god_nodes(g, top_n), "hub", around("What depends on ", F.col("label"), "?"), F.concat("degree", F.lit(" connections")))
+    members = cohesion(g, stored_communities(g)).where((F.col("n") >= LOOSE_SIZE) & (F.col("cohesion") < LOOSE)).orderBy("cohesion", F.desc("n"), "cid").limit(top_n)
+    loose = ask(members, "loose", around("Should community ", F.col("cid").cast("string"), " be split?"), F.concat("n", F.lit(" members with few links among them")))
+    gaps = ask(knowledge_gaps(g).orderBy("ord").limit(top_n), "gap", around("What does ", F.col("label"), " belong to?"), F.lit("at most one connection"))
+    return ambiguous.unionByName(crossing).unionByName(hubs).unionByName(loose).unionByName(gaps)
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.session import checkpoint, checkpoint_dir
 from .graph import Graph
+from .ranking import rank_by_count
 
 #: Gain below which a node doesn't move, and edges up to which the exact mode runs (it can't move anything beyond).
 THRESHOLD, EXACT_EDGES = 1e-4, 10_000
@@ -167,17 +168,6 @@ def _settled(adj: DataFrame, ids: DataFrame, sweeps: int | None) -> DataFrame:
     return state.select("id", "c")
 
 
-def rank_by_count(groups: DataFrame, tie: str) -> DataFrame:
-    """``groups`` (n, ...) with rank, from 0: by n from the largest down, then by ``tie``.
-
-    No task orders all groups: they are counted per n first, and only those of equal n are ordered.
-    """
-    per_size = groups.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
-    before = per_size.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = groups.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(tie)))
-    return within.join(before.select("n", "before"), "n").withColumn("rank", (F.col("before") + F.col("r") - 1).cast("bigint")).drop("before", "r")
-
-
 def ranked_communities(assigned: DataFrame) -> DataFrame:
     """(cid, id) of (c, id): communities ranked by size, then by their least id.  The ranking is of communities, not of nodes."""
     sizes = assigned.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))

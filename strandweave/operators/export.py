@@ -17,15 +17,13 @@ from ..functions.text import basename, capitalise, cypher_escape, wiki_filename,
 from ..sources import files
 from ..sources.session import checkpoint
 from .analyze import described_nodes, god_nodes, top_per_group
-from .cluster import rank_by_count
 from .graph import Graph, build_graph
 from .incremental import VersionedTable
+from .ranking import placed, rank_by_count
 from .search import with_norm_label
 
 #: A page for a browser holds at most so many nodes.
 HTML_NODES, HTML_EDGES, CANVAS_EDGES = 5000, 200_000, 200
-#: Ranges of ord in which the nodes of a community are placed.
-RANGES = 1024
 
 
 def cypher_lines(g: Graph) -> DataFrame:
@@ -39,12 +37,12 @@ def cypher_lines(g: Graph) -> DataFrame:
 
 
 def graphml_lines(g: Graph) -> DataFrame:
-    """(ord, part, line) of the elements between a GraphML head and foot; edges are named by their pair."""
+    """(ord, part, line) of the elements between a GraphML head and foot; edges are numbered e0, e1 ... in the order of ord."""
     data = lambda key, c: F.concat(F.lit(f'<data key="{key}">'), xml_escape(c), F.lit("</data>"))
     node = F.concat(F.lit('<node id="'), xml_escape(F.col("id")), F.lit('">'), data("label", F.coalesce("label", "id")), data("community", F.coalesce(F.col("community").cast("string"), F.lit(""))), F.lit("</node>"))
-    edge = F.concat(F.lit('<edge source="'), xml_escape(F.col("src")), F.lit('" target="'), xml_escape(F.col("tgt")), F.lit('">'), data("relation", F.coalesce("relation", F.lit("related"))),
+    edge = F.concat(F.lit('<edge id="e'), F.col("place").cast("string"), F.lit('" source="'), xml_escape(F.col("src")), F.lit('" target="'), xml_escape(F.col("tgt")), F.lit('">'), data("relation", F.coalesce("relation", F.lit("related"))),
                     data("confidence", F.coalesce("confidence", F.lit("EXTRACTED"))), F.lit("</edge>"))
-    return g.nodes.select("ord", F.lit(0).alias("part"), node.alias("line")).unionByName(g.edges.select("ord", F.lit(1).alias("part"), edge.alias("line")))
+    return g.nodes.select("ord", F.lit(0).alias("part"), node.alias("line")).unionByName(placed(g.edges, [], "ord").select("ord", F.lit(1).alias("part"), edge.alias("line")))
 
 
 GRAPHML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n' + "".join(
@@ -198,15 +196,7 @@ def canvas_cards(g: Graph) -> DataFrame:
     cid = F.coalesce("community", F.lit(-1)).alias("community")
     sizes = g.nodes.groupBy(cid).agg(F.count(F.lit(1)).alias("n"))
     group = rank_by_count(sizes, "community").select("community", F.col("rank").alias("group"))
-    # places in a community are counted in ranges of ord, so that a large community is not one task
-    nodes = g.nodes.select("id", "ord", cid)
-    low, high = nodes.agg(F.min("ord"), F.max("ord")).first()
-    width = max(1, ((high or 0) - (low or 0)) // RANGES + 1)
-    ranged = nodes.withColumn("range", F.floor((F.col("ord") - F.lit(low or 0)) / F.lit(width)))
-    counts = ranged.groupBy("community", "range").agg(F.count(F.lit(1)).alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("community").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("community", "range").orderBy("ord")) - 1
-    cards = ranged.withColumn("nth", within).join(counts.select("community", "range", ahead.alias("ahead")), ["community", "range"]).select("id", "community", (F.col("nth") + F.col("ahead")).alias("k"))
+    cards = placed(g.nodes.select("id", "ord", cid), ["community"], "ord").withColumnRenamed("place", "k")
     x = F.col("group") * (3 * 220 + 2 * 40) + F.pmod(F.col("k"), F.lit(3)) * 220 + 40
     return cards.join(group, "community").select("id", "community", x.cast("bigint").alias("x"), (F.floor(F.col("k") / 3) * 80 + 40).cast("bigint").alias("y"))
 
@@ -343,8 +333,15 @@ def common_root(paths: list[str]) -> str:
     return "/".join(out)
 
 
+_TREE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>Tree</title></head><body><div id="t"></div><script>
+const make = n => { const e = document.createElement(n.children.length ? "details" : "div"); const s = document.createElement(n.children.length ? "summary" : "span");
+  s.textContent = n.name + (n.children.length ? " (" + n.count + ")" : ""); e.style.marginLeft = "1em"; e.append(s, ...n.children.map(make)); return e; };
+document.getElementById("t").append(make(%s));
+</script></body></html>"""
+
+
 def write_tree(g: Graph, path: str, max_children: int = 200, max_rows: int = 500_000) -> None:
-    """The folder tree as one nested JSON document; ValueError beyond ``max_rows`` symbols."""
+    """The folder tree as one nested JSON document, or a page that folds it if ``path`` ends in .html; ValueError beyond ``max_rows`` symbols."""
     rows = file_symbols(g, max_children).orderBy("source_file", "place").limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"more than {max_rows} symbols")
@@ -360,4 +357,5 @@ def write_tree(g: Graph, path: str, max_children: int = 200, max_rows: int = 500
         if r.hidden and r.place == max_children:
             at["children"]["more"] = {"name": f"(+{r.hidden} more)", "count": r.hidden, "children": {}}
     flat = lambda n: {"name": n["name"], "count": n["count"], "children": [flat(c) for c in n["children"].values()]}
-    files.write_text(g.nodes.sparkSession, path, json.dumps(flat(root)))
+    text = json.dumps(flat(root))
+    files.write_text(g.nodes.sparkSession, path, _TREE % text.replace("</", "<\\/") if path.endswith(".html") else text)

@@ -219,3 +219,11 @@ def run_benchmark(g: Graph, questions: tuple[str, ...] = BENCHMARK_QUESTIONS, co
     out = tokens.agg(F.count(F.lit(1)).alias("n_questions"), F.floor(F.avg("tokens")).cast("bigint").alias("avg_tokens")).crossJoin(g.nodes.agg(F.count(F.lit(1)).alias("n_nodes")))
     corpus = F.floor(words * 100 / 75).cast("bigint")
     return out.select(corpus.alias("corpus_tokens"), "n_questions", "avg_tokens", (F.floor(corpus / F.col("avg_tokens") * 10 + 0.5) / 10).alias("ratio"))
+
+
+def benchmark_text(result: DataFrame) -> str:
+    """``run_benchmark``'s row as lines; says so if no question met a node."""
+    r = result.first()
+    if r is None or not r.n_questions:
+        return "no question met a node"
+    return f"corpus: about {r.corpus_tokens:,} tokens\nanswer: {r.avg_tokens:,} tokens on average of {r.n_questions} questions\nreduction: {r.ratio}x"

@@ -10,6 +10,10 @@ from ..sources.session import checkpoint
 from .graph import Graph
 
 
+#: Arcs of the ball that a depth-first order is made of.
+MAX_BALL = 5_000_000
+
+
 def filtered_adjacency(g: Graph, contexts: list[str] | None = None) -> DataFrame:
     """(src, tgt) of the adjacency; with contexts only edges of these, and none without a context."""
     adj = g.adjacency
@@ -44,13 +48,18 @@ def bfs_edges(g: Graph, levels: DataFrame, contexts: list[str] | None = None) ->
 def dfs_order(g: Graph, starts: DataFrame, depth: int = 3, contexts: list[str] | None = None) -> DataFrame:
     """(q_id, place, id, depth) in depth-first order with neighbours ascending, cut below ``depth``.
 
-    Only the ball of that radius is visited; each question is one task of its own.
+    Only the ball of that radius is visited.  The order of a question is one task's work, as each step
+    depends on all before it; ValueError if a ball has more than ``MAX_BALL`` arcs.
     """
     levels = checkpoint(bfs_levels(g, starts, depth, contexts))
     ids = levels.select("q_id", "id")
     inside = filtered_adjacency(g, contexts).join(ids.withColumnRenamed("id", "src"), "src").join(ids.withColumnRenamed("id", "tgt"), ["q_id", "tgt"])
     rows = inside.select("q_id", "src", "tgt").unionByName(levels.where("depth = 0").select("q_id", F.col("id").alias("src"), F.lit(None).cast("string").alias("tgt")))
 
+    largest = rows.groupBy("q_id").count().agg(F.max("count")).first()[0] or 0
+    if largest > MAX_BALL:
+        raise ValueError(f"{largest} arcs within depth {depth}; depth-first order is for {MAX_BALL} at most")
+
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list[str]] = {}
         for s, t in zip(pdf["src"], pdf["tgt"]):

@@ -91,6 +91,7 @@ def generate(spark: SparkSession, root: str, output_dir: str = "graph-out", upda
         g = update_graph(old, nodes, edges, now, gone)
     else:
         g = build_graph(nodes, edges)
+    files.write_text(spark, f"{out}/root", root)
     detection = None if "://" in root else detection_summary(detect(spark, root, output_dir=output_dir))
     return write_outputs(with_communities(g.written()), out, document, html, detection)
 

@@ -354,9 +354,15 @@ def knowledge_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 with {GRAPH_SQL}, names as (select id, coalesce(label, id) as label from d),
 a as (select src, tgt from e where y.confidence = 'AMBIGUOUS' order by src, tgt limit 7), h as (select id, coalesce(label, id) as label, degree from d where not is_file and not is_concept order by degree desc, ord limit 7),
-g as (select coalesce(label, id) as label from d where degree <= 1 and not is_file and not is_concept order by ord limit 7)
+o as (select z.id, any_value(coalesce(z.label, z.id)) as label, count(distinct w.com) k, any_value(z.degree) degree, any_value(z.ord) ord from adj join d z on adj.src = z.id join d w on adj.tgt = w.id
+    where z.com <> w.com and not z.is_file and not z.is_concept group by z.id order by k desc, degree desc, ord limit 7),
+s as (select com cid, count(*) n from d where com is not null group by 1), i as (select p.com cid, count(*) k from e join d p on e.src = p.id join d q on e.tgt = q.id where p.com = q.com and e.src <> e.tgt group by 1),
+c as (select s.cid, n, case when n <= 1 then 1.0 else floor(coalesce(k, 0) / (n * (n - 1) / 2.0) * 100.0 + 0.5) / 100.0 end cohesion from s left join i on s.cid = i.cid),
+l as (select * from c where n >= 5 and cohesion < 0.15 order by cohesion, n desc, cid limit 7), g as (select coalesce(label, id) as label from d where degree <= 1 and not is_file and not is_concept order by ord limit 7)
 select 'ambiguous' kind, 'How is ' || x.label || ' related to ' || y.label || '?' question, 'the edge is marked ambiguous' why from a join names x on a.src = x.id join names y on a.tgt = y.id
-union all select 'hub', 'What depends on ' || label || '?', degree || ' connections' from h union all select 'gap', 'What does ' || label || ' belong to?', 'at most one connection' from g
+union all select 'bridge', 'Why does ' || label || ' connect different communities?', 'neighbours in ' || k || ' other communities' from o
+union all select 'hub', 'What depends on ' || label || '?', degree || ' connections' from h union all select 'loose', 'Should community ' || cid || ' be split?', n || ' members with few links among them' from l
+union all select 'gap', 'What does ' || label || ' belong to?', 'at most one connection' from g
 """)
 def suggested_questions(spark: SparkSession, d: str) -> DataFrame:
     return analyze.suggested_questions(written_graph(spark, d))
@@ -699,7 +705,7 @@ _XML = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;')
 
 @query(f"""
 with {GRAPH_SQL} select ord, 0 as part, '<node id="' || {_XML.format('id')} || '"><data key="label">' || {_XML.format('coalesce(x.label, id)')} || '</data><data key="community">' || coalesce(cast(x.community as varchar), '') || '</data></node>' line from n
-union all select y.ord, 1, '<edge source="' || {_XML.format('src')} || '" target="' || {_XML.format('tgt')} || '"><data key="relation">' || {_XML.format("coalesce(y.relation, 'related')")} || '</data><data key="confidence">' || coalesce(y.confidence, 'EXTRACTED') || '</data></edge>' from e
+union all select y.ord, 1, '<edge id="e' || (row_number() over (order by y.ord) - 1) || '" source="' || {_XML.format('src')} || '" target="' || {_XML.format('tgt')} || '"><data key="relation">' || {_XML.format("coalesce(y.relation, 'related')")} || '</data><data key="confidence">' || coalesce(y.confidence, 'EXTRACTED') || '</data></edge>' from e
 """)
 def graphml_lines(spark: SparkSession, d: str) -> DataFrame:
     return export.graphml_lines(code_graph(spark, d))
@@ -761,11 +767,16 @@ def hub_articles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with p as (select repo || '/' || rel_path path from source_files), f as (select path, split(path, '/') s from p), e as (select unnest(range(0, len(s))) i, s from f)
-select array_to_string(s[1:i], '/') folder, count(*) n_files, count(*) n_symbols from e group by 1
+with k as (select repo || '/' || source_file path, count(distinct id) k from nodes where source_file <> '' group by 1), p as (select repo || '/' || rel_path path from source_files),
+f as (select split(p.path, '/') s, coalesce(k, 0) k from p left join k on p.path = k.path), e as (select unnest(range(0, len(s))) i, s, k from f)
+select array_to_string(s[1:i], '/') folder, count(*) n_files, sum(greatest(k, 1)) n_symbols from e group by 1
 """)
 def tree_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return export.tree_rollup(table(spark, d, "source_files").select(F.concat("repo", F.lit("/"), "rel_path").alias("path"), F.lit(0).cast("bigint").alias("n_symbols")))
+    """Folders of the scanned files, with the nodes that each file has."""
+    path = lambda c: F.concat("repo", F.lit("/"), c).alias("path")
+    symbols = table(spark, d, "nodes").where("source_file <> ''").groupBy(path("source_file")).agg(F.count_distinct("id").alias("k"))
+    paths = table(spark, d, "source_files").select(path("rel_path")).join(symbols, "path", "left")
+    return export.tree_rollup(paths.select("path", F.coalesce("k", F.lit(0).cast("bigint")).alias("n_symbols")))
 
 
 @query(f"""
