@@ -82,7 +82,13 @@ class VersionedTable:
             out.close()
             if scheme == "file":
                 local = lambda p: self._jvm.java.nio.file.Path.of(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0))
-                self._jvm.java.nio.file.Files.createLink(local(target), local(aside))
+                try:
+                    self._jvm.java.nio.file.Files.createLink(local(target), local(aside))
+                except Py4JJavaError as e:
+                    if "AlreadyExists" in str(e.java_exception):
+                        raise
+                    # a file system without links: moving refuses an existing name, if not in one step
+                    self._jvm.java.nio.file.Files.move(local(aside), local(target), self.spark.sparkContext._gateway.new_array(self._jvm.java.nio.file.CopyOption, 0))
                 done = True
             else:
                 done = aside is target or fs.rename(aside, target)

@@ -769,7 +769,7 @@ def hub_articles(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 with k as (select repo || '/' || source_file path, count(distinct id) k from nodes where source_file <> '' group by 1), p as (select repo || '/' || rel_path path from source_files),
 f as (select split(p.path, '/') s, coalesce(k, 0) k from p left join k on p.path = k.path), e as (select unnest(range(0, len(s))) i, s, k from f)
-select array_to_string(s[1:i], '/') folder, count(*) n_files, sum(greatest(k, 1)) n_symbols from e group by 1
+select array_to_string(s[1:i], '/') folder, count(*) n_files, cast(sum(greatest(k, 1)) as bigint) n_symbols from e group by 1
 """)
 def tree_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Folders of the scanned files, with the nodes that each file has."""
@@ -791,12 +791,12 @@ def tree_symbols(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 with {GRAPH_SQL}, m as (select com cid, coalesce(label, id) as label, row_number() over (partition by com order by ord) rn, count(*) over (partition by com) n from d where com is not null and not is_file),
 s as (select com cid, count(*) n from d where com is not null group by 1), i as (select a.com cid, count(*) k from e join d a on e.src = a.id join d b on e.tgt = b.id where a.com = b.com and e.src <> e.tgt group by 1)
-select m.cid, max(m.n) n_members, list(label order by rn) filter (where rn <= 8) labels, greatest(max(m.n) - 8, 0) n_more,
+select m.cid, max(m.n) n_members, string_agg(label, ' | ' order by rn) filter (where rn <= 8) labels, greatest(max(m.n) - 8, 0) n_more,
     any_value(case when s.n <= 1 then 1.0 else floor(coalesce(k, 0) / (s.n * (s.n - 1) / 2.0) * 100.0 + 0.5) / 100.0 end) cohesion
 from m join s on m.cid = s.cid left join i on m.cid = i.cid group by m.cid having max(m.n) >= 3
 """)
 def report_communities(spark: SparkSession, d: str) -> DataFrame:
-    return report.community_sections(written_graph(spark, d))
+    return report.community_sections(written_graph(spark, d)).withColumn("labels", F.array_join("labels", " | "))
 
 
 @query(f"with {GRAPH_SQL} select src, tgt, coalesce(y.relation, 'unknown') relation from e where y.confidence = 'AMBIGUOUS'")
