@@ -16,11 +16,6 @@ def code_graph(spark: SparkSession, d: str, directed: bool = False) -> Graph:
     return build_graph(table(spark, d, "nodes"), table(spark, d, "edges"), directed)
 
 
-def written_graph(spark: SparkSession, d: str) -> Graph:
-    """``code_graph`` for queries that read its edges more than once."""
-    return code_graph(spark, d).written()
-
-
 def place_graph(spark: SparkSession, d: str, customers: bool = False) -> Graph:
     """A forest: suppliers (and customers) refer to nations, regions contain nations."""
     region, nation, supplier = (table(spark, d, t) for t in ("region", "nation", "supplier"))

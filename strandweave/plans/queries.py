@@ -16,7 +16,7 @@ from ..sources import sql
 from ..sources.session import bounded
 from ..sources.tables import table
 from ..streaming import watch
-from .graphs import GRAPH_SQL, PLACES_SQL, code_graph, graph_sql, place_graph, written_graph
+from .graphs import GRAPH_SQL, PLACES_SQL, code_graph, graph_sql, place_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,7 +204,7 @@ def relativize_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {GRAPH_SQL} select id, coalesce(label, id) as label, degree, ord from d where not is_file and not is_concept order by degree desc, ord limit 10")
 def god_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.god_nodes(written_graph(spark, d))
+    return analyze.god_nodes(code_graph(spark, d))
 
 
 _EXT = "case when contains({0}, '.') then lower(split_part({0}, '.', -1)) else '' end"
@@ -233,12 +233,12 @@ scored as (select src, tgt, confidence, relation, cast(case when relation = 'sem
 
 @query(_SURPRISE + "select * from scored")
 def surprise_scores(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.surprise_scores(written_graph(spark, d)).select("src", "tgt", "confidence", "relation", "score")
+    return analyze.surprise_scores(code_graph(spark, d)).select("src", "tgt", "confidence", "relation", "score")
 
 
 @query(_SURPRISE + "select src, tgt, confidence, relation, score from scored order by score desc, src, tgt limit 5")
 def surprise_cross_file(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.cross_file_surprises(written_graph(spark, d)).select("src", "tgt", "confidence", "relation", "score")
+    return analyze.cross_file_surprises(code_graph(spark, d)).select("src", "tgt", "confidence", "relation", "score")
 
 
 @query(f"""
@@ -248,7 +248,7 @@ select low, high, cast(conf_ord as bigint) conf_ord, src, tgt, 'Bridges communit
 qualify row_number() over (partition by low, high order by conf_ord, src, tgt) = 1 order by conf_ord, src, tgt limit 5
 """)
 def surprise_cross_community(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.cross_community_surprises(written_graph(spark, d))
+    return analyze.cross_community_surprises(code_graph(spark, d))
 
 
 @query("with " + PLACES_SQL.format(customers="") + """
@@ -306,7 +306,7 @@ i as (select a.cid, count(*) k from e join m a on e.src = a.id join m b on e.tgt
 select s.cid, n, coalesce(k, 0) internal, case when n <= 1 then 1.0 else floor(coalesce(k, 0) / (n * (n - 1) / 2.0) * 100.0 + 0.5) / 100.0 end cohesion from s left join i on s.cid = i.cid
 """)
 def cohesion(spark: SparkSession, d: str) -> DataFrame:
-    g = written_graph(spark, d)
+    g = code_graph(spark, d)
     return cluster.cohesion(g, cluster.stored_communities(g))
 
 
@@ -324,7 +324,7 @@ def louvain_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def louvain_scalable(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.cluster_scalable(written_graph(spark, d))
+    return cluster.cluster_scalable(code_graph(spark, d))
 
 
 @query(f"""
@@ -332,7 +332,7 @@ with {GRAPH_SQL}, t as (select count(*) n from e) select (select count(*) from n
     100 * count(*) filter (where y.confidence = 'EXTRACTED') // count(*) extracted_pct, 100 * count(*) filter (where y.confidence = 'INFERRED') // count(*) inferred_pct, 100 * count(*) filter (where y.confidence = 'AMBIGUOUS') // count(*) ambiguous_pct from e
 """)
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.graph_stats(written_graph(spark, d))
+    return analyze.graph_stats(code_graph(spark, d))
 
 
 @query(f"""
@@ -348,7 +348,7 @@ def confidence_mix(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {GRAPH_SQL} select id, coalesce(label, id) as label, degree, ord from d where degree <= 1 and not is_file and not is_concept")
 def knowledge_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.knowledge_gaps(written_graph(spark, d))
+    return analyze.knowledge_gaps(code_graph(spark, d))
 
 
 @query(f"""
@@ -365,7 +365,7 @@ union all select 'hub', 'What depends on ' || label || '?', degree || ' connecti
 union all select 'gap', 'What does ' || label || ' belong to?', 'at most one connection' from g
 """)
 def suggested_questions(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.suggested_questions(written_graph(spark, d))
+    return analyze.suggested_questions(code_graph(spark, d))
 
 
 # -- aggregation over several groupings, and SQL text
@@ -482,7 +482,7 @@ b as (select id, 0 depth from start union select adj.tgt, depth + 1 from b join
 
 
 def _hub_call_levels(spark: SparkSession, d: str):
-    g = written_graph(spark, d)
+    g = code_graph(spark, d)
     start = analyze.god_nodes(g, 1).select(F.lit(0).alias("q_id"), "id")
     return g, traverse.bfs_levels(g, start, 2, ["call"])
 
@@ -520,13 +520,13 @@ select adj.src id, row_number() over (partition by adj.src order by deg.degree d
 from adj join hub on adj.src = hub.id join deg on adj.tgt = deg.id qualify place <= 20
 """)
 def explain_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    g = written_graph(spark, d)
+    g = code_graph(spark, d)
     return search.explain_neighbors(g, analyze.god_nodes(g, 3))
 
 
 @query()
 def query_lines(spark: SparkSession, d: str) -> DataFrame:
-    g = written_graph(spark, d)
+    g = code_graph(spark, d)
     seeds = search.query_seeds(g.nodes, _questions(spark))
     levels = traverse.bfs_levels(g, seeds, 1)
     return search.render_lines(g, levels, traverse.bfs_edges(g, levels), seeds)
@@ -547,7 +547,7 @@ tok as (select q_id, greatest((sum(strlen(t) + 1) - 1) // 4, 1) tokens from line
 select corpus_tokens, count(*) n_questions, cast(floor(avg(tokens)) as bigint) avg_tokens, floor(corpus_tokens / cast(floor(avg(tokens)) as bigint) * 10 + 0.5) / 10 ratio from tok, c group by corpus_tokens
 """)
 def token_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    return search.run_benchmark(written_graph(spark, d), _BENCHMARK)
+    return search.run_benchmark(code_graph(spark, d), _BENCHMARK)
 
 
 # -- texts and files
@@ -721,7 +721,7 @@ with {GRAPH_SQL}, rk as (select com, row_number() over (order by count(*) desc,
 select id, coalesce(label, id) as label, case when is_file then 12.0 else least(10 + 3 * sqrt(degree), 50.0) end size, coalesce(['#4E79A7','#F28E2B','#E15759','#76B7B2','#59A14F','#EDC948','#B07AA1','#FF9DA7','#9C755F','#BAB0AC'][r % 10 + 1], '#BAB0AC') color from d left join rk on d.com = rk.com
 """)
 def viz_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return export.viz_nodes(written_graph(spark, d)).drop("border")
+    return export.viz_nodes(code_graph(spark, d)).drop("border")
 
 
 @query(f"with {GRAPH_SQL} select src, tgt, coalesce(y.relation, 'related') relation, coalesce(y.confidence, 'EXTRACTED') in ('INFERRED', 'AMBIGUOUS') dashes, greatest(0.3, least(1.0, coalesce(y.confidence_score, 1.0))) opacity from e")
@@ -744,7 +744,7 @@ def canvas_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {GRAPH_SQL} select com as cid, row_number() over (partition by com order by degree desc, ord) place, id, coalesce(label, id) as label, degree from d where com is not null qualify place <= 25")
 def community_members(spark: SparkSession, d: str) -> DataFrame:
-    return export.community_top(written_graph(spark, d))
+    return export.community_top(code_graph(spark, d))
 
 
 @query(f"with {GRAPH_SQL}, l as (select a.com cid, b.com other, count(*) n_links from adj join d a on adj.src = a.id join d b on adj.tgt = b.id where a.com <> b.com group by 1, 2) select * from l qualify row_number() over (partition by cid order by n_links desc, other) <= 12")
@@ -762,7 +762,7 @@ with {GRAPH_SQL}, hub as (select id from d where not is_file and not is_concept
 select adj.src id, coalesce(adj.y.relation, 'related') relation, row_number() over (partition by adj.src, coalesce(adj.y.relation, 'related') order by deg.degree desc, adj.tgt) place, adj.tgt neighbor from adj join hub on adj.src = hub.id join deg on adj.tgt = deg.id qualify place <= 20
 """)
 def hub_articles(spark: SparkSession, d: str) -> DataFrame:
-    g = written_graph(spark, d)
+    g = code_graph(spark, d)
     return export.hub_neighbors(g, analyze.god_nodes(g))
 
 
@@ -796,7 +796,7 @@ select m.cid, max(m.n) n_members, string_agg(label, ' | ' order by rn) filter (w
 from m join s on m.cid = s.cid left join i on m.cid = i.cid group by m.cid having max(m.n) >= 3
 """)
 def report_communities(spark: SparkSession, d: str) -> DataFrame:
-    return report.community_sections(written_graph(spark, d)).withColumn("labels", F.array_join("labels", " | "))
+    return report.community_sections(code_graph(spark, d)).withColumn("labels", F.array_join("labels", " | "))
 
 
 @query(f"with {GRAPH_SQL} select src, tgt, coalesce(y.relation, 'unknown') relation from e where y.confidence = 'AMBIGUOUS'")
