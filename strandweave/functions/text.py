@@ -134,8 +134,11 @@ def thousands(number: Column) -> Column:
 
 
 def url_component(s: Column) -> Column:
-    """Percent-encoding with %20 for a space."""
-    return F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))
+    """Percent-encoding of all but letters, digits and -_.~ of ASCII."""
+    out = F.url_encode(s)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
 
 
 def safe_filename(url: Column, chars: int = 80) -> Column:

@@ -559,6 +559,37 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
+@query(r"""
+select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') html, replace(text, '</', '<\/') script, url_encode(text) url,
+    regexp_replace(replace(replace(text, '\', '\\'), '"', '\"'), '[\r\n]', ' ', 'g') yaml, format('{:,}', n_chars) chars, substr(regexp_replace(text, '[\x00-\x1F\x7F]', '', 'g'), 1, 256) as label from documents
+""")
+def text_escapes(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as they go into pages, scripts, addresses and front matter."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", T.html_escape(t).alias("html"), T.script_escape(t).alias("script"), T.url_component(t).alias("url"), T.yaml_string(t).alias("yaml"), T.thousands(F.col("n_chars")).alias("chars"), T.sanitize_label(t).alias("label"))
+
+
+@query(r"""
+with l as (select distinct label from nodes where label is not null),
+s as (select label, coalesce(nullif(substr(regexp_replace(regexp_replace(translate(label, '/: ', '--_'), '[\\*?"<>|#^\[\]\x00-\x1F]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g'), 1, 200), ''), 'unnamed') s from l),
+k as (select label, s, row_number() over (partition by lower(s) order by label) k from s)
+select label as name, case when k = 1 then s else s || '_' || k end slug from k
+""")
+def wiki_names(spark: SparkSession, d: str) -> DataFrame:
+    """File names of articles on all labels, numbered where several labels have the same."""
+    return export.wiki_slugs(table(spark, d, "nodes").where("label is not null").select(F.col("label").alias("name")))
+
+
+@query(r"""
+select file_id, split_part(rel_path, '/', -1) as name, case when contains(rel_path, '.') then lower(split_part(rel_path, '.', -1)) else '' end ext, split_part(rel_path, '/', 1) top,
+    case when contains(rel_path, '/') then coalesce(nullif(split_part(rel_path, '/', -2), '') || '.', '') else '' end || regexp_replace(split_part(rel_path, '/', -1), '^(.+)\.[^.]*$', '\1') stem,
+    lower(regexp_replace(regexp_replace(regexp_replace(rel_path, '^[_.]+|[_.]+$', '', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) id from source_files
+""")
+def path_parts(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("rel_path")
+    return table(spark, d, "source_files").select("file_id", T.basename(p).alias("name"), T.file_extension(p).alias("ext"), T.top_level_dir(p).alias("top"), T.file_stem(p).alias("stem"), T.make_id(p).alias("id"))
+
+
 _SPACES = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
@@ -716,12 +747,15 @@ def node_link_records(spark: SparkSession, d: str) -> DataFrame:
     return export.node_link_records(code_graph(spark, d))
 
 
+_DARK = ["#" + "".join(f"{max(0, int(c[i : i + 2], 16) - 30):02x}" for i in (1, 3, 5)) for c in export.PALETTE]
+
+
 @query(f"""
 with {GRAPH_SQL}, rk as (select com, row_number() over (order by count(*) desc, com) - 1 r from d where com is not null group by com)
-select id, coalesce(label, id) as label, case when is_file then 12.0 else least(10 + 3 * sqrt(degree), 50.0) end size, coalesce(['#4E79A7','#F28E2B','#E15759','#76B7B2','#59A14F','#EDC948','#B07AA1','#FF9DA7','#9C755F','#BAB0AC'][r % 10 + 1], '#BAB0AC') color from d left join rk on d.com = rk.com
+select id, coalesce(label, id) as label, case when is_file then 12.0 else least(10 + 3 * sqrt(degree), 50.0) end size, coalesce(['#4E79A7','#F28E2B','#E15759','#76B7B2','#59A14F','#EDC948','#B07AA1','#FF9DA7','#9C755F','#BAB0AC'][r % 10 + 1], '#BAB0AC') color, coalesce([{', '.join(repr(c) for c in _DARK)}][r % 10 + 1], {_DARK[-1]!r}) border from d left join rk on d.com = rk.com
 """)
 def viz_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return export.viz_nodes(code_graph(spark, d)).drop("border")
+    return export.viz_nodes(code_graph(spark, d))
 
 
 @query(f"with {GRAPH_SQL} select src, tgt, coalesce(y.relation, 'related') relation, coalesce(y.confidence, 'EXTRACTED') in ('INFERRED', 'AMBIGUOUS') dashes, greatest(0.3, least(1.0, coalesce(y.confidence_score, 1.0))) opacity from e")
