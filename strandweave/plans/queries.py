@@ -685,6 +685,85 @@ def html_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", ingest.html_to_text(html).alias("body"))
 
 
+@query("""
+with n as (select ord doc, id, label, file_type, source_file from nodes)
+select doc, 'node' section, 0 idx, 1 rule_no, 'node: missing field ''id''' message from n where id is null union all select doc, 'node', 0, 2, 'node: missing field ''label''' from n where label is null
+union all select doc, 'node', 0, 3, 'node: missing field ''file_type''' from n where file_type is null union all select doc, 'node', 0, 4, 'node: missing field ''source_file''' from n where source_file is null
+union all select doc, 'node', 0, 5, 'node: invalid file_type ''' || file_type || '''' from n where file_type not in ('code','document','paper','image','rationale','concept')
+union all select doc, 'edges', null, 0, 'missing key ''edges''' from n where doc % 5 = 0
+""")
+def validate_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every node statement as a JSON document of its own, some without edges."""
+    node = F.struct("id", "label", "file_type", "source_file")
+    none = F.array().cast("array<string>")
+    docs = table(spark, d, "nodes").select(F.col("ord").alias("doc"), F.to_json(F.struct(F.array(node).alias("nodes"), F.when(F.col("ord") % 5 != 0, none).alias("edges"))).alias("json"))
+    return validate.validate_documents(docs)
+
+
+@query(r"""
+with p as (select doc_id, 't ' || doc_id title, 'https://h.org/' || doc_id url, '<title> t ' || doc_id || ' </title><script x>v</script><p>' || text html from documents),
+b as (select *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') body from p)
+select url, '---' || chr(10) || 'source_url: "' || url || '"' || chr(10) || 'type: webpage' || chr(10) || 'title: "' || title || '"' || chr(10) || 'contributor: "unknown"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || substr(body, 1, 12000) || chr(10) document from b where html is not null
+union all select url, null from b where html is null
+""")
+def page_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents wrapped in markup, as captured pages; null for a null page."""
+    html = F.concat(F.lit("<title> t "), F.col("doc_id").cast("string"), F.lit(" </title><script x>v</script><p>"), F.col("text"))
+    return ingest.page_documents(table(spark, d, "documents").select(F.concat(F.lit("https://h.org/"), F.col("doc_id").cast("string")).alias("url"), html.alias("html")))
+
+
+@query(r"""
+select substr(regexp_replace(regexp_replace(lower(q), '[^\w]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 50) slug, '---' || chr(10) || 'type: ' || kind || chr(10) || 'question: "' || q || '"' || chr(10) || 'nodes: [' || repo || ', ' || doc_id || ']' || chr(10) || '---' || chr(10) || chr(10) || '# Answer' || chr(10) || chr(10) || text || chr(10) document
+from (select *, 'What of ' || repo || ' (' || doc_id || ')?' q from documents)
+""")
+def answer_documents(spark: SparkSession, d: str) -> DataFrame:
+    q = F.concat(F.lit("What of "), "repo", F.lit(" ("), F.col("doc_id").cast("string"), F.lit(")?"))
+    rows = table(spark, d, "documents").select(q.alias("question"), F.col("text").alias("answer"), "kind", F.array("repo", F.col("doc_id").cast("string")).alias("nodes"))
+    return ingest.answer_documents(rows)
+
+
+@query(r"""
+select doc_id, sha256(encode(case when lower(rel_path) like '%.md' then regexp_replace(text, '^---\r?\n(?s:.*?)\r?\n---[ \t]*(\r?\n|$)', '') else text end) || '\x00'::blob || encode(rel_path)) hash from documents
+""")
+def document_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown counts without its front matter; null without text or path."""
+    return table(spark, d, "documents").select("doc_id", ingest.file_hash(F.col("text"), F.col("rel_path")).alias("hash"))
+
+
+@query("""
+with p as (select doc_id, doc_id % 256 a, (doc_id // 256) * 37 % 256 b, doc_id % 3 c from documents)
+select doc_id, case when a in (0, 10, 127) or a >= 224 or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) or (a = 169 and b = 254) or (a = 100 and b between 64 and 127) or (a = 192 and b = 0 and c in (0, 2))
+    or (a = 198 and b = 51 and c = 100) or (a = 203 and b = 0 and c = 113) then 'internal address' end reason, a || '.' || b || '.' || c || '.1' host, true as url from p
+""")
+def url_safety(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses made of the documents' numbers."""
+    i = F.col("doc_id")
+    host = F.concat_ws(".", (i % 256).cast("string"), F.pmod(F.floor(i / 256) * 37, F.lit(256)).cast("string"), (i % 3).cast("string"), F.lit("1"))
+    u = F.concat(F.lit("http://user@"), host, F.lit(":80/x?y#z"))
+    return table(spark, d, "documents").select("doc_id", ingest.unsafe_url(u).alias("reason"), ingest.url_host(u).alias("host"), ingest.is_url(u).alias("url"))
+
+
+@query(r"""
+with h as (select distinct label, trim(regexp_replace(regexp_replace(label, '\r\n|\r|\n', ' ', 'g'), '[\\/*?:"<>|#^\[\]]', '', 'g'), ' ') n from nodes where label is not null)
+select label, coalesce(nullif(trim(regexp_replace(n, '(?i)\.(mdx|md|markdown)$', ''), ' '), ''), 'unnamed') heading from h
+""")
+def community_headings(spark: SparkSession, d: str) -> DataFrame:
+    """All labels as headings of a report's links."""
+    return table(spark, d, "nodes").where("label is not null").select("label").distinct().select("label", T.community_name(F.col("label")).alias("heading"))
+
+
+@query(f"""
+with f as (select file_type t, coalesce(n_words, 0) w, lower(split_part(replace(rel_path, '\\', '/'), '/', -1)) b from scan_entries),
+s as (select *, b in ('.env', '.envrc') {"".join(f" or b like '%{x}'" for x in SENSITIVE_SUFFIXES)} or regexp_matches(b, 'credential|secret|passwd|password|token|private_key') hid from f)
+select count(*) filter (where t = 'code' and not hid) n_code, count(*) filter (where t = 'document' and not hid) n_document, count(*) filter (where t = 'paper' and not hid) n_paper, count(*) filter (where t = 'image' and not hid) n_image,
+    count(*) filter (where t = 'video' and not hid) n_video, cast(sum(w) as bigint) total_words, count(*) filter (where hid) n_sensitive, count(*) filter (where not hid) total_files, count(*) filter (where not hid) > 0 needs_graph, sum(w) > 50000 large from s
+""")
+def detection_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Of everything that was ever scanned."""
+    files = table(spark, d, "scan_entries").select("file_type", "n_words", detect.is_sensitive(T.forward_path(F.col("rel_path"))).alias("sensitive"))
+    return detect.detection_summary(files)
+
+
 # -- extraction and outputs
 
 
