@@ -498,8 +498,12 @@ def bfs_edges(spark: SparkSession, d: str) -> DataFrame:
     return traverse.bfs_edges(g, levels, ["call"])
 
 
-@query()
+@query("with recursive " + PLACES_SQL.format(customers="") + """
+, b as (select 'n_3' id, ['n_3'] path, 0 depth union all select padj.tgt, list_append(path, padj.tgt), depth + 1 from b join padj on b.id = padj.src where depth < 3 and not list_contains(path, padj.tgt))
+select 0 q_id, row_number() over (order by path) - 1 place, id, cast(depth as bigint) depth from b
+""")
 def dfs_order(spark: SparkSession, d: str) -> DataFrame:
+    """Of a tree, where depth-first order is the order of paths."""
     g = place_graph(spark, d)
     return traverse.dfs_order(g, spark.createDataFrame([(0, "n_3")], "q_id int, id string"))
 
@@ -524,7 +528,20 @@ def explain_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return search.explain_neighbors(g, analyze.god_nodes(g, 3))
 
 
-@query()
+_SHOWN = "regexp_replace(coalesce({0}, {1}), '\\p{{Cc}}', '', 'g')"
+
+
+@query(_SCORES + f"""
+, seed as (select q_id, id, row_number() over (partition by q_id order by score desc, ord) place from hit where score > 0 qualify place <= 3),
+lv as (select q_id, id, min(depth) depth from (select q_id, id, 0 depth from seed union all select q_id, adj.tgt, 1 from seed join adj on seed.id = adj.src) group by 1, 2),
+ln as (select lv.q_id, 0 kind, coalesce(seed.place, 1099511627776) a, -degree b, d.ord c, 'NODE ' || {_SHOWN.format('d.label', 'd.id')} || ' [src=' || {_SHOWN.format('x.source_file', "''")} || ' loc=' || {_SHOWN.format('x.source_location', "''")} || ' community=' || coalesce(cast(com as varchar), '') || ']' line
+        from lv join d on lv.id = d.id join n on n.id = d.id left join seed on seed.q_id = lv.q_id and seed.id = lv.id
+    union all select p.q_id, 1, 0, 0, e.y.ord, 'EDGE ' || {_SHOWN.format('da.label', 'da.id')} || ' --' || coalesce(e.y.relation, '') || ' [' || coalesce(e.y.confidence, '') || ']--> ' || {_SHOWN.format('db.label', 'db.id')}
+        from (select distinct a.q_id, least(adj.src, adj.tgt) src, greatest(adj.src, adj.tgt) tgt from adj join lv a on adj.src = a.id and a.depth = 0 join lv z on adj.tgt = z.id and z.q_id = a.q_id and z.depth = 1) p
+        join e on e.src = p.src and e.tgt = p.tgt join d da on da.id = p.src join d db on db.id = p.tgt),
+o as (select q_id, line, row_number() over w place, sum(strlen(line) + 1) over (w rows unbounded preceding) used from ln window w as (partition by q_id order by kind, a, b, c, line))
+select q_id, place, line from o where used <= 6000
+""")
 def query_lines(spark: SparkSession, d: str) -> DataFrame:
     g = code_graph(spark, d)
     seeds = search.query_seeds(g.nodes, _questions(spark))
@@ -821,7 +838,12 @@ def graphml_lines(spark: SparkSession, d: str) -> DataFrame:
     return export.graphml_lines(code_graph(spark, d))
 
 
-@query()
+@query(f"""
+with {GRAPH_SQL} select 'nodes' part, ord, cast(json_merge_patch('{{}}', to_json(struct_pack(id := id, label := x.label, file_type := x.file_type, source_file := x.source_file, source_location := x.source_location, community := x.community, repo := x.repo,
+    norm_label := coalesce({_fold_sql('x.label')}, lower(id))))) as varchar) json from n
+union all select 'links', y.ord, cast(json_merge_patch('{{}}', to_json(struct_pack(source := y.orig_src, target := y.orig_tgt, relation := y.relation, confidence := y.confidence, confidence_score := y.confidence_score, weight := y.weight, context := y.context,
+    source_location := y.source_location))) as varchar) from e
+""")
 def node_link_records(spark: SparkSession, d: str) -> DataFrame:
     return export.node_link_records(code_graph(spark, d))
 
