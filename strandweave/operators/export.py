@@ -224,7 +224,7 @@ def community_top(g: Graph, n: int = 25) -> DataFrame:
     """(cid, place, id, label, degree): the n members of every community with most neighbours."""
     d = described_nodes(g).where("community is not null").select(F.col("community").alias("cid"), "id", F.coalesce("label", "id").alias("label"), "degree", "ord")
     w = Window.partitionBy("cid").orderBy(F.desc("degree"), "ord")
-    return d.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= n).select("cid", "place", "id", "label", "degree")
+    return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("cid", F.col("place").cast("bigint").alias("place"), "id", "label", "degree")
 
 
 def community_links(g: Graph, n: int = 12) -> DataFrame:
@@ -247,7 +247,7 @@ def hub_neighbors(g: Graph, hubs: DataFrame, n: int = 20) -> DataFrame:
     near = g.neighbors(hubs).select(F.col("src").alias("id"), F.col("tgt").alias("neighbor"), F.coalesce("relation", F.lit("related")).alias("relation"))
     d = near.join(g.degrees().withColumnRenamed("id", "neighbor"), "neighbor")
     w = Window.partitionBy("id", "relation").orderBy(F.desc("degree"), "neighbor")
-    return d.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= n).select("id", "relation", "place", "neighbor")
+    return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("id", "relation", F.col("place").cast("bigint").alias("place"), "neighbor")
 
 
 def write_wiki(g: Graph, folder: str, labels: dict[int, str] | None = None, max_articles: int = 10_000) -> int:
@@ -317,9 +317,11 @@ def file_symbols(g: Graph, max_children: int = 200) -> DataFrame:
     """(source_file, place, label, hidden): the symbols of every file, non-underscore first, at most max_children and how many more there are."""
     n = g.nodes.where("source_file is not null and source_file <> ''").select("source_file", F.coalesce("label", "id").alias("label"), "file_type", "ord")
     n = n.where(~((F.col("label") == basename(F.col("source_file"))) & F.coalesce(F.col("file_type") == "code", F.lit(False))))
-    w = Window.partitionBy("source_file")
-    ranked = n.withColumns({"place": F.row_number().over(w.orderBy(F.col("label").startswith("_"), F.lower("label"), "ord")).cast("bigint"), "total": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("place") <= max_children).select("source_file", "place", "label", F.greatest(F.col("total") - max_children, F.lit(0)).alias("hidden"))
+    # ranked apart from the count, so that partitions cut a large file's symbols before they meet
+    place = F.row_number().over(Window.partitionBy("source_file").orderBy(F.col("label").startswith("_"), F.lower("label"), "ord"))
+    first = n.withColumn("place", place).where(F.col("place") <= max_children)
+    total = n.groupBy("source_file").agg(F.count(F.lit(1)).alias("total"))
+    return first.join(total, "source_file").select("source_file", F.col("place").cast("bigint").alias("place"), "label", F.greatest(F.col("total") - max_children, F.lit(0)).alias("hidden"))
 
 
 def common_root(paths: list[str]) -> str:

@@ -21,10 +21,11 @@ def community_sections(g: Graph, min_size: int = MIN_SIZE, shown: int = SHOWN) -
     Only the first labels of a community are gathered, never all of its members.
     """
     d = described_nodes(g).where("community is not null and not is_file")
-    w = Window.partitionBy("community")
-    top = d.select("community", F.coalesce("label", "id").alias("label"), F.row_number().over(w.orderBy("ord")).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
-    rows = top.where(F.col("rn") <= shown).groupBy(F.col("community").alias("cid")).agg(F.max("n").alias("n_members"), F.array_sort(F.collect_list(F.struct("rn", "label"))).alias("x"))
-    rows = rows.where(F.col("n_members") >= min_size).select("cid", "n_members", F.transform("x", lambda s: s["label"]).alias("labels"), F.greatest(F.col("n_members") - shown, F.lit(0)).alias("n_more"))
+    rank = F.row_number().over(Window.partitionBy("community").orderBy("ord"))
+    top = d.select("community", F.coalesce("label", "id").alias("label"), rank.alias("rn")).where(F.col("rn") <= shown)
+    listed = top.groupBy(F.col("community").alias("cid")).agg(F.array_sort(F.collect_list(F.struct("rn", "label"))).alias("x"))
+    sizes = d.groupBy(F.col("community").alias("cid")).agg(F.count(F.lit(1)).alias("n_members")).where(F.col("n_members") >= min_size)
+    rows = listed.join(sizes, "cid").select("cid", "n_members", F.transform("x", lambda s: s["label"]).alias("labels"), F.greatest(F.col("n_members") - shown, F.lit(0)).alias("n_more"))
     return rows.join(cohesion(g, stored_communities(g)).select("cid", "cohesion"), "cid")
 
 

@@ -75,7 +75,7 @@ def score_nodes(nodes: DataFrame, questions: DataFrame) -> DataFrame:
 def query_seeds(nodes: DataFrame, questions: DataFrame, n: int = 3) -> DataFrame:
     """The n best nodes of every question; ties by ord."""
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "ord")
-    return score_nodes(nodes, questions).withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= n).select("q_id", "place", "id", "score")
+    return score_nodes(nodes, questions).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("q_id", F.col("place").cast("bigint").alias("place"), "id", "score")
 
 
 def find_nodes(nodes: DataFrame, term: str) -> DataFrame:
