@@ -59,9 +59,9 @@ SIGNATURES = (
 )
 
 #: Comments, blank space, a docstring and a package's name before the first code, of any length; lines with a hash only where
-#: it opens no directive, lines with a star as what a broken comment leaves.
+#: it opens no directive, lines with a star as what a broken comment leaves, fences and conflict marks as what a broken file begins with.
 _LEADING = {
-    hashed: re.compile(r"\ufeff?(?:<\?(?:php\b|xml[^>]*\?>))?(?:\s+|//[^\n]*|--[^\n]*|;[^\n]*|/\*[\s\S]*?\*/|\*[^\n]*|<!--[\s\S]*?-->|[rRuU]?\"{3}[\s\S]*?\"{3}|[rRuU]?'{3}[\s\S]*?'{3}|package[ \t]+[\w.]+[ \t]*;?(?=\s)" + (r"|\#[^\n]*" if hashed else "") + ")*")
+    hashed: re.compile(r"\ufeff?(?:<\?(?:php\b|xml[^>]*\?>))?(?:\s+|//[^\n]*|--[^\n]*|;[^\n]*|/\*[\s\S]*?\*/|\*[^\n]*|<!--[\s\S]*?-->|[rRuU]?\"{3}[\s\S]*?\"{3}|[rRuU]?'{3}[\s\S]*?'{3}|package[ \t]+[\w.]+[ \t]*;?(?=\s)|(?:`{3}|<{7}|={7}|>{7})[^\n]*" + (r"|\#[^\n]*" if hashed else "") + ")*")
     for hashed in (True, False)
 }
 DIRECTIVES = ("c", "h", "cc", "cpp", "cxx", "hh", "hpp", "hxx", "cs", "m", "mm")

@@ -23,6 +23,8 @@ SIGNED = [
     ("py", "﻿" + "\n" * 15 + f"# {SIGN}\n" + BODY["py"]),
     ("go", f"package a\n// {SIGN}\n"),
     ("java", f" * {SIGN}\n" + BODY["java"]),
+    ("py", f"```python\n# {SIGN}\n" + BODY["py"]),
+    ("go", f"<<<<<<< HEAD\n// a\n=======\n// {SIGN}\n>>>>>>> b\n" + BODY["go"]),
 ]
 OTHERS = [
     ("py", f'"""Finds files with "{SIGN}" at their head."""\n' + BODY["py"]),
