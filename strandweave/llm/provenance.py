@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.session import written
 from .languages import language
 from .syntax import extension
 
@@ -287,12 +288,12 @@ def _parts(batch: pa.RecordBatch, body: int) -> Iterator[pa.RecordBatch]:
 FEATURES = "n_tokens bigint, reuse double, white double, name_size double, per_line double, data_share double, literal_ratio double, copied_share double"
 
 
-def _rows(files: DataFrame) -> DataFrame:
-    return files.select(F.col("file_id").cast("bigint").alias("file_id"), extension(F.col("rel_path")).alias("ext"), F.col("body").cast("string").alias("body"))
+def _rows_of() -> list[Column]:
+    return [F.col("file_id").cast("bigint").alias("file_id"), extension(F.col("rel_path")).alias("ext"), F.col("body").cast("string").alias("body")]
 
 
-def file_rules(files: DataFrame) -> DataFrame:
-    """(file_id, rule, n_tokens): every file's sequence of content rules, with the tokens under each."""
+def file_rules(files: DataFrame, *kept: str) -> DataFrame:
+    """(file_id, kept..., rule, n_tokens): every file's sequence of content rules, with the tokens under each; ``kept`` are string columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (p for whole in batches for p in _parts(whole, 2)):
@@ -300,9 +301,11 @@ def file_rules(files: DataFrame) -> DataFrame:
             code = (kind != SKIP) & (kind != LINE)
             rule, owner, n = content_rules(shape[code], file[code])
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.record_batch([pa.array(ids[owner], pa.int64()), pa.array(rule), pa.array(n)], names=["file_id", "rule", "n_tokens"])
+            more = [b.column(3 + i).take(pa.array(owner)) for i in range(len(kept))]
+            yield pa.record_batch([pa.array(ids[owner], pa.int64()), *more, pa.array(rule), pa.array(n)], names=["file_id", *kept, "rule", "n_tokens"])
 
-    return _rows(files).mapInArrow(run, "file_id bigint, rule bigint, n_tokens bigint")
+    rows = files.select(*_rows_of(), *[F.col(c).cast("string").alias(c) for c in kept])
+    return rows.mapInArrow(run, "file_id bigint, " + "".join(f"{c} string, " for c in kept) + "rule bigint, n_tokens bigint")
 
 
 def library_rules(upstream: DataFrame) -> DataFrame:
@@ -337,7 +340,7 @@ def file_features(files: DataFrame, upstream: DataFrame) -> DataFrame:
             heads = pa.array([head_comments(body, ext) for ext, body in zip(exts, bodies)], pa.string())
             yield pa.record_batch([b.column(0), b.column(3), heads, *[pa.array(x[c]) for c in names]], names=["file_id", "rel_path", "head", *names])
 
-    rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), extension(F.col("rel_path")).alias("ext"), F.col("body").cast("string").alias("body"), "rel_path")
+    rows = files.select(*_rows_of(), "rel_path")
     out = rows.mapInArrow(run, f"file_id bigint, rel_path string, head string, {FEATURES}")
     if few:
         return out
@@ -389,10 +392,13 @@ def shared_rules(files: DataFrame) -> DataFrame:
     vendored: ``MIN_TOKENS`` and a share of ``COPIED`` at least, so that the file, or most of it, is kept in
     several repos.  Rules are counted per repo before repos meet, so a rule that a repo repeats is one row.
     """
-    repos = files.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("repo").cast("string").alias("repo")).distinct()
-    owned = file_rules(files).groupBy("file_id", "rule").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("span")).join(repos, "file_id")
-    long = owned.where(F.col("span") >= SHARED_SPAN)
-    several = long.groupBy("rule").agg((F.min(F.coalesce("repo", F.lit("")) ) != F.max(F.coalesce("repo", F.lit("")))).alias("several")).where("several")
-    known = owned.join(several, "rule", "left").groupBy("file_id", "repo").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("several") & (F.col("span") >= SHARED_SPAN), F.col("n")).otherwise(0)).alias("shared"))
-    share = F.col("shared") / F.col("n_tokens")
+    # read and lexed once, for three uses
+    owned = written(file_rules(files, "repo"))
+    long = owned.where(F.col("n_tokens") >= SHARED_SPAN)
+    repo = F.coalesce("repo", F.lit(""))
+    several = long.groupBy("rule").agg((F.min(repo) != F.max(repo)).alias("several")).where("several").select("rule")
+    shared = long.join(several, "rule", "left_semi").groupBy("file_id", "repo").agg(F.sum("n_tokens").alias("shared")).select(F.col("file_id").alias("_f"), F.col("repo").alias("_r"), "shared")
+    total = owned.groupBy("file_id", "repo").agg(F.sum("n_tokens").alias("n_tokens"))
+    known = total.join(shared, (F.col("file_id") == F.col("_f")) & F.col("repo").eqNullSafe(F.col("_r")), "left")
+    share = F.coalesce(F.col("shared"), F.lit(0)) / F.col("n_tokens")
     return known.select("file_id", "repo", "n_tokens", share.alias("shared_share"), ((F.col("n_tokens") >= MIN_TOKENS) & (share >= COPIED)).alias("vendored"))
