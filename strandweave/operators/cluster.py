@@ -137,12 +137,23 @@ def _saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _single(wanted: DataFrame) -> DataFrame:
+    """(id, single): of the wanted moves (id, own, to, more) those that gain most of all that leave or enter either community.
+
+    No two of them touch the same community, so each gains what was reckoned and the modularity rises.
+    """
+    key = F.struct("more", F.xxhash64("id").alias("h"), "id")
+    first = wanted.select(F.explode(F.array("own", "to")).alias("c"), key.alias("x")).groupBy("c").agg(F.max("x").alias("x"))
+    top = lambda end: first.select(F.col("c").alias(end), F.col("x.id").alias("id"))
+    return wanted.select("id", "own", "to").join(top("own"), ["own", "id"], "left_semi").join(top("to"), ["to", "id"], "left_semi").select("id", F.lit(True).alias("single"))
+
+
 def _settled(adj: DataFrame, ids: DataFrame, sweeps: int | None) -> DataFrame:
     """(id, c): communities of local moving over the arcs ``adj`` (src, tgt), every node on its own at first.
 
     A node wants the neighbouring community of most positive gain.  In every sweep half of those that want
-    to move do (by a hash of id and sweep), so that neighbours don't swap for ever; later ever smaller shares,
-    so that in the end nodes move singly and each move raises the modularity, which ends it.  Gains are whole
+    to move do (by a hash of id and sweep), so that neighbours don't swap for ever; later ever smaller shares, and
+    besides them the best move of every community (``_single``), each of which raises the modularity, which ends it.  Gains are whole
     numbers (in units of 1 / 2m²), so that equal ones are equal.  Links are counted per node and community
     before they are shuffled; community totals are one aggregation.
     """
@@ -158,9 +169,14 @@ def _settled(adj: DataFrame, ids: DataFrame, sweeps: int | None) -> DataFrame:
         same = F.col("c") == F.col("own")
         gain = F.col("n") * (2 * m) - (F.col("total") - F.when(same, F.col("k")).otherwise(0)) * F.col("k")
         # of equal gains the own community, then the smallest one
-        best = options.groupBy("src").agg(F.max(F.struct(gain.alias("gain"), same.alias("same"), (-F.col("c")).alias("minus"))).alias("x"))
-        wanted = best.where("x.gain > 0 and not x.same").select(F.col("src").alias("id"), (-F.col("x.minus")).alias("to"))
+        best = options.groupBy("src").agg(F.max(F.struct(gain.alias("gain"), same.alias("same"), (-F.col("c")).alias("minus"))).alias("x"), F.first("own").alias("own"), F.max(F.when(same, gain)).alias("stay"))
+        more = F.col("x.gain") - F.coalesce(F.col("stay"), F.lit(0))
+        wanted = best.where("x.gain > 0 and not x.same").select(F.col("src").alias("id"), "own", (-F.col("x.minus")).alias("to"), more.alias("more"))
         moves = F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(2 + sweep // HALVES)) == 0
+        if sweep >= HALVES:
+            wanted = _saved(wanted)
+            wanted = wanted.join(_single(wanted), "id", "left")
+            moves = moves | F.col("single").isNotNull()
         state = _saved(state.join(wanted, "id", "left").select("id", "k", F.when(F.col("to").isNotNull() & moves, F.col("to")).otherwise(F.col("c")).alias("c"), F.col("to").isNotNull().alias("wants")))
         if state.where("wants").isEmpty():
             break
