@@ -84,32 +84,71 @@ def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int | None = 8) -> Data
     """(q_id, hops, path) for every pair (q_id, source, target); hops and path are null where no path of at most max_hops exists
     (None: of any length).
 
-    Of equal paths the one whose predecessors are smallest from the target back is taken.  All pairs
-    advance together and stop as soon as their target is reached; a pair of equal ids has 0 hops.  Every
-    level keeps the nodes that it reached with one predecessor each; paths are walked back at the end, for
-    the pairs that have one.
+    Of equal paths the one whose predecessors are smallest from the target back is taken; a pair of equal ids
+    has 0 hops.  Pairs that share an end are searched together, once from the end that more pairs share: a search stops
+    as soon as the other ends of all its pairs are reached, and every level keeps the nodes that it reached.  Paths are laid
+    at the end, for the pairs that have one.
     """
     adj = checkpoint(filtered_adjacency(g))
     known = g.nodes.select("id")
     asked = pairs.select("q_id", "source", "target").join(known, F.col("source") == F.col("id"), "left_semi").join(known, F.col("target") == F.col("id"), "left_semi")
-    none = F.lit(None).cast("string")
-    levels = [checkpoint(asked.select("q_id", "target", F.col("source").alias("id"), none.alias("before")))]
-    seen = levels[0].select("q_id", "id")
-    done = levels[0].where("id = target").select("q_id")
+    shared = lambda end: asked.groupBy(end).agg(F.count(F.lit(1)).alias(f"n_{end}"))
+    asked = checkpoint(asked.join(shared("source"), "source").join(shared("target"), "target").select("q_id", "source", "target", (F.col("n_target") > F.col("n_source")).alias("back")))
+    onward = _paths_onward(adj, asked.where("not back"), max_hops)
+    backward = _paths_backward(adj, asked.where("back"), max_hops)
+    return pairs.select("q_id").join(onward.unionByName(backward), "q_id", "left")
+
+
+def _reached(adj: DataFrame, ends: DataFrame, max_hops: int | None) -> list[DataFrame]:
+    """Levels (begin, id, before) of the searches from each ``begin`` of ends (begin, end), until every end is reached; before is the least predecessor."""
+    ends = checkpoint(ends.distinct())
+    levels = [checkpoint(ends.select("begin", F.col("begin").alias("id"), F.lit(None).cast("string").alias("before")).distinct())]
+    seen = levels[0].select("begin", "id")
+    open_ = checkpoint(ends.where("begin <> end"))
     while max_hops is None or len(levels) <= max_hops:
-        frontier = levels[-1].join(done, "q_id", "left_anti")
-        step = adj.join(frontier.select("q_id", "target", F.col("id").alias("src")), "src").groupBy("q_id", "target", F.col("tgt").alias("id")).agg(F.min("src").alias("before"))
-        fresh = checkpoint(step.join(seen, ["q_id", "id"], "left_anti").select("q_id", "target", "id", "before"))
+        frontier = levels[-1].join(open_.select("begin"), "begin", "left_semi")
+        step = adj.join(frontier.select("begin", F.col("id").alias("src")), "src").groupBy("begin", F.col("tgt").alias("id")).agg(F.min("src").alias("before"))
+        fresh = checkpoint(step.join(seen, ["begin", "id"], "left_anti").select("begin", "id", "before"))
         if fresh.isEmpty():
             break
         levels.append(fresh)
-        seen, done = seen.unionByName(fresh.select("q_id", "id")), done.unionByName(fresh.where("id = target").select("q_id"))
-    # (q_id, hops, id, path): from the target back, joined by those of shorter paths level by level
+        seen = seen.unionByName(fresh.select("begin", "id"))
+        open_ = checkpoint(open_.join(fresh.select("begin", F.col("id").alias("end")), ["begin", "end"], "left_anti"))
+    return levels
+
+
+def _paths_onward(adj: DataFrame, asked: DataFrame, max_hops: int | None) -> DataFrame:
+    """(q_id, hops, path) of pairs (q_id, source, target) by searches from their sources: walked from the target back, by those of shorter paths level by level."""
+    levels = _reached(adj, asked.select(F.col("source").alias("begin"), F.col("target").alias("end")), max_hops)
     back = None
     for h in range(len(levels) - 1, -1, -1):
-        begun = levels[h].where("id = target").select("q_id", F.lit(h).cast("bigint").alias("hops"), F.col("id").alias("at"), F.array("id").alias("path"))
+        met = levels[h].select(F.col("begin").alias("source"), F.col("id").alias("target"))
+        begun = asked.join(met, ["source", "target"]).select("q_id", "source", F.lit(h).cast("bigint").alias("hops"), F.col("target").alias("at"), F.array("target").alias("path"))
         back = begun if back is None else back.unionByName(begun)
         if h:
-            here = levels[h].select("q_id", F.col("id").alias("at"), "before")
-            back = back.join(here, ["q_id", "at"]).select("q_id", "hops", F.col("before").alias("at"), F.concat(F.array("before"), "path").alias("path"))
-    return pairs.select("q_id").join(back.select("q_id", "hops", "path"), "q_id", "left")
+            here = levels[h].select(F.col("begin").alias("source"), F.col("id").alias("at"), "before")
+            back = back.join(here, ["source", "at"]).select("q_id", "source", "hops", F.col("before").alias("at"), F.concat(F.array("before"), "path").alias("path"))
+    return back.select("q_id", "hops", "path")
+
+
+def _paths_backward(adj: DataFrame, asked: DataFrame, max_hops: int | None) -> DataFrame:
+    """(q_id, hops, path) of pairs (q_id, source, target) by searches from their targets against the arcs.
+
+    A node of a shortest path is one hop nearer to the target than the one before it, so from the source on
+    every level keeps the least path that leads to each such node.
+    """
+    levels = _reached(adj.select(F.col("tgt").alias("src"), F.col("src").alias("tgt")), asked.select(F.col("target").alias("begin"), F.col("source").alias("end")), max_hops)
+    on = None
+    for h in range(len(levels) - 1, -1, -1):
+        met = levels[h].select(F.col("begin").alias("target"), F.col("id").alias("source"))
+        begun = asked.join(met, ["source", "target"]).select("q_id", "target", F.lit(h).cast("bigint").alias("hops"), F.col("source").alias("at"), F.array("source").alias("back"))
+        on = begun if on is None else on.unionByName(begun)
+        if h:
+            # of a node's arcs only those that lead nearer, before they meet the pairs
+            here = levels[h].select(F.col("begin").alias("target"), F.col("id").alias("at"))
+            near = levels[h - 1].select(F.col("begin").alias("target"), F.col("id").alias("next"))
+            arcs = adj.select(F.col("src").alias("at"), F.col("tgt").alias("next")).join(here, "at").join(near, ["target", "next"])
+            # paths are held from their last node back, in which order they compare
+            step = on.join(arcs, ["target", "at"])
+            on = step.groupBy("q_id", "target", "hops", F.col("next").alias("at")).agg(F.min("back").alias("back")).select("q_id", "target", "hops", "at", F.concat(F.array("at"), "back").alias("back"))
+    return on.select("q_id", "hops", F.reverse("back").alias("path"))

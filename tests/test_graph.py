@@ -196,3 +196,45 @@ def test_tool_server(spark):
     assert "beta" in call("get_neighbors", label="alpha")["content"][0]["text"]
     assert call("get_node", label="nothing")["isError"] and call("what")["isError"]
     assert s.handle({"id": 2, "method": "nope"})["error"]["code"] == -32601 and s.handle({"method": "x"}) is None
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_paths_of_pairs_that_share_either_end(spark, directed):
+    random.seed(8)
+    ids = [f"n{i:02}" for i in range(16)]
+    arcs = {tuple(random.sample(ids, 2)) for _ in range(34)}
+    g = graph(spark, sorted(arcs), ids, directed)
+    adj = {}
+    for a, b in arcs:
+        adj.setdefault(a, set()).add(b)
+        if not directed:
+            adj.setdefault(b, set()).add(a)
+    pairs = [("n00", x) for x in ids] + [(x, "n01") for x in ids] + [("n02", "gone")] + [tuple(random.sample(ids, 2)) for _ in range(12)]
+    asked = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "q_id int, source string, target string")
+    for most in (None, 2):
+        want = {}
+        for i, (s, t) in enumerate(pairs):
+            depth, path = _bfs(adj, s), [t]
+            if t not in depth or (most is not None and depth[t] > most):
+                want[i] = (None, None)
+                continue
+            while path[0] != s:
+                path.insert(0, min(x for x in ids if path[0] in adj.get(x, ()) and depth.get(x) == depth[path[0]] - 1))
+            want[i] = (depth[t], path)
+        assert {r.q_id: (r.hops, r.path) for r in traverse.shortest_paths(g, asked, most).collect()} == want
+
+
+def test_pairs_that_share_a_hub_and_their_target_are_searched_together(spark, monkeypatch):
+    n, sizes, checkpoint = 200, [], traverse.checkpoint
+
+    def counted(df):
+        df = checkpoint(df)
+        sizes.append(df.count())
+        return df
+
+    monkeypatch.setattr(traverse, "checkpoint", counted)
+    g = graph(spark, [("hub", f"s{i:03}") for i in range(n)] + [("hub", "mid"), ("mid", "far")], ["hub", "mid", "far", "alone", *(f"s{i:03}" for i in range(n))])
+    pairs = spark.createDataFrame([(i, f"s{i:03}", "far") for i in range(n)] + [(n + i, f"s{i:03}", "alone") for i in range(n)], "q_id int, source string, target string")
+    got = {r.q_id: (r.hops, r.path) for r in traverse.shortest_paths(g, pairs, 4).collect()}
+    assert got == {i: (3, [f"s{i:03}", "hub", "mid", "far"]) for i in range(n)} | {n + i: (None, None) for i in range(n)}
+    assert max(sizes) <= 3 * n
